@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
         .withColumn("__budget", F.sum("source_size").over(whole) * budget)
         .withColumn("__level", (F.col("__budget") - F.coalesce(F.sum("__limit").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
         # the first source in the order that the level does not fill; from there on all share that level
-        .withColumn("__level", F.min(F.when(F.col("__level") < F.col("__fill"), F.col("__level"))).over(whole))
+        .withColumn("__place", F.when(F.col("__level") < F.col("__fill"), F.row_number().over(by_fill)))
+        .withColumn("__level", F.min_by("__level", "__place").over(whole))
     )
     target = F.when(F.col("__level").isNull(), F.col("__limit")).otherwise(F.least(F.col("__limit"), F.col("__level") * F.col("weight")))
     return filled.withColumn("target", target).select("source", "source_size", "weight", "target")

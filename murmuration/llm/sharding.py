@@ -9,7 +9,7 @@ a uniform shuffle with shard sizes that differ by one at most.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty
@@ -43,9 +43,7 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 29, id_cols: tuple[str,
     n = own.count()
     parts = int(min(MOST_PARTS, max(1, n // PART_ROWS)))
     own = own.withColumns({"__h": F.xxhash64(F.lit(seed), *known)})
-    # A single hot key can't fill a part alone: equal rows are dealt over all parts.
-    part = F.pmod(F.xxhash64("__h", F.spark_partition_id() % 1), F.lit(parts)).cast("int")
-    own = own.withColumn("__part", part)
+    own = own.withColumn("__part", F.pmod(F.xxhash64("__h"), F.lit(parts)).cast("int"))
     sizes = {r["__part"]: r["count"] for r in own.groupBy("__part").count().collect()}  # MOST_PARTS counts at most
     matrix = communication_matrix([sizes.get(p, 0) for p in range(parts)], shards, seed)
     ends = np.cumsum(matrix, axis=1)
