@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality, sharding
+from . import bpe, exact_dedup, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op6_bpe": bpe.op6_bpe,
     "op8_quality": quality.op8_quality,
