@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality, sharding, toxicity
+from . import bpe, exact_dedup, fingerprints, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op6_bpe": bpe.op6_bpe,
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
