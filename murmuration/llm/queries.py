@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, mixing, quality, secrets, sharding, toxicity
+from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_secrets": secrets.op3_secrets,
     "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_bpe": bpe.op6_bpe,
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
