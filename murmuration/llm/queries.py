@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, quality, secrets, sharding, toxicity
+from . import bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_bpe": bpe.op6_bpe,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
