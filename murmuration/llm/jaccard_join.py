@@ -25,7 +25,7 @@ from .shingles import set_hash, shingle_sets
 THRESHOLD = 80
 MAX_DISTANCE = 1 - THRESHOLD / 100
 #: The order of shingles knows so many frequent ones; it bears on cost alone, never on what is found.
-FREQUENT, LEAST_LOCAL, LOCAL_TOKENS = 1 << 17, 4, 2_000_000
+FREQUENT, LEAST_LOCAL, LOCAL_TOKENS = 1 << 19, 2, 4_000_000
 #: Hash buckets of nodes whose sets are wanted (a bit each, sent to the executors).
 WANTED_BITS = 1 << 20
 #: Cost of verifying a candidate, in prefix entries.
@@ -70,8 +70,8 @@ def needed(n: np.ndarray | int):
     return -(-n * THRESHOLD // 100)
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The prefix of a sorted set, and how many of its shingles lie behind the prefix.
+def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The prefix of a sorted set, how many of its shingles lie behind the prefix, and how many are not known as frequent.
 
     The first n - needed + l shingles; l is chosen among a few so that entries plus estimated
     candidates, at VERIFY_COST each, cost least. A candidate takes l entries at least.
@@ -84,20 +84,20 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tupl
         often = np.where(frequent[at] == tokens, counts[at], 1)
     shortest = n - need + 1
     if often.max() == 1:
-        return tokens[:shortest], need - 1
+        return tokens[:shortest], need - 1, n
     order = np.argsort(often, kind="stable")
     tokens, met = tokens[order], np.cumsum(often[order] - 1)
     choices = sorted({min(1 + shortest * q // 4, need) for q in (0, 1, 2, 4)})
     cost = [n - need + more + met[n - need + more - 1] * (1 + VERIFY_COST / more) for more in choices]
     more = choices[int(np.argmin(cost))]
-    return tokens[: n - need + more], need - more
+    return tokens[: n - need + more], need - more, int((often == 1).sum())
 
 
 def _prefixes(frequent: np.ndarray, counts: np.ndarray):
     def run(batches: Batches) -> Batches:
         seen: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes, rests, held = [], [], [], [], 0
+            found, held = [], 0
             for _, s in shingle_sets(batch.column(0)):
                 node = set_hash(s) if len(s) else 0
                 if not len(s) or node in seen:
@@ -105,30 +105,34 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray):
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
-                p, rest = prefix(s, frequent, counts)
-                tokens.append(p), nodes.append(node), sizes.append(len(s)), rests.append(rest)
+                p, rest, rare = prefix(s, frequent, counts)
+                found.append((p, node, len(s) << 32 | rest, rare))
                 held += len(p)
                 if held > 200_000:
-                    yield _entries(tokens, nodes, sizes, rests)
-                    tokens, nodes, sizes, rests, held = [], [], [], [], 0
-            if tokens:
-                yield _entries(tokens, nodes, sizes, rests)
+                    yield _entries(found)
+                    found, held = [], 0
+            if found:
+                yield _entries(found)
 
     return run
 
 
-def _entries(tokens: list[np.ndarray], nodes: list[int], sizes: list[int], rests: list[int]) -> pa.RecordBatch:
-    lengths = [len(t) for t in tokens]
-    each = [np.repeat(np.array(x, np.int64), lengths) for x in (nodes, sizes, rests)]
-    return pa.RecordBatch.from_arrays([_long(np.concatenate(tokens)), *map(_long, each)], names=["token", "node", "n", "rest"])
+def _entries(found: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+    lengths = [len(f[0]) for f in found]
+    node, sizes, rare = (np.repeat(np.array([f[i] for f in found], np.int64), lengths) for i in (1, 2, 3))
+    return pa.RecordBatch.from_arrays([_long(np.concatenate([f[0] for f in found])), _long(node), _long(sizes), pa.array(rare.astype(np.int32))], names=["token", "node", "sizes", "rare"])
 
 
 def _shared(batches: Batches) -> Batches:
-    """Of entries sorted by token and node: those whose token has two nodes or more, each with the token's first node as hub."""
+    """Of entries sorted by token, rareness and node: those whose token has two nodes or more, each with the token's first node as hub.
+
+    The first node has the fewest shingles that are not frequent: the plainest copy, where a token's nodes are near copies.
+    """
     token = last = None
     hub, told = (0, 0, 0), False
     for batch in batches:
-        t, node, n, rest = (batch.column(i).to_numpy() for i in range(4))
+        t, node, sizes = (batch.column(i).to_numpy() for i in range(3))
+        n, rest = sizes >> 32, sizes & 0xFFFFFFFF
         if not len(t):
             continue
         carried = token is not None and t[0] == token
@@ -273,8 +277,8 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     top = meta.where("token").groupBy("node").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
     order = np.argsort(top["node"].to_numpy(np.int64).view(np.uint64))
     frequent, counts = top["node"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
-    entries = docs.select("text").mapInArrow(_prefixes(frequent, counts), "token long, node long, n long, rest long")
-    shared = entries.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n long, rest long, hub long, hub_n long")
+    entries = docs.select("text").mapInArrow(_prefixes(frequent, counts), "token long, node long, sizes long, rare int")
+    shared = entries.repartition("token").sortWithinPartitions("token", "rare", "node").mapInArrow(_shared, "token long, node long, n long, rest long, hub long, hub_n long")
     shared = spool(shared, "shared")
 
     # Hubs: each node's most frequent first node, where much of the prefix is shared.

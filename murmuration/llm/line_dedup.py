@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words. They are ordered by rarity in the corpus, and similar lines
-(Jaccard 0.8 or more) then share a token among the first few of each. Length and positional filters
-leave few pairs, whose whole sets are compared. A line goes when a line before it is similar.
+A line's tokens are its distinct shingles of five words. They are ordered by rarity in the corpus, and
+similar lines (Jaccard 0.8 or more) then share a token among the first few of each. Length and positional
+filters leave few pairs, whose whole sets are compared. A line goes when a line before it is similar.
 Equal lines are one line at its first place. Lines that share a token are first compared with the
 earliest of them only, which settles large groups of alike lines; what that leaves unsettled is
 compared with all earlier ones.
@@ -18,9 +18,11 @@ from .common import documents, hashed_filter, spool, text_or_empty
 #: Similarity in percent, and words that a line must have to be looked at: shorter ones always stay.
 SIMILAR, LEAST_WORDS = 80, 5
 LONG_ENOUGH = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]"
-#: The order knows the frequency of so many words (the most frequent ones), by hash bucket. It bears on cost alone.
-FREQUENT, BUCKETS = 1 << 15, 1 << 16
+#: Rarity is known by hash bucket of the tokens, in CLASSES steps. It bears on cost alone.
+BUCKETS, CLASSES = 1 << 16, 64
 SPACE = r"[\x20\x09-\x0D]+"
+#: Lines that a single space does not split into words.
+UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,28 +31,31 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return own.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(LONG_ENOUGH))
 
 
-def with_words(lines: DataFrame) -> DataFrame:
-    """Adds words: hashes of the line's distinct words, lower-cased."""
-    split = F.split(F.trim(F.lower("body")), SPACE)
-    return lines.withColumn("words", F.array_distinct(F.transform(split, lambda w: F.xxhash64(w))))
+def with_shingles(lines: DataFrame) -> DataFrame:
+    """Adds shingles: hashes of the line's distinct runs of five words, lower-cased (of pairs of pairs, and the pairs of those)."""
+    even = F.when(F.col("body").rlike(UNEVEN), F.trim(F.regexp_replace("body", SPACE, " "))).otherwise(F.col("body"))
+    lines = lines.withColumn("__1", F.transform(F.split(F.lower(even), " "), lambda w: F.xxhash64(w)))
+    for step, apart in ((1, 1), (2, 2), (3, 1)):
+        x, length = f"__{step}", F.size(f"__{step}") - apart
+        joined = F.zip_with(F.slice(x, F.lit(1), length), F.slice(x, F.lit(1 + apart), length), lambda a, b: F.xxhash64(a, b))
+        lines = lines.withColumn(f"__{step + 1}", joined).drop(x)
+    return lines.withColumn("shingles", F.array_distinct("__4")).drop("__4")
 
 
 def rarity(lines: DataFrame) -> list[int]:
-    """For each hash bucket, the class (twice the binary logarithm of the count, at most 63) of the most frequent known word in it."""
-    counts = with_words(lines).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "w").limit(FREQUENT)
-    classes = top.groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.least(F.lit(63), F.ceil(F.log2(F.max("n") + 1) * 2)).cast("int").alias("c"))
-    table = [0] * BUCKETS
-    for b, c in classes.collect():
-        table[b] = c
-    return table
+    """The class of each hash bucket of shingles: how far its count is above the mean, in steps of three deviations."""
+    # explode_outer: no filter on the array is inferred, which would compute it again step by step within itself
+    counts = with_shingles(lines).select(F.explode_outer("shingles").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    found = {r["b"]: r["n"] for r in counts.collect()}  # BUCKETS counts at most
+    mean = sum(found.values()) / BUCKETS
+    return [min(CLASSES - 1, max(0, int((found.get(b, 0) - mean) / (3 * mean**0.5 + 1)))) for b in range(BUCKETS)]
 
 
 def ranked(lines: DataFrame, table: list[int]) -> DataFrame:
-    """Adds tokens: the words as longs that sort by class, then by hash (57 bits of it)."""
+    """Adds tokens: the shingles as longs that sort by class, then by hash (57 bits of it)."""
     classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to a constant
     key = lambda w: F.shiftleft(F.get(classes, F.pmod(w, F.lit(BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(w, 7))
-    return with_words(lines).withColumn("tokens", F.sort_array(F.transform("words", key))).drop("words")
+    return with_shingles(lines).withColumn("tokens", F.sort_array(F.transform("shingles", key))).drop("shingles")
 
 
 def needed(n: Column) -> Column:
@@ -65,13 +70,13 @@ def possible(a: str, b: str) -> Column:
 
 
 def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct (doc, line) of the later lines in `pairs` (doc_a, line_a after doc_b, line_b) whose word sets are similar to the earlier one's."""
+    """Distinct (doc, line) of the later lines in `pairs` (doc_a, line_a after doc_b, line_b) whose shingle sets are similar to the earlier one's."""
     places = pairs.selectExpr("doc_a AS doc", "line_a AS line").unionByName(pairs.selectExpr("doc_b AS doc", "line_b AS line")).distinct()
-    own = with_words(hashed_filter(lines, places, "doc", "line")).select("doc", "line", "words").dropDuplicates(["doc", "line"])
-    side = lambda x: own.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}"))
+    own = with_shingles(hashed_filter(lines, places, "doc", "line")).select("doc", "line", "shingles").dropDuplicates(["doc", "line"])
+    side = lambda x: own.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("shingles").alias(f"shingles_{x}"))
     whole = pairs.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"])
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    union = F.size("words_a") + F.size("words_b")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    union = F.size("shingles_a") + F.size("shingles_b")
     sized = whole.select("doc_a", "line_a", both.alias("both"), union.alias("sum"))
     return spool(sized.where(f"100 * both >= {SIMILAR} * (sum - both)").select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct(), "similar")
 
