@@ -161,7 +161,8 @@ SIDE = ("lo", "hi", "rest", "radius")
 def _group_pairs(batches: Batches) -> Batches:
     """Of entries sorted by token and group: pairs of groups in the same token whose sizes allow a link, counted.
 
-    columns: token, node (the group's hub), least and greatest size, greatest rest, radius in millionths.
+    columns: token, node (the group's hub), least and greatest size, greatest rest, radius in millionths, root (groups
+    with the same root are linked already).
     """
     held = None
 
@@ -180,7 +181,7 @@ def _group_pairs(batches: Batches) -> Batches:
             a = np.repeat(np.arange(row, stop), own)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
             row = stop
-            fits = (x[3, a] * 100 >= x[2, b] * THRESHOLD) & (x[3, b] * 100 >= x[2, a] * THRESHOLD)
+            fits = (x[3, a] * 100 >= x[2, b] * THRESHOLD) & (x[3, b] * 100 >= x[2, a] * THRESHOLD) & (x[6, a] != x[6, b])
             a, b = a[fits], b[fits]
             if len(a):
                 order = np.lexsort((x[1, b], x[1, a]))
@@ -188,10 +189,10 @@ def _group_pairs(batches: Batches) -> Batches:
                 at = np.flatnonzero(np.r_[True, (np.diff(x[1, a]) != 0) | (np.diff(x[1, b]) != 0)])
                 m = np.diff(np.r_[at, len(a)])
                 a, b = a[at], b[at]
-                yield pa.RecordBatch.from_arrays([_long(v) for v in (x[1, a], x[1, b], m, *x[2:, a], *x[2:, b])], names=["a", "b", "m", *[f"{s}_a" for s in SIDE], *[f"{s}_b" for s in SIDE]])
+                yield pa.RecordBatch.from_arrays([_long(v) for v in (x[1, a], x[1, b], m, *x[2:6, a], *x[2:6, b])], names=["a", "b", "m", *[f"{s}_a" for s in SIDE], *[f"{s}_b" for s in SIDE]])
 
     for batch in batches:
-        x = np.stack([batch.column(i).to_numpy() for i in range(6)])
+        x = np.stack([batch.column(i).to_numpy() for i in range(7)])
         x = x if held is None else np.concatenate([held, x], 1)
         if not x.shape[1]:
             continue
@@ -295,9 +296,10 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     groups = placed.groupBy("center").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("g_rest"), F.ceil(F.max("distance") * 1_000_000).cast("long").alias("radius"))
     table = placed.select("node", "center").join(groups, "center")
 
-    # Pairs of groups (most are single nodes).
-    grouped = shared.select("token", "node", "n", "rest").join(table, "node", "left").select(
-        "token", F.coalesce("center", "node").alias("node"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"), F.coalesce("g_rest", "rest").alias("rest"), F.coalesce("radius", F.lit(0)).cast("long").alias("radius")
+    # Pairs of groups (most are single nodes) that hubs haven't tied together already.
+    tied = connected_components(edges)
+    grouped = shared.select("token", "node", "n", "rest").join(table, "node", "left").join(tied, "node", "left").select(
+        "token", F.coalesce("center", "node").alias("node"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"), F.coalesce("g_rest", "rest").alias("rest"), F.coalesce("radius", F.lit(0)).cast("long").alias("radius"), F.coalesce("root", "node").alias("root")
     )
     names = ", ".join(f"{s}_{x} long" for x in "ab" for s in SIDE)
     pairs = grouped.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_group_pairs, f"a long, b long, m long, {names}")
@@ -308,18 +310,19 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     edges = spool(edges.unionByName(_edges(compared)), "edges")
 
     # Groups that aren't linked by their hubs, but whose members may be.
-    near = compared.where(f"NOT ({LINKED})").join(pairs.where("radius > 0"), ["a", "b"]).where(F.lit(1) - F.col("both") / F.col("union") <= MAX_DISTANCE + F.col("radius") / 1_000_000 + 1e-6).select("a", "b")
+    near = compared.where(f"NOT ({LINKED})").join(pairs.where("radius > 0"), ["a", "b"]).withColumn("gap", F.lit(1 - MAX_DISTANCE - 1e-6) - F.col("both") / F.col("union")).where("gap <= radius / 1000000").select("a", "b", "gap")
     near = spool(near, "near")
     if near.isEmpty():
         return edges
     root = connected_components(edges)
     apart = near.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    apart = spool(apart.where("NOT (coalesce(ra, a) <=> coalesce(rb, b))").select("a", "b"), "apart")
+    apart = spool(apart.where("NOT (coalesce(ra, a) <=> coalesce(rb, b))").select("a", "b", "gap"), "apart")
     if apart.isEmpty():
         return edges
-    full = shared.select("token", "node", "n", "rest").join(placed.select("node", "center"), "node", "left").withColumn("center", F.coalesce("center", "node"))
-    side = lambda x: full.select("token", F.col("node").alias(f"node_{x}"), F.col("n").alias(f"lo_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("center").alias(x))
-    members = side("a").join(apart, "a").join(side("b"), ["token", "b"]).where(f"100 * least(lo_a, lo_b) >= {THRESHOLD} * greatest(lo_a, lo_b)")
+    full = shared.select("token", "node", "n", "rest").join(placed.select("node", "center", "distance"), "node", "left").withColumns({"center": F.coalesce("center", "node"), "distance": F.coalesce("distance", F.lit(0.0))})
+    # Two members' distance is at least that of their hubs less their own from the hubs.
+    side = lambda x: full.select("token", F.col("distance").alias(f"off_{x}"), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"lo_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("center").alias(x))
+    members = side("a").join(apart, "a").join(side("b"), ["token", "b"]).where(f"off_a + off_b >= gap AND 100 * least(lo_a, lo_b) >= {THRESHOLD} * greatest(lo_a, lo_b)")
     members = members.groupBy("node_a", "node_b", "lo_a", "lo_b", "rest_a", "rest_b").agg(F.count("*").alias("m")).where(enough("m", "a", "b"))
     found = verify(docs, spool(members.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "members"))
     return edges.unionByName(_edges(found))

@@ -62,11 +62,22 @@ def needed(n: Column) -> Column:
     return F.ceil(n * SIMILAR / 100)
 
 
-def possible(a: str, b: str) -> Column:
-    """Length and positional filters on two entries with the same token (n_a, pos_a, n_b, pos_b)."""
-    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
-    least = F.ceil((na + nb) * SIMILAR / (100 + SIMILAR) - 1e-6)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * SIMILAR) & (F.least(na - F.col(f"pos_{a}"), nb - F.col(f"pos_{b}")) >= least)
+def fitting(a: str, b: str) -> Column:
+    """Length filter on two entries (n_a, n_b)."""
+    return F.least(f"n_{a}", f"n_{b}") * 100 >= F.greatest(f"n_{a}", f"n_{b}") * SIMILAR
+
+
+def least_overlap() -> Column:
+    return F.ceil((F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR) - 1e-6)
+
+
+def possible() -> Column:
+    """Positional filters on a pair with its count of shared prefix tokens m and the places of the first one (pos_a, pos_b).
+
+    No overlap lies before the first shared token, and what both prefixes don't show lies behind one of them.
+    """
+    behind = needed(F.greatest("n_a", "n_b")) - 1
+    return (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least_overlap()) & (F.col("m") >= least_overlap() - behind)
 
 
 def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -101,13 +112,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc", "line", "n", "pos")], *map(first, ("doc", "line", "n", "pos")), F.lead("doc").over(by_token).alias("more"))
     same = "doc_a <=> doc_b AND line_a = line_b"
     shared = spool(shared.where(f"NOT ({same}) OR more IS NOT NULL").drop("more"), "shared")
-    to_first = shared.where(f"NOT ({same})").where(possible("a", "b")).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+    pair = ("doc_a", "line_a", "doc_b", "line_b")
+    counted = lambda df: df.groupBy(*pair, "n_a", "n_b").agg(F.count("*").alias("m"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
+    to_first = counted(shared.where(f"NOT ({same})").where(fitting("a", "b"))).where("20 * m >= n_a").select(*pair)
     settled = similar(lines, spool(to_first, "firsts"))
 
-    # What its tokens' earliest lines did not settle meets the other lines before it.
-    later = shared.where(f"NOT ({same})").join(settled.selectExpr("doc AS doc_a", "line AS line_a"), ["doc_a", "line_a"], "left_anti").select("token", "doc_a", "line_a", "n_a", "pos_a")
-    before = shared.where(f"NOT ({same})").select("token", *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("doc", "line", "n", "pos")])
-    others = later.join(before, "token").where("doc_b < doc_a OR doc_b = doc_a AND line_b < line_a").where(possible("a", "b")).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+    # What its tokens' earliest lines did not settle meets all lines before it.
+    entry = shared.select("token", *[f"{c}_a" for c in ("doc", "line", "n", "pos")])
+    later = entry.join(settled.selectExpr("doc AS doc_a", "line AS line_a"), ["doc_a", "line_a"], "left_anti")
+    before = entry.select("token", *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("doc", "line", "n", "pos")])
+    others = later.join(before, "token").where("doc_b < doc_a OR doc_b = doc_a AND line_b < line_a").where(fitting("a", "b"))
+    others = counted(others).where(possible()).select(*pair)
     gone = spool(settled.unionByName(similar(lines, spool(others, "others"))).withColumn("gone", F.lit(True)), "gone")
 
     # Equal lines go with, and after, their first place.
