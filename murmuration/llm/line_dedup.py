@@ -26,26 +26,28 @@ UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, line (number), body: one row for each line of LEAST_WORDS words or more."""
+    """doc, line (number), words (hashes of the lower-cased words): one row for each line of LEAST_WORDS words or more."""
     own = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
-    return own.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(LONG_ENOUGH))
+    lines = own.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(LONG_ENOUGH))
+    even = F.when(F.col("body").rlike(UNEVEN), F.trim(F.regexp_replace("body", SPACE, " "))).otherwise(F.col("body"))
+    return lines.select("doc", "line", F.transform(F.split(F.lower(even), " "), lambda w: F.xxhash64(w)).alias("words"))
+
+
+def shingle(first: Column, at: Column) -> Column:
+    """Hash of the five words from place `at`, whose hash is `first`, on."""
+    return F.xxhash64(first, *[F.get("words", at + k) for k in range(1, LEAST_WORDS)])
 
 
 def with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds shingles: hashes of the line's distinct runs of five words, lower-cased (of pairs of pairs, and the pairs of those)."""
-    even = F.when(F.col("body").rlike(UNEVEN), F.trim(F.regexp_replace("body", SPACE, " "))).otherwise(F.col("body"))
-    lines = lines.withColumn("__1", F.transform(F.split(F.lower(even), " "), lambda w: F.xxhash64(w)))
-    for step, apart in ((1, 1), (2, 2), (3, 1)):
-        x, length = f"__{step}", F.size(f"__{step}") - apart
-        joined = F.zip_with(F.slice(x, F.lit(1), length), F.slice(x, F.lit(1 + apart), length), lambda a, b: F.xxhash64(a, b))
-        lines = lines.withColumn(f"__{step + 1}", joined).drop(x)
-    return lines.withColumn("shingles", F.array_distinct("__4")).drop("__4")
+    """Adds shingles: hashes of the line's distinct runs of five words."""
+    begins = F.slice("words", F.lit(1), F.size("words") - (LEAST_WORDS - 1))
+    return lines.withColumn("shingles", F.array_distinct(F.transform(begins, shingle)))
 
 
 def rarity(lines: DataFrame) -> list[int]:
     """The class of each hash bucket of shingles: how far its count is above the mean, in steps of three deviations."""
-    # explode_outer: no filter on the array is inferred, which would compute it again step by step within itself
-    counts = with_shingles(lines).select(F.explode_outer("shingles").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    runs = lines.select("words", F.posexplode_outer("words").alias("i", "w")).where(F.col("i") <= F.size("words") - LEAST_WORDS)
+    counts = runs.select(F.pmod(shingle(F.col("w"), F.col("i")), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     found = {r["b"]: r["n"] for r in counts.collect()}  # BUCKETS counts at most
     mean = sum(found.values()) / BUCKETS
     return [min(CLASSES - 1, max(0, int((found.get(b, 0) - mean) / (3 * mean**0.5 + 1)))) for b in range(BUCKETS)]
@@ -99,11 +101,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     never go; null and empty texts have none. Null ids come first. Rows that share an id stand at the
     same places: neither is before the other. An earlier line counts even when it goes itself.
     """
-    lines = lines_of(docs, id_col, text_col).where(F.col("doc").isNotNull())
+    # The words' hashes, which take less room than the texts, are read again in each step.
+    lines = spool(lines_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "lines")
     table = rarity(lines)
     prefix = F.slice("tokens", 1, (F.size("tokens") - needed(F.size("tokens")) + 1).cast("int"))
     firsts = (
-        ranked(lines, table).select(F.xxhash64(F.lower("body")).alias("node"), "doc", "line", F.size("tokens").alias("n"), prefix.alias("prefix"))
+        ranked(lines, table).select(F.xxhash64("words").alias("node"), "doc", "line", F.size("tokens").alias("n"), prefix.alias("prefix"))
         .groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"), F.first(F.struct("n", "prefix")).alias("own"))
     )
     entries = firsts.select("at.doc", "at.line", "own.n", F.posexplode("own.prefix").alias("pos", "token"))
@@ -126,7 +129,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = spool(settled.unionByName(similar(lines, spool(others, "others"))).withColumn("gone", F.lit(True)), "gone")
 
     # Equal lines go with, and after, their first place.
-    nodes = lines.select(F.xxhash64(F.lower("body")).alias("node"), "doc", "line")
+    nodes = lines.select(F.xxhash64("words").alias("node"), "doc", "line")
     fates = nodes.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n")).select("node", "at.doc", "at.line", "n").join(gone, ["doc", "line"], "left")
     fates = fates.where("gone OR n > 1").select("node", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
     return nodes.join(fates, "node").where("gone OR NOT (doc = first_doc AND line = first_line)").select("doc", "line")
