@@ -1,15 +1,17 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of five words. They are ordered by rarity in the corpus, and
+A line's tokens are its distinct lower-cased words. They are ordered by rarity in the corpus, and
 similar lines (Jaccard 0.8 or more) then share a token among the first few of each. Length and positional
 filters leave few pairs, whose whole sets are compared. A line goes when a line before it is similar.
-Equal lines are one line at its first place. Lines that share a token are first compared with the
+Lines with equal sets are one node at its first place. Nodes that share a token are first compared with the
 earliest of them only, which settles large groups of alike lines; what that leaves unsettled is
 compared with all earlier ones.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,46 +20,35 @@ from .common import documents, hashed_filter, spool, text_or_empty
 #: Similarity in percent, and words that a line must have to be looked at: shorter ones always stay.
 SIMILAR, LEAST_WORDS = 80, 5
 LONG_ENOUGH = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]"
-#: Rarity is known by hash bucket of the tokens, in CLASSES steps. It bears on cost alone.
-BUCKETS, CLASSES = 1 << 16, 64
+#: Rarity is known by hash bucket of the tokens, in CLASS_STEPS classes for each doubling of the count and
+#: 1 << CLASS_BITS at most. It bears on cost alone.
+BUCKETS, CLASS_STEPS, CLASS_BITS = 1 << 16, 24, 10
 SPACE = r"[\x20\x09-\x0D]+"
 #: Lines that a single space does not split into words.
 UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, line (number), words (hashes of the lower-cased words): one row for each line of LEAST_WORDS words or more."""
+    """doc, line (number), words (hashes of the distinct lower-cased words, ascending), node (their hash): one row for each line of LEAST_WORDS words or more."""
     own = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
     lines = own.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(LONG_ENOUGH))
     even = F.when(F.col("body").rlike(UNEVEN), F.trim(F.regexp_replace("body", SPACE, " "))).otherwise(F.col("body"))
-    return lines.select("doc", "line", F.transform(F.split(F.lower(even), " "), lambda w: F.xxhash64(w)).alias("words"))
-
-
-def shingle(first: Column, at: Column) -> Column:
-    """Hash of the five words from place `at`, whose hash is `first`, on."""
-    return F.xxhash64(first, *[F.get("words", at + k) for k in range(1, LEAST_WORDS)])
-
-
-def with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds shingles: hashes of the line's distinct runs of five words."""
-    begins = F.slice("words", F.lit(1), F.size("words") - (LEAST_WORDS - 1))
-    return lines.withColumn("shingles", F.array_distinct(F.transform(begins, shingle)))
+    sets = lines.select("doc", "line", F.array_sort(F.array_distinct(F.transform(F.split(F.lower(even), " "), lambda w: F.xxhash64(w)))).alias("words"))
+    return sets.withColumn("node", F.xxhash64("words"))
 
 
 def rarity(lines: DataFrame) -> list[int]:
-    """The class of each hash bucket of shingles: how far its count is above the mean, in steps of three deviations."""
-    runs = lines.select("words", F.posexplode_outer("words").alias("i", "w")).where(F.col("i") <= F.size("words") - LEAST_WORDS)
-    counts = runs.select(F.pmod(shingle(F.col("w"), F.col("i")), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    """The class of each hash bucket of words: the logarithm of its count."""
+    counts = lines.select(F.explode("words").alias("w")).select(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     found = {r["b"]: r["n"] for r in counts.collect()}  # BUCKETS counts at most
-    mean = sum(found.values()) / BUCKETS
-    return [min(CLASSES - 1, max(0, int((found.get(b, 0) - mean) / (3 * mean**0.5 + 1)))) for b in range(BUCKETS)]
+    return [min((1 << CLASS_BITS) - 1, int(CLASS_STEPS * math.log2(1 + found.get(b, 0)))) for b in range(BUCKETS)]
 
 
 def ranked(lines: DataFrame, table: list[int]) -> DataFrame:
-    """Adds tokens: the shingles as longs that sort by class, then by hash (57 bits of it)."""
+    """Adds tokens: the words as longs that sort by class, then by hash (the bits of it that are left)."""
     classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to a constant
-    key = lambda w: F.shiftleft(F.get(classes, F.pmod(w, F.lit(BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(w, 7))
-    return with_shingles(lines).withColumn("tokens", F.sort_array(F.transform("shingles", key))).drop("shingles")
+    key = lambda w: F.shiftleft(F.get(classes, F.pmod(w, F.lit(BUCKETS)).cast("int")).cast("long"), 63 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(w, 1 + CLASS_BITS))
+    return lines.withColumn("tokens", F.sort_array(F.transform("words", key)))
 
 
 def needed(n: Column) -> Column:
@@ -83,15 +74,15 @@ def possible() -> Column:
 
 
 def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct (doc, line) of the later lines in `pairs` (doc_a, line_a after doc_b, line_b) whose shingle sets are similar to the earlier one's."""
-    places = pairs.selectExpr("doc_a AS doc", "line_a AS line").unionByName(pairs.selectExpr("doc_b AS doc", "line_b AS line")).distinct()
-    own = with_shingles(hashed_filter(lines, places, "doc", "line")).select("doc", "line", "shingles").dropDuplicates(["doc", "line"])
-    side = lambda x: own.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("shingles").alias(f"shingles_{x}"))
-    whole = pairs.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"])
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    union = F.size("shingles_a") + F.size("shingles_b")
-    sized = whole.select("doc_a", "line_a", both.alias("both"), union.alias("sum"))
-    return spool(sized.where(f"100 * both >= {SIMILAR} * (sum - both)").select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct(), "similar")
+    """Distinct node of the later nodes in `pairs` (node_a after node_b) whose word sets are similar to the earlier one's."""
+    nodes = pairs.selectExpr("node_a AS node").unionByName(pairs.selectExpr("node_b AS node")).distinct()
+    own = hashed_filter(lines, nodes, "node").select("node", "words").dropDuplicates(["node"])
+    side = lambda x: own.select(F.col("node").alias(f"node_{x}"), F.col("words").alias(f"words_{x}"))
+    whole = pairs.join(side("a"), "node_a").join(side("b"), "node_b")
+    both = F.size(F.array_intersect("words_a", "words_b"))
+    union = F.size("words_a") + F.size("words_b")
+    sized = whole.select("node_a", both.alias("both"), union.alias("sum"))
+    return spool(sized.where(f"100 * both >= {SIMILAR} * (sum - both)").select(F.col("node_a").alias("node")).distinct(), "similar")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,31 +97,32 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = rarity(lines)
     prefix = F.slice("tokens", 1, (F.size("tokens") - needed(F.size("tokens")) + 1).cast("int"))
     firsts = (
-        ranked(lines, table).select(F.xxhash64("words").alias("node"), "doc", "line", F.size("tokens").alias("n"), prefix.alias("prefix"))
+        ranked(lines, table).select("node", "doc", "line", F.size("tokens").alias("n"), prefix.alias("prefix"))
         .groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"), F.first(F.struct("n", "prefix")).alias("own"))
     )
-    entries = firsts.select("at.doc", "at.line", "own.n", F.posexplode("own.prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token").orderBy("doc", "line")
+    names = ("node", "doc", "line", "n", "pos")
+    entries = firsts.select("node", "at.doc", "at.line", "own.n", F.posexplode("own.prefix").alias("pos", "token"))
+    by_token = Window.partitionBy("token").orderBy("doc", "line", "node")
     first = lambda c: F.first(c).over(by_token).alias(f"{c}_b")
-    shared = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc", "line", "n", "pos")], *map(first, ("doc", "line", "n", "pos")), F.lead("doc").over(by_token).alias("more"))
-    same = "doc_a <=> doc_b AND line_a = line_b"
-    shared = spool(shared.where(f"NOT ({same}) OR more IS NOT NULL").drop("more"), "shared")
-    pair = ("doc_a", "line_a", "doc_b", "line_b")
+    shared = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in names], *map(first, names), F.lead("doc").over(by_token).alias("more"))
+    shared = spool(shared.where("node_a <> node_b OR more IS NOT NULL").drop("more"), "shared")
+    earlier = "(doc_b < doc_a OR doc_b = doc_a AND line_b < line_a)"
+    pair = ("node_a", "node_b")
     counted = lambda df: df.groupBy(*pair, "n_a", "n_b").agg(F.count("*").alias("m"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
-    to_first = counted(shared.where(f"NOT ({same})").where(fitting("a", "b"))).where("20 * m >= n_a").select(*pair)
+    to_first = counted(shared.where(earlier).where(fitting("a", "b"))).where("20 * m >= n_a").select(*pair)
     settled = similar(lines, spool(to_first, "firsts"))
 
     # What its tokens' earliest lines did not settle meets all lines before it.
-    entry = shared.select("token", *[f"{c}_a" for c in ("doc", "line", "n", "pos")])
-    later = entry.join(settled.selectExpr("doc AS doc_a", "line AS line_a"), ["doc_a", "line_a"], "left_anti")
-    before = entry.select("token", *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("doc", "line", "n", "pos")])
-    others = later.join(before, "token").where("doc_b < doc_a OR doc_b = doc_a AND line_b < line_a").where(fitting("a", "b"))
+    entry = shared.select("token", *[f"{c}_a" for c in names])
+    later = entry.join(settled.selectExpr("node AS node_a"), "node_a", "left_anti")
+    before = entry.select("token", *[F.col(f"{c}_a").alias(f"{c}_b") for c in names])
+    others = later.join(before, "token").where(earlier).where(fitting("a", "b"))
     others = counted(others).where(possible()).select(*pair)
     gone = spool(settled.unionByName(similar(lines, spool(others, "others"))).withColumn("gone", F.lit(True)), "gone")
 
-    # Equal lines go with, and after, their first place.
-    nodes = lines.select(F.xxhash64("words").alias("node"), "doc", "line")
-    fates = nodes.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n")).select("node", "at.doc", "at.line", "n").join(gone, ["doc", "line"], "left")
+    # Lines with equal sets go with, and after, their first place.
+    nodes = lines.select("node", "doc", "line")
+    fates = nodes.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n")).select("node", "at.doc", "at.line", "n").join(gone, "node", "left")
     fates = fates.where("gone OR n > 1").select("node", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
     return nodes.join(fates, "node").where("gone OR NOT (doc = first_doc AND line = first_line)").select("doc", "line")
 
