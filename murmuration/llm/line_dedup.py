@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, hashed_filter, spool, text_or_empty
 
-#: Similarity in percent, and words that a line must have to be looked at: shorter ones always stay.
-SIMILAR, LEAST_WORDS = 80, 5
-LONG_ENOUGH = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]"
+#: Similarity in percent.
+SIMILAR = 80
+#: Lines with a word.
+WORDED = r"[^\x20\x09-\x0D]"
 #: Rarity is known by hash bucket of the tokens, in CLASS_STEPS classes for each doubling of the count and
 #: 1 << CLASS_BITS at most. It bears on cost alone.
 BUCKETS, CLASS_STEPS, CLASS_BITS = 1 << 16, 24, 10
@@ -29,9 +30,9 @@ UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, line (number), words (hashes of the distinct lower-cased words, ascending), node (their hash): one row for each line of LEAST_WORDS words or more."""
+    """doc, line (number), words (hashes of the distinct lower-cased words, ascending), node (their hash): one row for each line that has a word."""
     own = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
-    lines = own.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(LONG_ENOUGH))
+    lines = own.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(WORDED))
     even = F.when(F.col("body").rlike(UNEVEN), F.trim(F.regexp_replace("body", SPACE, " "))).otherwise(F.col("body"))
     sets = lines.select("doc", "line", F.array_sort(F.array_distinct(F.transform(F.split(F.lower(even), " "), lambda w: F.xxhash64(w)))).alias("words"))
     return sets.withColumn("node", F.xxhash64("words"))
@@ -88,8 +89,8 @@ def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, line: the lines of `docs` that go, as an earlier line (smaller id, or smaller number in the same text) is equal or similar.
 
-    Lines end at line feeds and have numbers from 0. Lines with fewer than LEAST_WORDS words
-    never go; null and empty texts have none. Null ids come first. Rows that share an id stand at the
+    Lines end at line feeds and have numbers from 0. Lines without words (empty, white space) never
+    go; null and empty texts have none other. Null ids come first. Rows that share an id stand at the
     same places: neither is before the other. An earlier line counts even when it goes itself.
     """
     # The words' hashes, which take less room than the texts, are read again in each step.
