@@ -2,8 +2,9 @@
 
 A text is a sequence of tokens (words, long ones in pieces). Of its k-mers those are anchors whose
 least s-mer, by hash, is the first or the last one in them. Whether a k-mer is an anchor depends on
-the k-mer alone, so an edit elsewhere never moves an anchor. The least anchor hashes are the
-document's fingerprint, and two fingerprints' agreement estimates the Jaccard likeness of the anchors.
+the k-mer alone, so an edit elsewhere never changes which are. All anchors with their positions are the
+document's fingerprint. Two fingerprints agree in an anchor that stands in both at the same distance
+from the anchor before or behind it, and their likeness is the share of such anchors in all of both.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from .common import documents, spool, text_or_empty
 K, S = 5, 2
 #: Longest token in code points; longer words are cut, so texts without white space have many tokens too.
 TOKEN = r"[^\x20\x09-\x0D]{1,16}"
-#: Anchors in a fingerprint.
-KEPT = 64
 #: Cells that ids are counted in, and rows of a chunk of neighbouring ids.
 CELLS, CHUNK_ROWS = 1 << 14, 1_000
 
@@ -51,20 +50,37 @@ def with_anchors(df: DataFrame, text: str, name: str, positions: bool = False) -
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds `name`: the KEPT least distinct anchors, ascending."""
-    df = with_anchors(df, text, name)
-    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(name)), 1, KEPT))
+    """Adds `name`: all anchors of the text in order, as structs of hash and token position."""
+    return with_anchors(df, text, name, positions=True)
 
 
 def spelled(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """hash (8 hexadecimal digits):position of each anchor, comma-joined."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lpad(F.lower(F.hex(x["hash"])), 8, "0"), F.lit(":"), x["position"].cast("string"))), ",")
+
+
+def _placed(fingerprint: str) -> tuple[Column, Column]:
+    """Longs for each anchor: its hash, then 32 bits of the anchor before (or the text's start) and the distance to it; the same of the anchor behind, which the last one lacks."""
+    own = F.col(fingerprint)
+    most = F.greatest(F.size(own) - 1, F.lit(0))
+    head, tail = F.slice(own, F.lit(1), most), F.slice(own, 2, 1 << 30)
+    key = lambda x, other, gap: F.shiftleft(x["hash"], 32).bitwiseOR(F.hash(other, gap).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    start = F.array(F.struct(F.lit(-1).cast("long").alias("hash"), F.lit(0).alias("position")))
+    before = F.zip_with(F.slice(own, 1, 1 << 30), F.slice(F.concat(start, own), F.lit(1), F.size(own)), lambda x, y: key(x, y["hash"], x["position"] - y["position"]))
+    behind = F.zip_with(head, tail, lambda x, y: key(x, y["hash"], y["position"] - x["position"]))
+    return before, behind
 
 
 def likeness(a: str, b: str) -> Column:
-    """Of the least KEPT anchors of both together, the share that both have. 1 for two empty texts, 0 for one."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(both / F.size(union)).cast("double")
+    """Of the distinct anchors of both fingerprints, the share in which they agree. 1 for two empty texts, 0 for one.
+
+    They agree in an anchor that stands in both at the same distance from the same anchor before it (the
+    first one: from the text's start) or from the same one behind it, wherever that is in the texts.
+    """
+    (before_a, behind_a), (before_b, behind_b) = _placed(a), _placed(b)
+    agreed = F.transform(F.concat(F.array_intersect(before_a, before_b), F.array_intersect(behind_a, behind_b)), lambda x: F.shiftrightunsigned(x, 32))
+    union = F.size(F.array_union(F.col(a)["hash"], F.col(b)["hash"]))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_distinct(agreed)) / union).cast("double")
 
 
 def with_next(df: DataFrame, id_col: str, text: str, carried: dict) -> DataFrame:
@@ -104,7 +120,7 @@ def with_next(df: DataFrame, id_col: str, text: str, carried: dict) -> DataFrame
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, fingerprint (array of longs): one row for each row of `docs`; a null text counts as empty and has no anchors."""
+    """doc_id, text, fingerprint (array of hash and position of all anchors): one row for each row of `docs`; a null text counts as empty and has no anchors."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     return with_fingerprint(own, "text", "fingerprint")
 
@@ -112,12 +128,14 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of texts and of edited texts: the last third replaced by the beginning of the next document."""
     docs = documents(spark, sf_dir).select("doc_id", text_or_empty().alias("text"))
-    rows = with_next(docs, "doc_id", "text", {"fingerprint": lambda df: with_fingerprint(df, "text", "fingerprint")})
+    rows = with_next(docs, "doc_id", "text", {})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    rows = with_fingerprint(rows, "edited", "edited_fp")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    # Anchors, which can take more room than the texts, are made after the last exchange.
+    for text, name in (("text", "fingerprint"), ("next_text", "next_fingerprint"), ("edited", "edited_fp")):
+        rows = with_fingerprint(rows, text, name)
     return rows.select(
         "doc_id",
         "n_chars",
