@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidates in every text. How many repositories and owners have the same candidate
-tells copied examples from live-looking credentials of one owner: bare tokens count as secrets
-only when no other owner has them, and candidates that a pattern names stay and are classified.
+tells copied examples from live-looking credentials of few owners. An owner is a distinct text of a
+repository, so exact copies of one document there are one owner. Bare tokens count as secrets only when they aren't widely
+copied, and candidates that a pattern names stay and are classified by the same bound.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run of 18 or more from AKIA on; shorter runs hold no match
 HEX = r"[0-9a-f]{16,}"  # runs of 16 or more; runs are whole as matches are greedy
 LEAST_ASSIGNED = 12
-#: Bare tokens: 20 to 120 characters with letters of both cases and digits, as issued keys have.
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,100}[0-9])(?=[A-Z0-9+/_=-]{0,100}[a-z])(?=[a-z0-9+/_=-]{0,100}[A-Z])[A-Za-z0-9+/_=-]{20,120}(?![A-Za-z0-9+/_=-])"
+#: Bare tokens: 20 characters or more with letters of both cases and digits, as issued keys have.
+BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[A-Z0-9+/_=-]*+[a-z])(?=[a-z0-9+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{20,}+"
 BARE_GUARD = r"[A-Za-z0-9+/_=-]{20}"
 KINDS = ("assign", "access", "hex", "bare")
-#: Owners that a bare token may have, and repositories or owners from which on a candidate is a copied example.
-LIVE_OWNERS, EXAMPLE_OWNERS = 1, 3
+#: Repositories or owners from which on a candidate is a copied example.
+EXAMPLE_OWNERS = 3
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -59,7 +60,7 @@ def _spans(text: str, pattern: str, kind: int, guard: str | None = None, group:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source") -> DataFrame:
-    """doc_id, repo, row (a hash of id and text, for joins), base and bare spans: one row for each row of `docs`."""
+    """doc_id, repo, row (a hash of id and text, for joins), content (of the text, lower case), base and bare spans: one row for each row of `docs`."""
     own = docs.select(
         F.col(id_col).alias("doc_id"), (F.col(repo_col) if repo_col in docs.columns else F.lit(None)).cast("string").alias("repo"), text_or_empty(text_col).alias("text")
     )
@@ -67,6 +68,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         "repo",
         F.xxhash64("doc_id", "repo", "text").alias("row"),
+        F.xxhash64(F.lower("text")).alias("content"),
         _spans("text", ASSIGN, 0, r"(?i:passw|secret|token|api_?key)", 2, LEAST_ASSIGNED).alias("assign"),
         _spans("text", ACCESS, 1).alias("access"),
         _spans("text", HEX, 2).alias("hex"),
@@ -75,9 +77,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value_hash, repositories, owners, holders: of each candidate value (an owner is a document's id, a repository its source)."""
-    values = found.select("doc_id", "repo", F.explode(F.concat("base", "bare")).alias("span"))
-    each = values.groupBy(F.sha2("span.value", 256).alias("value_hash"), "repo", "doc_id").agg(F.count("*").alias("n"))
+    """value_hash, repositories, owners, occurrences: of each candidate value.
+
+    A repository is a source and an owner a distinct text (but for case) in one: copies of a text
+    within a source are one owner, a copy in another source is another.
+    """
+    values = found.select("content", "repo", F.explode(F.concat("base", "bare")).alias("span"))
+    each = values.groupBy(F.sha2("span.value", 256).alias("value_hash"), "repo", "content").agg(F.count("*").alias("n"))
     by_repo = each.groupBy("value_hash", "repo").agg(F.count("*").alias("owners"), F.sum("n").alias("n"))
     return by_repo.groupBy("value_hash").agg(F.count("*").alias("repositories"), F.sum("owners").alias("owners"), F.sum("n").alias("occurrences"))
 
@@ -85,10 +91,10 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source") -> DataFrame:
     """doc_id, repo and spans: array of (start, kind, end, value, owners, repositories, live); base and n_assign, n_access, n_hex besides.
 
-    Offsets are in code points, the end is exclusive. A null or empty text has no spans. Rows that are
-    repeated whole have the same spans each and count as one owner. An empty table gives an
+    Offsets are in code points, the end is exclusive. A null or empty text has no spans. Rows with the
+    same text have the same spans each and count as one owner in each repository. An empty table gives an
     empty result; columns but the three named are not looked at. Base spans always stay; a bare
-    token is a span when it touches no base span and has LIVE_OWNERS owners at most.
+    token is a span when it touches no base span and is live: under EXAMPLE_OWNERS owners and repositories.
     """
     found = spool(candidates(docs, id_col, text_col, repo_col), "secrets")
     some = found.where("size(base) + size(bare) > 0")
@@ -96,7 +102,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     rated = spans.withColumn("value_hash", F.sha2("span.value", 256)).join(ownership(some), "value_hash")
     free = ~F.exists("base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"]))
     live = (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_OWNERS)
-    kept = rated.where((F.col("span.kind") < 3) | (free & (F.col("owners") <= LIVE_OWNERS))).groupBy("row").agg(
+    kept = rated.where((F.col("span.kind") < 3) | (free & live)).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("span.start", "span.kind", "span.end", "span.value", "owners", "repositories", live.alias("live")))).alias("spans")
     )
     # one text's own candidates are all that a group holds
