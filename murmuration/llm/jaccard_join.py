@@ -335,6 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty, white space) has no shingles and is linked with nothing: its component is its own id. Rows
     that share an id are documents each. A null id is ignored in a component where others have ids. Columns but the
     two are not looked at; an empty table gives an empty result.
+    Components are all it gives: not every link is verified, so there is no list or number of links.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
