@@ -15,9 +15,20 @@ _own_root: dict[str, str] = {}
 FILTER_BUCKETS = 1 << 18
 
 
+#: Rows that `small` lets Spark broadcast.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, a spooled table of narrow rows, marked for broadcast if it has BROADCAST_ROWS rows at most; above, the join is Spark's choice."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or a folder of our own where none is named (tests)."""
+    """The folder that driver and executors share; in local mode a folder of our own where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not root:
         app = spark.sparkContext.applicationId
         if app not in _own_root:

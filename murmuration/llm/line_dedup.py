@@ -1,11 +1,14 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct lower-cased words. They are ordered by rarity in the corpus, and
-similar lines (Jaccard 0.8 or more) then share a token among the first few of each. Length and positional
-filters leave few pairs, whose whole sets are compared. A line goes when a line before it is similar.
-Lines with equal sets are one node at its first place. Nodes that share a token are first compared with the
-earliest of them only, which settles large groups of alike lines; what that leaves unsettled is
-compared with all earlier ones.
+A line's tokens are its distinct lower-cased words, ordered by rarity in the corpus. Lines with equal sets
+are one node at its first place. Similar lines (Jaccard 0.8 or more) share a token among the first few of
+each, the prefix; where that token is a frequent one, they also share a second token behind it, and the
+two together are the key on which lines meet. Lines that meet pass the length filter, the positional
+filter, and a filter on 64-bit parities of their sets, all without loss; what is left is verified on the
+words themselves. A line goes when a line before it is similar.
+
+Each node is first compared with the earliest node of a few of its tokens, which settles large groups of
+alike lines. Only nodes that this left unsettled meet all lines before them.
 """
 
 from __future__ import annotations
@@ -15,123 +18,164 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, hashed_filter, spool, text_or_empty
+from .common import documents, small, spool, text_or_empty
 
 #: Similarity in percent.
 SIMILAR = 80
 #: Lines with a word.
 WORDED = r"[^\x20\x09-\x0D]"
-#: Rarity is known by hash bucket of the tokens, in CLASS_STEPS classes for each doubling of the count and
-#: 1 << CLASS_BITS at most. It bears on cost alone.
-BUCKETS, CLASS_STEPS, CLASS_BITS = 1 << 16, 24, 10
+#: Counts of words are known by hash bucket, less what an ordinary bucket holds, in CLASS_STEPS classes for
+#: each doubling and 127 at most. They bear on cost alone, as do the words that count as FREQUENT.
+BUCKETS, CLASS_STEPS, FREQUENT = 1 << 18, 6, 300
 SPACE = r"[\x20\x09-\x0D]+"
 #: Lines that a single space does not split into words.
 UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
+#: Sets of so few words are similar to equal sets alone.
+ALONE = 3
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, line (number), words (hashes of the distinct lower-cased words, ascending), node (their hash): one row for each line that has a word."""
-    own = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
-    lines = own.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(WORDED))
+def needed(n: Column) -> Column:
+    """The least overlap of a set of n with a similar one."""
+    return F.ceil(n * SIMILAR / 100)
+
+
+def worded_lines(docs: DataFrame) -> DataFrame:
+    """doc, row, line, words (distinct, lower case) of rows (doc, row, text), for each line that has a word."""
+    lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(WORDED))
     even = F.when(F.col("body").rlike(UNEVEN), F.trim(F.regexp_replace("body", SPACE, " "))).otherwise(F.col("body"))
-    sets = lines.select("doc", "line", F.array_sort(F.array_distinct(F.transform(F.split(F.lower(even), " "), lambda w: F.xxhash64(w)))).alias("words"))
-    return sets.withColumn("node", F.xxhash64("words"))
+    return lines.select("doc", "row", "line", F.array_distinct(F.split(F.lower(even), " ")).alias("words"))
 
 
-def rarity(lines: DataFrame) -> list[int]:
-    """The class of each hash bucket of words: the logarithm of its count."""
-    counts = lines.select(F.explode("words").alias("w")).select(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    found = {r["b"]: r["n"] for r in counts.collect()}  # BUCKETS counts at most
-    return [min((1 << CLASS_BITS) - 1, int(CLASS_STEPS * math.log2(1 + found.get(b, 0)))) for b in range(BUCKETS)]
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """doc, row, line, hashes (of the distinct words, ascending), node (their hash)."""
+    hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    return worded_lines(docs).select("doc", "row", "line", hashes.alias("hashes")).withColumn("node", F.xxhash64("hashes"))
 
 
-def ranked(lines: DataFrame, table: list[int]) -> DataFrame:
-    """Adds tokens: the words as longs that sort by class, then by hash (the bits of it that are left)."""
-    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to a constant
-    key = lambda w: F.shiftleft(F.get(classes, F.pmod(w, F.lit(BUCKETS)).cast("int")).cast("long"), 63 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(w, 1 + CLASS_BITS))
-    return lines.withColumn("tokens", F.sort_array(F.transform("words", key)))
+def steps(count: float) -> int:
+    return min(127, int(CLASS_STEPS * math.log2(max(1.0, count))))
 
 
-def needed(n: Column) -> Column:
-    return F.ceil(n * SIMILAR / 100)
+def rarity(lines: DataFrame) -> list[int]:
+    """The class of each hash bucket of words. A quarter of the buckets have no more than the count that is taken off: the rare words that share each bucket."""
+    counts = lines.select(F.explode("hashes").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    found = counts.toPandas().set_index("b")["n"].reindex(range(BUCKETS), fill_value=0)  # BUCKETS counts at most
+    ordinary = float(found.quantile(0.25))
+    return [steps(n - ordinary) for n in found]
+
 
+def ranked(hashes: str, table: list[int]) -> Column:
+    """Longs that sort by class, then by hash (the 56 bits of it that are left)."""
+    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # folded to a constant
+    key = lambda w: F.shiftleft(F.get(classes, F.pmod(w, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+    return F.sort_array(F.transform(hashes, key))
 
-def fitting(a: str, b: str) -> Column:
-    """Length filter on two entries (n_a, n_b)."""
-    return F.least(f"n_{a}", f"n_{b}") * 100 >= F.greatest(f"n_{a}", f"n_{b}") * SIMILAR
+
+def distinct_lines(lines: DataFrame, table: list[int]) -> DataFrame:
+    """node, doc, line (its first place), copies, n (words), parity (bit i: whether an odd number of words hash to i), prefix (one token more than the shortest prefix that can't miss)."""
+    n = F.size("hashes")
+    parity = F.aggregate("hashes", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 50).cast("int").bitwiseAND(F.lit(63)))))
+    own = lines.select("node", F.struct("doc", "line").alias("at"), n.alias("n"), parity.alias("parity"), F.slice(ranked("hashes", table), F.lit(1), (n - needed(n) + 2).cast("int")).alias("prefix"))
+    by = own.groupBy("node").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first(F.struct("n", "parity", "prefix")).alias("own"))
+    return spool(by.select("node", "at.doc", "at.line", "copies", "own.n", "own.parity", "own.prefix"), "lines")
 
 
 def least_overlap() -> Column:
     return F.ceil((F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR) - 1e-6)
 
 
-def possible() -> Column:
-    """Positional filters on a pair with its count of shared prefix tokens m and the places of the first one (pos_a, pos_b).
+def may_be_similar() -> Column:
+    """b is before a, and neither the lengths nor the parities (which differ in no more bits than the sets in words) rule out that they are similar."""
+    earlier = F.struct(F.col("doc_b").alias("d"), F.col("line_b").alias("l")) < F.struct(F.col("doc_a").alias("d"), F.col("line_a").alias("l"))
+    fitting = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR
+    return fitting & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= most_apart()) & earlier
 
-    No overlap lies before the first shared token, and what both prefixes don't show lies behind one of them.
-    """
-    behind = needed(F.greatest("n_a", "n_b")) - 1
-    return (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least_overlap()) & (F.col("m") >= least_overlap() - behind)
 
+def most_apart() -> Column:
+    return F.col("n_a") + F.col("n_b") - 2 * least_overlap()
 
-def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct node of the later nodes in `pairs` (node_a after node_b) whose word sets are similar to the earlier one's."""
-    nodes = pairs.selectExpr("node_a AS node").unionByName(pairs.selectExpr("node_b AS node")).distinct()
-    own = hashed_filter(lines, nodes, "node").select("node", "words").dropDuplicates(["node"])
-    side = lambda x: own.select(F.col("node").alias(f"node_{x}"), F.col("words").alias(f"words_{x}"))
-    whole = pairs.join(side("a"), "node_a").join(side("b"), "node_b")
+
+def keys() -> Column:
+    """The keys of a node with their positions: each token of the shortest prefix, or, if it is frequent, its pairs with each later token of `prefix`."""
+    frequent = lambda t: F.shiftright(t, 56) >= steps(FREQUENT)
+    rest = lambda i: F.slice("prefix", i + 2, F.greatest(F.size("prefix") - i - 1, F.lit(0)))
+    each = lambda t, i: F.when(frequent(t), F.transform(rest(i), lambda u: F.struct(F.xxhash64(t, u).alias("key"), i.alias("pos")))).otherwise(F.array(F.struct(t.alias("key"), i.alias("pos"))))
+    return F.flatten(F.transform(F.slice("prefix", F.lit(1), F.size("prefix") - 1), each))
+
+
+SIDE = ("node", "doc", "line", "n", "parity")
+PAIR = [f"{c}_{x}" for x in "ab" for c in ("node", "doc", "line")]
+
+
+def side(df: DataFrame, x: str, *more: str) -> DataFrame:
+    return df.select(*[F.col(c) for c in more if c == "key"], *[F.col(c).alias(f"{c}_{x}") for c in (*SIDE, *more) if c != "key"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node: those node_a in `pairs` whose words are similar to node_b's; the words come from the texts again."""
+    ends = pairs.selectExpr("doc_a AS d", "line_a AS l", "node_a AS node").unionByName(pairs.selectExpr("doc_b AS d", "line_b AS l", "node_b AS node")).distinct()
+    wanted = spool(ends.groupBy("d").agg(F.collect_set("l").alias("wanted")), "wanted")  # of one text's lines
+    held = docs.join(small(wanted), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "row", F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("wanted", i), x)), lambda x: x.isNotNull()).alias("lines"))
+    held = worded_lines(held.select("doc", "row", F.array_join("lines", "\n").alias("text")))
+    node = F.xxhash64(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))))
+    sets = spool(held.select(node.alias("node"), "words").dropDuplicates(["node"]), "words")
+    whole = pairs.join(sets.select(F.col("node").alias("node_a"), F.col("words").alias("words_a")), "node_a").join(sets.select(F.col("node").alias("node_b"), F.col("words").alias("words_b")), "node_b")
     both = F.size(F.array_intersect("words_a", "words_b"))
-    union = F.size("words_a") + F.size("words_b")
-    sized = whole.select("node_a", both.alias("both"), union.alias("sum"))
+    sized = whole.select("node_a", both.alias("both"), (F.size("words_a") + F.size("words_b")).alias("sum"))
     return spool(sized.where(f"100 * both >= {SIMILAR} * (sum - both)").select(F.col("node_a").alias("node")).distinct(), "similar")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, line: the lines of `docs` that go, as an earlier line (smaller id, or smaller number in the same text) is equal or similar.
+    """doc, row, line: the lines of `docs` that go, as an earlier line (smaller id, or smaller number in the same text) is equal or similar.
 
     Lines end at line feeds and have numbers from 0. Lines without words (empty, white space) never
     go; null and empty texts have none other. Null ids come first. Rows that share an id stand at the
-    same places: neither is before the other. An earlier line counts even when it goes itself.
+    same places: neither is before the other; `row`, a hash of the text, tells them apart. An earlier line
+    counts even when it goes itself. Very long texts and lines are taken whole. Nodes are 64-bit hashes of word sets.
     """
-    # The words' hashes, which take less room than the texts, are read again in each step.
-    lines = spool(lines_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "lines")
-    table = rarity(lines)
-    prefix = F.slice("tokens", 1, (F.size("tokens") - needed(F.size("tokens")) + 1).cast("int"))
-    firsts = (
-        ranked(lines, table).select("node", "doc", "line", F.size("tokens").alias("n"), prefix.alias("prefix"))
-        .groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"), F.first(F.struct("n", "prefix")).alias("own"))
-    )
-    names = ("node", "doc", "line", "n", "pos")
-    entries = firsts.select("node", "at.doc", "at.line", "own.n", F.posexplode("own.prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token").orderBy("doc", "line", "node")
-    first = lambda c: F.first(c).over(by_token).alias(f"{c}_b")
-    shared = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in names], *map(first, names), F.lead("doc").over(by_token).alias("more"))
-    shared = spool(shared.where("node_a <> node_b OR more IS NOT NULL").drop("more"), "shared")
-    earlier = "(doc_b < doc_a OR doc_b = doc_a AND line_b < line_a)"
-    pair = ("node_a", "node_b")
-    counted = lambda df: df.groupBy(*pair, "n_a", "n_b").agg(F.count("*").alias("m"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
-    to_first = counted(shared.where(earlier).where(fitting("a", "b"))).where("20 * m >= n_a").select(*pair)
-    settled = similar(lines, spool(to_first, "firsts"))
+    docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
+    lines = hashed_lines(docs)
+    nodes = distinct_lines(lines, rarity(lines))
+    joined = nodes.where(F.col("n") > ALONE)
+
+    # A few tokens of each prefix, and the earliest node of each.
+    last = F.size("prefix") - 2
+    few = F.array_distinct(F.array(*[F.get("prefix", F.floor(last * part / 2).cast("int")) for part in range(3)]))
+    met = joined.select(*SIDE, F.explode(few).alias("key"))
+    by_key = Window.partitionBy("key").orderBy("doc", "line", "node")
+    met = met.select(*[F.col(c).alias(f"{c}_a") for c in SIDE], *[F.first(c).over(by_key).alias(f"{c}_b") for c in SIDE]).where(may_be_similar())
+    settled = verified(docs, spool(met.select(*PAIR).distinct(), "firsts"))
 
     # What its tokens' earliest lines did not settle meets all lines before it.
-    entry = shared.select("token", *[f"{c}_a" for c in names])
-    later = entry.join(settled.selectExpr("node AS node_a"), "node_a", "left_anti")
-    before = entry.select("token", *[F.col(f"{c}_a").alias(f"{c}_b") for c in names])
-    others = later.join(before, "token").where(earlier).where(fitting("a", "b"))
-    others = counted(others).where(possible()).select(*pair)
-    gone = spool(settled.unionByName(similar(lines, spool(others, "others"))).withColumn("gone", F.lit(True)), "gone")
+    left = joined.join(small(settled.withColumn("settled", F.lit(True))), "node", "left")
+    entries = left.select(*SIDE, F.col("settled").isNull().alias("open"), F.explode(keys()).alias("k")).select("k.key", "k.pos", *SIDE, "open").repartition("key")
+    meeting = side(entries.where("open"), "a", "key", "pos").join(side(entries, "b", "key", "pos"), "key")
+    # No overlap lies before the first shared token.
+    meeting = meeting.where((F.col("pos_a") + F.col("pos_b") <= most_apart()) & may_be_similar()).select(*PAIR).distinct()
+    gone = settled.unionByName(verified(docs, spool(meeting, "others"))).withColumn("gone", F.lit(True))
 
     # Lines with equal sets go with, and after, their first place.
-    nodes = lines.select("node", "doc", "line")
-    fates = nodes.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n")).select("node", "at.doc", "at.line", "n").join(gone, "node", "left")
-    fates = fates.where("gone OR n > 1").select("node", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return nodes.join(fates, "node").where("gone OR NOT (doc = first_doc AND line = first_line)").select("doc", "line")
+    fates = nodes.select("node", "doc", "line", "copies").join(small(gone), "node", "left").where("gone OR copies > 1")
+    fates = spool(fates.select("node", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone")), "fates")
+    at_first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))
+    return lines.select("node", "doc", "row", "line").join(fates, "node").where(F.col("gone") | ~at_first).select("doc", "row", "line").distinct()
+
+
+def with_removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with __gone: the numbers of its lines that go, ascending, or null."""
+    gone = removed_lines(docs, id_col, text_col).groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_set("line")).alias("__gone"))  # of one text's lines
+    same = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__row"))
+    return docs.join(gone, same, "left").drop("__doc", "__row")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with their columns, without the lines that go. A text of which no line stays goes too; one without lines to look at stays as it is."""
-    gone = removed_lines(docs, id_col, text_col).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))  # of one text's lines
-    kept = docs.join(gone, F.col(id_col) == F.col("__doc"), "left")
+    """`docs` with their columns, without the lines that go (see removed_lines).
+
+    A text of which no line stays goes too; one without lines to look at stays as it is (null, empty). Rows
+    repeated whole are treated alike. An empty table gives an empty one. Other columns are kept as
+    they are, whatever their names but __doc, __row, __gone and __rest.
+    """
+    kept = with_removed(docs, id_col, text_col)
     rest = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i))
     kept = kept.withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
     some = F.exists("__rest", lambda x: F.trim(x) != "")
@@ -141,9 +185,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the lines that go, comma-joined), one row for each document."""
-    docs = documents(spark, sf_dir)
-    gone = removed_lines(docs).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # of one text's lines
-    own = docs.select("doc_id", F.size(F.split(text_or_empty(), "\n")).cast("long").alias("n_lines"))
-    return own.join(gone, F.col("doc_id") == F.col("doc"), "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("lines", ","), F.lit("")).alias("removed")
+    rows = with_removed(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
+    return rows.select(
+        "doc_id",
+        F.size(F.split(text_or_empty(), "\n")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join("__gone", ","), F.lit("")).alias("removed"),
     )

@@ -44,6 +44,25 @@ def test_lines_by_word_sets_against_brute_force(spark):
     assert removed(spark, data) == plain_removed_by_words(data)
 
 
+def test_lines_that_meet_on_pairs_of_words(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FREQUENT", 1)
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1 << 10)
+    assert removed(spark, word_docs(4)) == plain_removed_by_words(word_docs(4))
+
+
+def test_lines_of_rows_without_an_id_come_first(spark):
+    data = [(None, "one two three", "en", "s", 0), (1, "One two three\nother words", "en", "s", 0), (1, "one two three", "en", "s", 0), (None, "one two three", "en", "s", 0)]
+    assert removed(spark, data) == {(1, 0)}
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(frame(spark, data)).collect())
+    assert kept == [(0, "one two three"), (0, "one two three"), (1, "other words")]
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    data = [(1, "a b c d e f", "en", "s", 0), (2, "A b c d e f\nx", "en", "s", 0), (2, "quite another line\ny", "en", "s", 0)]
+    kept = sorted(r["text"] for r in line_dedup.dedup_lines(frame(spark, data)).collect())
+    assert kept == ["a b c d e f", "quite another line\ny", "x"]
+
+
 def test_one_changed_word_in_the_middle(spark):
     w = [f"w{i}" for i in range(30)]
     data = [(1, " ".join(w), "en", "s", 0), (2, " ".join([*w[:15], "other", *w[16:]]), "en", "s", 0)]

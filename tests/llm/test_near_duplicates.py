@@ -111,7 +111,8 @@ def test_shingles_of_sliced_batches():
 
 def plain_removed(data):
     places = sorted((r[0], i, x) for r in data if r[0] is not None for i, x in enumerate((r[1] or "").split("\n")))
-    sets = [(d, i, shingle_set(x)) for d, i, x in places if len(re.findall(r"[^ \t\n\x0b\f\r]+", x)) >= 5]
+    sets = [(d, i, set(re.findall(r"[^ \t\n\x0b\f\r]+", x.lower()))) for d, i, x in places]
+    sets = [(d, i, s) for d, i, s in sets if s]
     out = set()
     for k, (d, i, s) in enumerate(sets):
         for e, j, t in sets[:k]:
@@ -126,7 +127,7 @@ def line_docs(seed=3):
     base = [words(rng, rng.randint(3, 40)) for _ in range(30)]
     out = []
     for i in range(40):
-        picks = [edited(rng, rng.choice(base), rng.choice([0, 0, 0.03, 0.1])) if rng.random() < 0.6 else words(rng, rng.randint(1, 25)) for _ in range(rng.randint(1, 8))]
+        picks = [edited(rng, rng.choice(base), rng.choice([0, 0, 0.05, 0.15])) if rng.random() < 0.6 else words(rng, rng.randint(1, 25)) for _ in range(rng.randint(1, 8))]
         out.append((i, "\n".join(picks), "en", "s", 0))
     return out + [(50, None, "en", "s", 0), (51, "", "en", "s", 0), (52, "\n\n", "en", "s", 0), (53, out[0][1], "en", "s", 0), (54, "one two three four five " * 900, "en", "s", 0), (55, "ONE  two three\tfour five ", "en", "s", 0), (56, "one two three four five", "en", "s", 0)]
 
