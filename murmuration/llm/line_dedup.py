@@ -26,10 +26,8 @@ SIMILAR = 80
 WORDED = r"[^\x20\x09-\x0D]"
 #: Counts of words are known by hash bucket, less what an ordinary bucket holds, in CLASS_STEPS classes for
 #: each doubling and 127 at most. They bear on cost alone, as do the words that count as FREQUENT.
-BUCKETS, CLASS_STEPS, FREQUENT = 1 << 18, 6, 300
+BUCKETS, CLASS_STEPS, FREQUENT = 1 << 17, 6, 3000
 SPACE = r"[\x20\x09-\x0D]+"
-#: Lines that a single space does not split into words.
-UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
 #: Sets of so few words are similar to equal sets alone.
 ALONE = 3
 
@@ -39,26 +37,34 @@ def needed(n: Column) -> Column:
     return F.ceil(n * SIMILAR / 100)
 
 
-def worded_lines(docs: DataFrame) -> DataFrame:
-    """doc, row, line, words (distinct, lower case) of rows (doc, row, text), for each line that has a word."""
-    lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(WORDED))
-    even = F.when(F.col("body").rlike(UNEVEN), F.trim(F.regexp_replace("body", SPACE, " "))).otherwise(F.col("body"))
-    return lines.select("doc", "row", "line", F.array_distinct(F.split(F.lower(even), " ")).alias("words"))
+def worded_lines(lines: DataFrame) -> DataFrame:
+    """`lines` (body and others) with words (lower case, by white space) in place of body, for those that have a word."""
+    body = F.col("body")
+    uneven = body.contains("  ") | body.startswith(" ") | body.endswith(" ")
+    for space in "\t\x0b\x0c\r":
+        uneven = uneven | body.contains(space)
+    even = F.when(uneven, F.trim(F.regexp_replace("body", SPACE, " "))).otherwise(body)
+    return lines.where(body.rlike(WORDED)).select(*[c for c in lines.columns if c != "body"], F.split(F.lower(even), " ").alias("words"))
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """doc, row, line, hashes (of the distinct words, ascending), node (their hash)."""
-    hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
-    return worded_lines(docs).select("doc", "row", "line", hashes.alias("hashes")).withColumn("node", F.xxhash64("hashes"))
+def split_lines(docs: DataFrame) -> DataFrame:
+    """doc, row, line, body of rows (doc, row, text)."""
+    return docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+
+
+def hashes() -> Column:
+    """Hashes of the distinct words, ascending."""
+    return F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
 
 
 def steps(count: float) -> int:
     return min(127, int(CLASS_STEPS * math.log2(max(1.0, count))))
 
 
-def rarity(lines: DataFrame) -> list[int]:
+def rarity(docs: DataFrame) -> list[int]:
     """The class of each hash bucket of words. A quarter of the buckets have no more than the count that is taken off: the rare words that share each bucket."""
-    counts = lines.select(F.explode("hashes").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    words = worded_lines(split_lines(docs)).select(F.explode("words").alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     found = counts.toPandas().set_index("b")["n"].reindex(range(BUCKETS), fill_value=0)  # BUCKETS counts at most
     ordinary = float(found.quantile(0.25))
     return [steps(n - ordinary) for n in found]
@@ -71,60 +77,91 @@ def ranked(hashes: str, table: list[int]) -> Column:
     return F.sort_array(F.transform(hashes, key))
 
 
-def distinct_lines(lines: DataFrame, table: list[int]) -> DataFrame:
-    """node, doc, line (its first place), copies, n (words), parity (bit i: whether an odd number of words hash to i), prefix (one token more than the shortest prefix that can't miss)."""
-    n = F.size("hashes")
-    parity = F.aggregate("hashes", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 50).cast("int").bitwiseAND(F.lit(63)))))
-    own = lines.select("node", F.struct("doc", "line").alias("at"), n.alias("n"), parity.alias("parity"), F.slice(ranked("hashes", table), F.lit(1), (n - needed(n) + 2).cast("int")).alias("prefix"))
-    by = own.groupBy("node").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first(F.struct("n", "parity", "prefix")).alias("own"))
-    return spool(by.select("node", "at.doc", "at.line", "copies", "own.n", "own.parity", "own.prefix"), "lines")
+def parity(hashes) -> Column:
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 50).cast("int").bitwiseAND(F.lit(63)))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+
 
+def described(docs: DataFrame, table: list[int]) -> DataFrame:
+    """One row for each line with a word: id, doc, row, line, node (hash of its set), n (words), parity (bit i: whether an odd
+    number of words hash to i), prefix (one token more than the shortest prefix that can't miss; null where equal sets alone are similar)."""
+    own = worded_lines(split_lines(docs)).withColumn("hashes", hashes()).withColumn("n", F.size("hashes"))
+    prefix = F.when(F.col("n") > ALONE, F.slice(ranked("hashes", table), F.lit(1), (F.col("n") - needed(F.col("n")) + 2).cast("int")))
+    return spool(own.select(F.monotonically_increasing_id().alias("id"), "doc", "row", "line", F.xxhash64("hashes").alias("node"), "n", parity("hashes").alias("parity"), prefix.alias("prefix")), "lines")
 
-def least_overlap() -> Column:
-    return F.ceil((F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR) - 1e-6)
+
+def most_apart() -> Column:
+    """In so many words two similar sets (n_a, n_b) differ at most."""
+    return F.col("n_a") + F.col("n_b") - 2 * F.ceil((F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR) - 1e-6)
 
 
 def may_be_similar() -> Column:
-    """b is before a, and neither the lengths nor the parities (which differ in no more bits than the sets in words) rule out that they are similar."""
-    earlier = F.struct(F.col("doc_b").alias("d"), F.col("line_b").alias("l")) < F.struct(F.col("doc_a").alias("d"), F.col("line_a").alias("l"))
+    """Neither the lengths nor the parities, which differ in no more bits than the sets in words, rule it out."""
     fitting = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR
-    return fitting & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= most_apart()) & earlier
+    return fitting & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= most_apart())
 
 
-def most_apart() -> Column:
-    return F.col("n_a") + F.col("n_b") - 2 * least_overlap()
+def earlier() -> Column:
+    """b is before a, null ids first."""
+    place = lambda x: F.struct(F.col(f"doc_{x}").alias("d"), F.col(f"line_{x}").alias("l"))
+    return place("b") < place("a")
 
 
 def keys() -> Column:
-    """The keys of a node with their positions: each token of the shortest prefix, or, if it is frequent, its pairs with each later token of `prefix`."""
+    """The keys of a line with their positions: each token of the shortest prefix, or, if it is frequent, its pairs with each later token of `prefix`."""
     frequent = lambda t: F.shiftright(t, 56) >= steps(FREQUENT)
     rest = lambda i: F.slice("prefix", i + 2, F.greatest(F.size("prefix") - i - 1, F.lit(0)))
     each = lambda t, i: F.when(frequent(t), F.transform(rest(i), lambda u: F.struct(F.xxhash64(t, u).alias("key"), i.alias("pos")))).otherwise(F.array(F.struct(t.alias("key"), i.alias("pos"))))
     return F.flatten(F.transform(F.slice("prefix", F.lit(1), F.size("prefix") - 1), each))
 
 
-SIDE = ("node", "doc", "line", "n", "parity")
-PAIR = [f"{c}_{x}" for x in "ab" for c in ("node", "doc", "line")]
+def named(df: DataFrame, x: str, *same: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in same else F.col(c).alias(f"{c}_{x}") for c in df.columns])
 
 
-def side(df: DataFrame, x: str, *more: str) -> DataFrame:
-    return df.select(*[F.col(c) for c in more if c == "key"], *[F.col(c).alias(f"{c}_{x}") for c in (*SIDE, *more) if c != "key"])
+def sets_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """node, n, words, wide (parities as of `described`, of 256 bits) of the lines at `places`, from the texts again."""
+    wanted = spool(places.groupBy("doc", "row").agg(F.collect_set("line").alias("wanted")), "wanted")  # of one text's lines
+    wanted = wanted.select(F.col("doc").alias("d"), F.col("row").alias("r"), "wanted")
+    held = docs.join(small(wanted), F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    bodies = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("wanted", i), x)), lambda x: x.isNotNull())
+    sets = worded_lines(held.select(F.explode(bodies).alias("body"))).withColumn("hashes", hashes())
+    sets = sets.select(F.xxhash64("hashes").alias("node"), F.size("hashes").alias("n"), F.array_distinct("words").alias("words"), "hashes")
+    part = lambda i: parity(F.filter("hashes", lambda w: F.shiftrightunsigned(w, 40).bitwiseAND(F.lit(3)) == i))
+    return spool(sets.dropDuplicates(["node"]).select("node", "n", "words", *[part(i).alias(f"wide{i}") for i in range(4)]), "words")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node: those node_a in `pairs` whose words are similar to node_b's; the words come from the texts again."""
-    ends = pairs.selectExpr("doc_a AS d", "line_a AS l", "node_a AS node").unionByName(pairs.selectExpr("doc_b AS d", "line_b AS l", "node_b AS node")).distinct()
-    wanted = spool(ends.groupBy("d").agg(F.collect_set("l").alias("wanted")), "wanted")  # of one text's lines
-    held = docs.join(small(wanted), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "row", F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("wanted", i), x)), lambda x: x.isNotNull()).alias("lines"))
-    held = worded_lines(held.select("doc", "row", F.array_join("lines", "\n").alias("text")))
-    node = F.xxhash64(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))))
-    sets = spool(held.select(node.alias("node"), "words").dropDuplicates(["node"]), "words")
-    whole = pairs.join(sets.select(F.col("node").alias("node_a"), F.col("words").alias("words_a")), "node_a").join(sets.select(F.col("node").alias("node_b"), F.col("words").alias("words_b")), "node_b")
+def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node: the distinct node_a of those `pairs` whose words are similar."""
+    words = sets.select("node", "words")
+    whole = pairs.select("node_a", "node_b").join(named(words, "a"), "node_a").join(named(words, "b"), "node_b")
     both = F.size(F.array_intersect("words_a", "words_b"))
     sized = whole.select("node_a", both.alias("both"), (F.size("words_a") + F.size("words_b")).alias("sum"))
     return spool(sized.where(f"100 * both >= {SIMILAR} * (sum - both)").select(F.col("node_a").alias("node")).distinct(), "similar")
 
 
+def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node: those of the later line in each of `pairs` (id_a, id_b) whose words are similar to the earlier one's.
+
+    Wide parities leave hardly any other pairs. The likeliest one of each line is verified first, then the others of lines that this didn't settle.
+    """
+    ends = spool(pairs.selectExpr("id_a AS id").unionByName(pairs.selectExpr("id_b AS id")).distinct(), "ends")
+    places = spool(lines.select("id", "node", "doc", "row", "line").join(small(ends), "id"), "places")
+    placed = pairs.join(small(named(places, "a")), "id_a").join(small(named(places, "b")), "id_b")
+    swap = lambda x, y: F.when(earlier(), F.col(x)).otherwise(F.col(y)).alias(x)
+    apart = ~F.col("doc_a").eqNullSafe(F.col("doc_b")) | (F.col("line_a") != F.col("line_b"))
+    placed = placed.where(apart).select(swap("node_a", "node_b"), swap("node_b", "node_a"))
+    sets = sets_of(docs, places)
+    wide = small(sets.drop("words"))
+    bits = sum((F.bit_count(F.col(f"wide{i}_a").bitwiseXOR(F.col(f"wide{i}_b"))) for i in range(4)), F.lit(0))
+    near = placed.join(named(wide, "a"), "node_a").join(named(wide, "b"), "node_b").withColumn("bits", bits).where(F.col("bits") <= most_apart())
+    near = spool(near.select("node_a", "node_b", "bits"), "near")
+    best = spool(near.groupBy("node_a").agg(F.min(F.struct("bits", "node_b")).alias("best")).select("node_a", "best.node_b"), "best")
+    settled = similar(sets, best)
+    rest = near.join(small(settled.select(F.col("node").alias("node_a"))), "node_a", "left_anti")
+    return settled.unionByName(similar(sets, rest.join(best, ["node_a", "node_b"], "left_anti")))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, row, line: the lines of `docs` that go, as an earlier line (smaller id, or smaller number in the same text) is equal or similar.
 
@@ -134,31 +171,37 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts even when it goes itself. Very long texts and lines are taken whole. Nodes are 64-bit hashes of word sets.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
-    lines = hashed_lines(docs)
-    nodes = distinct_lines(lines, rarity(lines))
-    joined = nodes.where(F.col("n") > ALONE)
+    lines = described(docs, rarity(docs))
+
+    # Of lines with equal sets the first one stands for all.
+    repeated = spool(lines.groupBy("node").agg(F.count("*").alias("copies")).where("copies > 1").select("node"), "repeated")
+    firsts = lines.join(small(repeated), "node").groupBy("node").agg(F.min(F.struct("doc", "line", "id")).alias("first"))
+    firsts = spool(firsts.select("node", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first.id").alias("first_id")), "repeats")
+    nodes = lines.where("prefix IS NOT NULL").join(small(firsts.select("node", "first_id")), "node", "left").where("first_id IS NULL OR id = first_id")
 
     # A few tokens of each prefix, and the earliest node of each.
-    last = F.size("prefix") - 2
-    few = F.array_distinct(F.array(*[F.get("prefix", F.floor(last * part / 2).cast("int")) for part in range(3)]))
-    met = joined.select(*SIDE, F.explode(few).alias("key"))
-    by_key = Window.partitionBy("key").orderBy("doc", "line", "node")
-    met = met.select(*[F.col(c).alias(f"{c}_a") for c in SIDE], *[F.first(c).over(by_key).alias(f"{c}_b") for c in SIDE]).where(may_be_similar())
-    settled = verified(docs, spool(met.select(*PAIR).distinct(), "firsts"))
-
-    # What its tokens' earliest lines did not settle meets all lines before it.
-    left = joined.join(small(settled.withColumn("settled", F.lit(True))), "node", "left")
-    entries = left.select(*SIDE, F.col("settled").isNull().alias("open"), F.explode(keys()).alias("k")).select("k.key", "k.pos", *SIDE, "open").repartition("key")
-    meeting = side(entries.where("open"), "a", "key", "pos").join(side(entries, "b", "key", "pos"), "key")
-    # No overlap lies before the first shared token.
-    meeting = meeting.where((F.col("pos_a") + F.col("pos_b") <= most_apart()) & may_be_similar()).select(*PAIR).distinct()
-    gone = settled.unionByName(verified(docs, spool(meeting, "others"))).withColumn("gone", F.lit(True))
+    own = ("id", "doc", "line", "n", "parity")
+    few = F.array_distinct(F.array(*[F.get("prefix", F.floor((F.size("prefix") - 2) * part / 2).cast("int")) for part in (1, 2)]))
+    by_key = Window.partitionBy("key").orderBy("doc", "line", "id")
+    met = nodes.select(*own, F.explode(few).alias("key")).select(*[F.col(c).alias(f"{c}_a") for c in own], *[F.first(c).over(by_key).alias(f"{c}_b") for c in own])
+    met = met.where(earlier() & may_be_similar()).select("id_a", "id_b").distinct()
+    settled = verified(docs, lines, spool(met, "firsts"))
+
+    # What its tokens' earliest lines did not settle meets all others.
+    left = nodes.join(small(settled.withColumn("settled", F.lit(True))), "node", "left")
+    entries = left.select("id", "n", "parity", F.col("settled").isNull().alias("open"), F.explode(keys()).alias("k"))
+    entries = entries.select("k.key", "id", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("k.pos").cast("long"), 1)).bitwiseOR(F.col("open").cast("long")).alias("packed")).repartition("key")
+    entries = entries.select("key", "id", "parity", F.shiftright("packed", 32).cast("int").alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("pos"), (F.col("packed") % 2 == 1).alias("open"))
+    meeting = named(entries.where("open"), "a", "key").join(named(entries, "b", "key"), "key")
+    # No overlap lies before the first shared token. Two open lines meet twice.
+    meeting = meeting.where((F.col("pos_a") + F.col("pos_b") <= most_apart()) & may_be_similar() & (F.col("id_a") != F.col("id_b")) & (~F.col("open_b") | (F.col("id_b") < F.col("id_a"))))
+    gone = settled.unionByName(verified(docs, lines, spool(meeting.select("id_a", "id_b").distinct(), "others"))).distinct()
 
     # Lines with equal sets go with, and after, their first place.
-    fates = nodes.select("node", "doc", "line", "copies").join(small(gone), "node", "left").where("gone OR copies > 1")
-    fates = spool(fates.select("node", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone")), "fates")
+    gone = spool(gone, "gone").withColumn("gone", F.lit(True))
+    fates = spool(firsts.drop("first_id").join(gone, "node", "full_outer"), "fates")
     at_first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    return lines.select("node", "doc", "row", "line").join(fates, "node").where(F.col("gone") | ~at_first).select("doc", "row", "line").distinct()
+    return lines.select("node", "doc", "row", "line").join(small(fates), "node").where(F.col("gone") | ~at_first).select("doc", "row", "line").distinct()
 
 
 def with_removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
