@@ -273,6 +273,13 @@ def enough(m: str, a: str, b: str):
     return F.col(m) >= F.greatest(F.lit(1), least - F.greatest(f"rest_{a}", f"rest_{b}"))
 
 
+def _unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those `pairs` (a, b) that `edges` don't join."""
+    root = connected_components(edges)
+    both = pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return spool(both.where("NOT (coalesce(ra, a) <=> coalesce(rb, b))").select(*pairs.columns), "apart")
+
+
 def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     """Edges (u, v) of nodes: every link of different sets is an edge, or its ends are joined by edges."""
     top = meta.where("token").groupBy("node").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
@@ -310,19 +317,32 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     edges = spool(edges.unionByName(_edges(compared)), "edges")
 
     # Groups that aren't linked by their hubs, but whose members may be.
-    near = compared.where(f"NOT ({LINKED})").join(pairs.where("radius > 0"), ["a", "b"]).withColumn("gap", F.lit(1 - MAX_DISTANCE - 1e-6) - F.col("both") / F.col("union")).where("gap <= radius / 1000000").select("a", "b", "gap")
-    near = spool(near, "near")
-    if near.isEmpty():
+    hub_distance = F.lit(1) - F.col("both") / F.col("union")
+    near = compared.where(f"NOT ({LINKED})").join(pairs.where("radius > 0"), ["a", "b"]).withColumn("d", hub_distance).where(F.col("d") - MAX_DISTANCE - 1e-6 <= F.col("radius") / 1_000_000)
+    apart = _unlinked(spool(near.select("a", "b", "d"), "near"), edges)
+    if apart.isEmpty():
         return edges
-    root = connected_components(edges)
-    apart = near.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    apart = spool(apart.where("NOT (coalesce(ra, a) <=> coalesce(rb, b))").select("a", "b", "gap"), "apart")
+    # First each member with the other group's hub: that links most groups, and tells how far each member is from both hubs.
+    everyone = own.join(placed.select("node", "center", "distance"), "node", "left").select("node", "n", "rest", F.coalesce("center", "node").alias("home"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    ways = apart.select(F.col("a").alias("home"), F.col("b").alias("away"), "d").unionByName(apart.select(F.col("b").alias("home"), F.col("a").alias("away"), "d"))
+    sides = spool(ways.join(everyone, "home"), "sides")
+    crossed = verify(docs, spool(sides.where("node <> home").select(F.col("node").alias("a"), F.col("away").alias("b")).distinct(), "crossed"))
+    edges = spool(edges.unionByName(_edges(crossed)), "edges")
+    apart = _unlinked(apart, edges)
     if apart.isEmpty():
         return edges
-    full = shared.select("token", "node", "n", "rest").join(placed.select("node", "center", "distance"), "node", "left").withColumns({"center": F.coalesce("center", "node"), "distance": F.coalesce("distance", F.lit(0.0))})
-    # Two members' distance is at least that of their hubs less their own from the hubs.
-    side = lambda x: full.select("token", F.col("distance").alias(f"off_{x}"), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"lo_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("center").alias(x))
-    members = side("a").join(apart, "a").join(side("b"), ["token", "b"]).where(f"off_a + off_b >= gap AND 100 * least(lo_a, lo_b) >= {THRESHOLD} * greatest(lo_a, lo_b)")
+    # Then members of groups that are still apart: by the triangle inequality on both hubs, two that link are about as far from either.
+    far = crossed.select(F.col("a").alias("node"), F.col("b").alias("away"), hub_distance.alias("cross"))
+    sides = sides.join(far, ["node", "away"], "left").withColumn("cross", F.coalesce("cross", "d")).drop("d")
+    tokens = shared.select("token", "node")
+
+    def side(x: str, home: str, away: str) -> DataFrame:
+        own_side = sides.join(apart.select("a", "b"), (F.col("home") == F.col(home)) & (F.col("away") == F.col(away))).join(tokens, "node")
+        return own_side.select("token", "a", "b", *[F.col(c).alias(f"{name}_{x}") for c, name in (("node", "node"), ("n", "lo"), ("rest", "rest"), ("distance", "off"), ("cross", "cross"))])
+
+    members = side("a", "a", "b").join(side("b", "b", "a"), ["token", "a", "b"]).where(
+        f"abs(off_a - cross_b) <= {MAX_DISTANCE} + 1e-6 AND abs(cross_a - off_b) <= {MAX_DISTANCE} + 1e-6 AND 100 * least(lo_a, lo_b) >= {THRESHOLD} * greatest(lo_a, lo_b)"
+    )
     members = members.groupBy("node_a", "node_b", "lo_a", "lo_b", "rest_a", "rest_b").agg(F.count("*").alias("m")).where(enough("m", "a", "b"))
     found = verify(docs, spool(members.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "members"))
     return edges.unionByName(_edges(found))

@@ -120,21 +120,25 @@ def named(df: DataFrame, x: str, *same: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """node, n, words, wide (parities as of `described`, of 256 bits) of the lines at `places`, from the texts again."""
+    """node, n, body, wide (parities as of `described`, of 256 bits) of the lines at `places`, from the texts again."""
     wanted = spool(places.groupBy("doc", "row").agg(F.collect_set("line").alias("wanted")), "wanted")  # of one text's lines
     wanted = wanted.select(F.col("doc").alias("d"), F.col("row").alias("r"), "wanted")
     held = docs.join(small(wanted), F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
     bodies = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("wanted", i), x)), lambda x: x.isNotNull())
-    sets = worded_lines(held.select(F.explode(bodies).alias("body"))).withColumn("hashes", hashes())
-    sets = sets.select(F.xxhash64("hashes").alias("node"), F.size("hashes").alias("n"), F.array_distinct("words").alias("words"), "hashes")
+    found = held.select(F.explode(bodies).alias("body"))
+    nodes = worded_lines(found.select("body", F.col("body").alias("own"))).withColumn("hashes", hashes())
+    sets = nodes.select(F.xxhash64("hashes").alias("node"), F.col("own").alias("body"), F.size("hashes").alias("n"), "hashes")
     part = lambda i: parity(F.filter("hashes", lambda w: F.shiftrightunsigned(w, 40).bitwiseAND(F.lit(3)) == i))
-    return spool(sets.dropDuplicates(["node"]).select("node", "n", "words", *[part(i).alias(f"wide{i}") for i in range(4)]), "words")
+    sets = sets.select("node", "n", "body", *[part(i).alias(f"wide{i}") for i in range(4)])
+    return spool(sets.dropDuplicates(["node"]), "sets")
 
 
 def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """node: the distinct node_a of those `pairs` whose words are similar."""
-    words = sets.select("node", "words")
-    whole = pairs.select("node_a", "node_b").join(named(words, "a"), "node_a").join(named(words, "b"), "node_b")
+    bodies = sets.select("node", "body")
+    whole = pairs.select("node_a", "node_b").join(named(bodies, "a"), "node_a").join(named(bodies, "b"), "node_b")
+    for x in "ab":
+        whole = worded_lines(whole.withColumnRenamed(f"body_{x}", "body")).withColumn(f"words_{x}", F.array_distinct("words")).drop("words")
     both = F.size(F.array_intersect("words_a", "words_b"))
     sized = whole.select("node_a", both.alias("both"), (F.size("words_a") + F.size("words_b")).alias("sum"))
     return spool(sized.where(f"100 * both >= {SIMILAR} * (sum - both)").select(F.col("node_a").alias("node")).distinct(), "similar")
@@ -152,7 +156,7 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     apart = ~F.col("doc_a").eqNullSafe(F.col("doc_b")) | (F.col("line_a") != F.col("line_b"))
     placed = placed.where(apart).select(swap("node_a", "node_b"), swap("node_b", "node_a"))
     sets = sets_of(docs, places)
-    wide = small(sets.drop("words"))
+    wide = small(sets.drop("body"))
     bits = sum((F.bit_count(F.col(f"wide{i}_a").bitwiseXOR(F.col(f"wide{i}_b"))) for i in range(4)), F.lit(0))
     near = placed.join(named(wide, "a"), "node_a").join(named(wide, "b"), "node_b").withColumn("bits", bits).where(F.col("bits") <= most_apart())
     near = spool(near.select("node_a", "node_b", "bits"), "near")
@@ -179,22 +183,25 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = spool(firsts.select("node", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first.id").alias("first_id")), "repeats")
     nodes = lines.where("prefix IS NOT NULL").join(small(firsts.select("node", "first_id")), "node", "left").where("first_id IS NULL OR id = first_id")
 
-    # A few tokens of each prefix, and the earliest node of each.
+    # Two tokens of each prefix, and the earliest line and those just before for each.
     own = ("id", "doc", "line", "n", "parity")
     few = F.array_distinct(F.array(*[F.get("prefix", F.floor((F.size("prefix") - 2) * part / 2).cast("int")) for part in (1, 2)]))
-    by_key = Window.partitionBy("key").orderBy("doc", "line", "id")
-    met = nodes.select(*own, F.explode(few).alias("key")).select(*[F.col(c).alias(f"{c}_a") for c in own], *[F.first(c).over(by_key).alias(f"{c}_b") for c in own])
-    met = met.where(earlier() & may_be_similar()).select("id_a", "id_b").distinct()
+    by_key, other = Window.partitionBy("key").orderBy("doc", "line", "id"), F.struct(*own)
+    others = F.array(F.first(other).over(by_key), *[F.lag(other, k).over(by_key) for k in (1, 2, 5)])
+    met = nodes.select(*own, F.explode(few).alias("key")).withColumn("others", F.array_distinct(F.array_compact(others)))
+    met = met.select(*[F.col(c).alias(f"{c}_a") for c in own], F.explode("others").alias("other"))
+    met = met.select("*", *[F.col(f"other.{c}").alias(f"{c}_b") for c in own]).where(earlier() & may_be_similar()).select("id_a", "id_b").distinct()
     settled = verified(docs, lines, spool(met, "firsts"))
 
     # What its tokens' earliest lines did not settle meets all others.
     left = nodes.join(small(settled.withColumn("settled", F.lit(True))), "node", "left")
-    entries = left.select("id", "n", "parity", F.col("settled").isNull().alias("open"), F.explode(keys()).alias("k"))
-    entries = entries.select("k.key", "id", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("k.pos").cast("long"), 1)).bitwiseOR(F.col("open").cast("long")).alias("packed")).repartition("key")
-    entries = entries.select("key", "id", "parity", F.shiftright("packed", 32).cast("int").alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("pos"), (F.col("packed") % 2 == 1).alias("open"))
+    entries = left.select("id", "doc", "n", "parity", F.col("settled").isNull().alias("open"), F.explode(keys()).alias("k"))
+    entries = entries.select("k.key", "id", "doc", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("k.pos").cast("long"), 1)).bitwiseOR(F.col("open").cast("long")).alias("packed")).repartition("key")
+    entries = entries.select("key", "id", "doc", "parity", F.shiftright("packed", 32).cast("int").alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("pos"), (F.col("packed") % 2 == 1).alias("open"))
     meeting = named(entries.where("open"), "a", "key").join(named(entries, "b", "key"), "key")
-    # No overlap lies before the first shared token. Two open lines meet twice.
-    meeting = meeting.where((F.col("pos_a") + F.col("pos_b") <= most_apart()) & may_be_similar() & (F.col("id_a") != F.col("id_b")) & (~F.col("open_b") | (F.col("id_b") < F.col("id_a"))))
+    # No overlap lies before the first shared token. Two open lines of one text meet twice.
+    not_later = F.coalesce(F.col("doc_b") <= F.col("doc_a"), F.col("doc_b").isNull())
+    meeting = meeting.where((F.col("pos_a") + F.col("pos_b") <= most_apart()) & may_be_similar() & not_later & (F.col("id_a") != F.col("id_b")))
     gone = settled.unionByName(verified(docs, lines, spool(meeting.select("id_a", "id_b").distinct(), "others"))).distinct()
 
     # Lines with equal sets go with, and after, their first place.
