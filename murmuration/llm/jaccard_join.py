@@ -291,8 +291,9 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
 
     # Hubs: each node's most frequent first node, where much of the prefix is shared.
     to_hub = shared.where(f"node <> hub AND 100 * least(n, hub_n) >= {THRESHOLD} * greatest(n, hub_n)").groupBy("node", "hub", "n").agg(F.count("*").alias("m"))
-    to_hub = to_hub.where("20 * m >= n").groupBy("node").agg(F.max(F.struct("m", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-    starred = verify(docs, spool(to_hub, "hubs"))
+    to_hub = spool(to_hub.where("20 * m >= n"), "to-hub")
+    best = to_hub.groupBy("node").agg(F.max(F.struct("m", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+    starred = verify(docs, spool(best, "hubs"))
     edges = _edges(starred)
     hubs = edges.select("v").distinct()
     members = starred.where(LINKED).join(hubs, F.col("a") == F.col("v"), "left_anti").select(F.col("a").alias("node"), F.col("b").alias("center"), (F.lit(1) - F.col("both") / F.col("union")).alias("distance"))
@@ -303,6 +304,13 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     groups = placed.groupBy("center").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("g_rest"), F.ceil(F.max("distance") * 1_000_000).cast("long").alias("radius"))
     table = placed.select("node", "center").join(groups, "center")
 
+    # The other hubs that nodes met: the likeliest pair of each two groups that hubs haven't tied together.
+    tied = connected_components(edges)
+    rooted = lambda x: tied.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    more = to_hub.join(rooted("node"), "node", "left").join(rooted("hub"), "hub", "left").withColumns({"ra": F.coalesce("root_node", "node"), "rb": F.coalesce("root_hub", "hub")}).where("ra <> rb")
+    more = more.groupBy(F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("s")).agg(F.max(F.struct("m", "node", "hub")).alias("best")).select(F.col("best.node").alias("a"), F.col("best.hub").alias("b"))
+    edges = spool(edges.unionByName(_edges(verify(docs, spool(more, "more-hubs")))), "edges")
+
     # Pairs of groups (most are single nodes) that hubs haven't tied together already.
     tied = connected_components(edges)
     grouped = shared.select("token", "node", "n", "rest").join(table, "node", "left").join(tied, "node", "left").select(
@@ -334,6 +342,9 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     # Then members of groups that are still apart: by the triangle inequality on both hubs, two that link are about as far from either.
     far = crossed.select(F.col("a").alias("node"), F.col("b").alias("away"), hub_distance.alias("cross"))
     sides = sides.join(far, ["node", "away"], "left").withColumn("cross", F.coalesce("cross", "d")).drop("d")
+    reach = sides.groupBy(F.col("home").alias("away"), F.col("away").alias("home")).agg(F.max("distance").alias("reach"))
+    # A group of one node is done: all members have met its hub.
+    sides = spool(sides.join(reach, ["home", "away"]).where(f"cross <= {MAX_DISTANCE} + 1e-6 + reach"), "sides")
     tokens = shared.select("token", "node")
 
     def side(x: str, home: str, away: str) -> DataFrame:
