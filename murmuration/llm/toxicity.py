@@ -3,10 +3,11 @@
 A text is cut into clauses, and a clause becomes a string with one symbol for each word: insult,
 threat, target, negation, report, or neither. Transducers rewrite that string one after the other
 (composition), each by regular rules over the symbols: a negated insult becomes another symbol than a
-bare one, so does a reported one, and one that is aimed at somebody. The weights of the words that a
-clause's final symbols stand for are added up by symbol, and matched clauses make the score; a word by
-itself makes none. The insult lexicon (words and word beginnings) and the symbols' weights are learned
-from labels.
+bare one, so does a reported one, and one that is aimed at somebody. Each final symbol has a weight: an
+aimed insult weighs more than a bare one, a negated or reported one little. A clause weighs what its
+words weigh in the lexicon times their symbols' weights, and the score grows with the clauses' weights
+alone. A bare insult makes a clause that matches, at its own weight. The insult lexicon (words and word
+beginnings) and the weights of the clause features are learned from labels.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ TRANSDUCERS = (
     ("report", re.compile(r"R[^R]*"), {"I": "r", "H": "r"}),
     ("target", re.compile(r"Y[^YIHir]{0,3}[IH]+|[IH]+[^YIHir]{0,3}Y"), {"I": "J", "H": "J"}),
 )
-MARKS = "IHJir"
+#: Weights of the final symbols.
+FACTORS = {"J": 1.5, "I": 1.0, "H": 1.0, "r": 0.3, "i": 0.2}
 
 
 def rewrite(symbols: str) -> str:
@@ -76,7 +78,7 @@ class Grammar:
         lower = text.lower()
         heads = self.heads
         # Clauses without any insult or threat take no further work.
-        n, sums, most, matched = 0, dict.fromkeys(MARKS, 0.0), 0.0, 0
+        whole, most, matched = 0.0, 0.0, 0.0
         words_all = WORDS.findall(lower)
         n = len(words_all)
         if any([w[:3] in heads for w in words_all]):
@@ -89,20 +91,17 @@ class Grammar:
                     ("H" if w in THREATS else "I") if x else "Y" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in REPORTS else "."
                     for w, x in zip(words, weight)
                 )
-                total = 0.0
-                for mark, x in zip(rewrite(symbols), weight):
-                    if mark in sums:
-                        sums[mark] += x
-                        total += x * (0.5 if mark in "ir" else 1.0)
-                most, matched = max(most, total), matched + 1
+                marks = [(FACTORS[mark], x) for mark, x in zip(rewrite(symbols), weight) if mark in FACTORS]
+                total = sum(factor * x for factor, x in marks)
+                whole, most, matched = whole + total, max(most, total), matched + max(factor for factor, _ in marks)
         size = math.log(math.e + n)
-        return [*(math.log1p(sums[m]) for m in MARKS), most, math.log1p(sum(sums.values())) / size, matched / (1 + n / 100), math.log1p(matched)]
+        return [math.log1p(whole), most, math.log1p(whole) / size, matched / (1 + n / 100), math.log1p(matched)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-FEATURES = (*(f"sum_{m}" for m in MARKS), "heaviest_clause", "weight_by_size", "clauses_by_size", "clauses")
+FEATURES = ("weight", "heaviest_clause", "weight_by_size", "clauses_by_size", "clauses")
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +128,7 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> tuple[dict[str,
 
 
 def fit_weights(grammar: Grammar, x: np.ndarray, y: np.ndarray, steps: int = 400, penalty: float = 1e-3) -> Grammar:
-    """Logistic loss over the marks' sums, both labels weighing the same but for a part of the base rate; weights of bare and aimed marks stay at or above 0."""
+    """Logistic loss over the clause features, both labels weighing the same but for a part of the base rate; no weight falls below 0, so a text never scores less for a heavier clause."""
     if not len(x) or y.min() == y.max():
         grammar.bias = 3.0 if len(y) and y.min() == 1 else -3.0
         return grammar
@@ -176,7 +175,11 @@ def train(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", limit:
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """All columns of `docs` but text, and score, predicted (a null text counts as empty; repeated rows score alike)."""
+    """All columns of `docs` but text, and score, predicted.
+
+    A null text counts as empty, which scores as a text without any matched clause; repeated rows score alike;
+    very long texts are read whole; an empty table gives an empty one; columns named score or predicted are replaced.
+    """
     own = docs.drop("score", "predicted", "__text").withColumn("__text", text_or_empty()).drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

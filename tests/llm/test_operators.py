@@ -249,8 +249,8 @@ def test_toxic_clauses_count_not_words():
     assert toxicity.rewrite("N.I") == "N.i"
     assert toxicity.rewrite("R..I") == "R..r"
     assert toxicity.rewrite("..I") == "..I"
-    aimed, negated = g.features("you are a fool"), g.features("this is not a fool")
-    assert aimed[toxicity.FEATURES.index("sum_J")] > 0 and negated[toxicity.FEATURES.index("sum_J")] == 0
+    aimed, bare, reported, negated = (g.features(t) for t in ("you are a fool", "there is a fool", "said the old fool", "that is no fool"))
+    assert all(a > b > c > d > 0 for a, b, c, d in zip(aimed, bare, reported, negated))
     assert g.features("") == [0.0] * len(toxicity.FEATURES)
 
 
