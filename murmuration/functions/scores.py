@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +22,20 @@ def confidence(value: Column, score: Column, evaluable: Column) -> Column:
 
 
 def posterior_at_least(successes: Column, trials: Column, rate: float) -> Column:
-    """Probability that a rate with a uniform prior is at least `rate`: with whole shapes, a sum of binomial terms, each from the one before."""
-    n = trials + 1
-    term0 = F.pow(F.lit(1 - rate), n)
-    terms = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(successes, F.lit(1))),
-        F.struct(term0.alias("term"), term0.alias("sum")),
+    """Probability that a rate with a uniform prior is at least `rate`: with whole shapes, a sum of binomial terms, each from the one before, as logarithms."""
+    n, odds = trials + 1, math.log(rate / (1 - rate))
+    first = n * math.log(1 - rate)
+    added = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    total = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(successes, F.lit(1)).cast("int")),
+        F.struct(first.cast("double").alias("term"), first.cast("double").alias("sum")),
         lambda s, j: F.struct(
-            (s["term"] * (n - j + 1) / j * (rate / (1 - rate))).alias("term"),
-            (s["sum"] + F.when(j <= successes, s["term"] * (n - j + 1) / j * (rate / (1 - rate))).otherwise(0.0)).alias("sum"),
+            (s["term"] + F.log((n - j + 1) / j) + odds).alias("term"),
+            F.when(j <= successes, added(s["sum"], s["term"] + F.log((n - j + 1) / j) + odds)).otherwise(s["sum"]).alias("sum"),
         ),
         lambda s: s["sum"],
     )
-    return F.when(successes <= 0, term0).otherwise(terms)
+    return F.when(successes <= 0, F.exp(first)).otherwise(F.exp(total))
 
 
 def decile_trigger(value: Column) -> Column:

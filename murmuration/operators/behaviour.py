@@ -24,13 +24,11 @@ def ratios(tweets: DataFrame) -> DataFrame:
 
 
 def gaps(tweets: DataFrame) -> DataFrame:
-    """By account: number of gaps between tweets, their sum and the square sum in seconds (whole), for mean and variation."""
-    gap = F.col("at_us") - F.lag("at_us").over(Window.partitionBy("account_id").orderBy("at_us", "id"))
-    rows = tweets.withColumn("gap", F.floor(gap / 1_000_000).cast("long")).where("gap IS NOT NULL")
-    by = rows.groupBy("account_id").agg(F.count("*").alias("gaps"), F.sum("gap").alias("total"), F.sum(F.col("gap") * F.col("gap")).alias("squares"))
-    mean = F.col("total") / F.col("gaps")
-    deviation = F.sqrt(F.greatest(F.col("squares") / F.col("gaps") - mean * mean, F.lit(0.0)))
-    return by.withColumn("variation", F.when(F.col("total") == 0, 0.0).otherwise(deviation / mean))
+    """By account: number of gaps between tweets, and their coefficient of variation (0 where the mean is 0), in whole milliseconds."""
+    ms = F.floor(F.col("at_us") / 1000)
+    gap = ms - F.lag(ms).over(Window.partitionBy("account_id").orderBy("at_us", "id"))
+    by = tweets.withColumn("gap", gap.cast("double")).where("gap IS NOT NULL").groupBy("account_id").agg(F.count("*").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("deviation"))
+    return by.select("account_id", "gaps", F.when(F.col("mean") == 0, 0.0).otherwise(F.col("deviation") / F.col("mean")).alias("variation"))
 
 
 def sliding_targets(tweets: DataFrame, window_us: int = DAY_US) -> DataFrame:
@@ -43,9 +41,15 @@ def sliding_targets(tweets: DataFrame, window_us: int = DAY_US) -> DataFrame:
 
 
 def duplicate_replies(replies: DataFrame) -> DataFrame:
-    """By normalised text of 20 characters or more: authors and targets that have it; texts of one author alone don't count."""
-    by = replies.where("text <> ''").groupBy("text").agg(F.count_distinct("account_id").alias("authors"), F.count_distinct("target").alias("targets"), F.count("*").alias("n"))
-    return by.where("authors > 1")
+    """By normalised text (20 characters or more; shorter ones are empty and don't count): authors, known targets, replies, and whether a target is unknown.
+
+    `others` is how many accounts an author shares the text with: none if all targets are known and one and the same.
+    """
+    # Counted by pair first, so that a text of many replies reaches one task as its pairs alone.
+    pairs = replies.where("text <> ''").groupBy("text", "account_id", "target").agg(F.count("*").alias("n"))
+    by = pairs.groupBy("text").agg(F.count_distinct("account_id").alias("authors"), F.count_distinct("target").alias("targets"), F.sum("n").alias("n"), F.bool_or(F.col("target").isNull()).alias("unknown_target"))
+    campaign = ~F.col("unknown_target") & (F.col("targets") == 1)
+    return by.withColumn("others", F.when(campaign, 0).otherwise(F.col("authors") - 1).cast("long"))
 
 
 def retweet_rule(tweets: DataFrame) -> DataFrame:
@@ -62,13 +66,17 @@ def reply_posterior(tweets: DataFrame, rate: float = 0.5) -> DataFrame:
 
 
 def profile_rules(accounts: DataFrame) -> DataFrame:
-    """Verified kinds, in long form; confidence is 1 either way."""
+    """Verified kinds and self-declared kinds, in long form; confidence is 1 either way."""
     plain = F.coalesce(F.col("verified_type") == "None", F.lit(True))
     rules = {
         "verified_blue_individual": F.col("is_blue_verified") & plain,
         "verified_business": F.coalesce(F.col("verified_type") == "Business", F.lit(False)),
         "verified_government": F.coalesce(F.col("verified_type") == "Government", F.lit(False)),
-        "mass_follow": (F.col("following_count") >= 500) & (F.col("following_count") >= 5 * F.col("followers_count")),
+        "verified_blue_creator": F.col("is_blue_verified") & plain & F.coalesce(F.col("professional_type") == "Creator", F.lit(False)),
+        "verified_blue_professional_business": F.col("is_blue_verified") & plain & F.coalesce(F.col("professional_type") == "Business", F.lit(False)),
+        "parody_account": F.coalesce(F.col("self_label") == "Parody", F.lit(False)),
+        "commentary_account": F.coalesce(F.col("self_label") == "Commentary", F.lit(False)),
+        "fan_account": F.coalesce(F.col("self_label") == "Fan", F.lit(False)),
     }
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("label_key"), v.alias("value"), F.lit(1.0).alias("confidence")) for k, v in rules.items()]))
     return accounts.select(F.col("id").alias("account_id"), each.alias("r")).select("account_id", "r.*")

@@ -34,7 +34,13 @@ def block_candidates(history: DataFrame, follow: DataFrame, blocks: DataFrame, b
 
 
 def reconcile_blocks(blocks: DataFrame, seen: F.Column, complete: F.Column, resolve_after: int = 3) -> DataFrame:
-    """Present relations are active; absent ones count up and are missing, then resolved; an incomplete observation changes nothing."""
+    """Present relations are active; absent ones count up and are missing, then resolved; an incomplete observation keeps the stored status and count."""
     count = F.when(seen, 0).when(~complete, F.col("missing_before")).otherwise(F.col("missing_before") + 1)
-    status = F.when(seen, "active").when(~complete, "unchanged").when(F.col("missing_before") + 1 >= resolve_after, "resolved").otherwise("missing")
+    status = F.when(seen, "active").when(~complete, F.col("status_before")).when(F.col("missing_before") + 1 >= resolve_after, "resolved").otherwise("missing")
     return blocks.select("blocker_id", "blocked_id", status.alias("status"), count.cast("long").alias("missing_count"))
+
+
+def edge_sync(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """Edges (src, dst) of a stored set and of what was seen, each once: added, kept or removed."""
+    both = stored.distinct().withColumn("old", F.lit(True)).join(seen.distinct().withColumn("new", F.lit(True)), ["src", "dst"], "full_outer")
+    return both.select("src", "dst", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("kept").alias("state"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.scores import decile_diagnostic, decile_trigger
 
 KEY = ("account_id", "label_key")
-NEWEST = (F.desc, "labeled_at"), (F.desc, "id")
 
 
 def _newest(*keys: str):
@@ -38,12 +37,13 @@ def compacted(history: DataFrame) -> DataFrame:
 
 
 def changes(history: DataFrame) -> DataFrame:
-    """added, removed or updated, one row for each step of the history that is one; a first false row is none."""
-    rows = history.withColumns({"was": _before("value"), "was_version": _before("rule_version"), "was_reason": _before("reason")})
+    """added or removed where the value changes, updated where it stays and confidence or reason differ; a first false row is none."""
+    rows = history.withColumns({"was": _before("value"), "was_milli": _before("confidence_milli"), "was_reason": _before("reason")})
+    differ = ~F.col("confidence_milli").eqNullSafe(F.col("was_milli")) | ~F.col("reason").eqNullSafe(F.col("was_reason"))
     kind = (
         F.when(F.col("was").isNull(), F.when(F.col("value"), "added"))
         .when(F.col("value") & ~F.col("was"), "added").when(~F.col("value") & F.col("was"), "removed")
-        .when(F.col("value") & ((F.col("rule_version") != F.col("was_version")) | (F.col("reason") != F.col("was_reason"))), "updated")
+        .when(differ, "updated")
     )
     return rows.withColumn("change_type", kind).where("change_type IS NOT NULL")
 
@@ -67,7 +67,7 @@ def snapshot(history: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def distributions(history: DataFrame) -> DataFrame:
-    """Counts of latest rows by value, decile, version and reason (of true rows), in long form, by one pass with grouping sets."""
+    """Counts of latest rows by value, decile, version and reason (of true rows), in long form; each row counts in up to four parts."""
     rows = latest(history).withColumn("decile", decile_trigger(F.col("confidence_milli") / 1000.0).cast("string"))
     parts = F.explode(
         F.array(
@@ -103,11 +103,12 @@ def account_summary(history: DataFrame) -> DataFrame:
     )
 
 
-def stale_accounts(history: DataFrame, current: str) -> DataFrame:
-    """Accounts with a latest row under another rule version, or without a row for some label."""
-    labels = history.select("label_key").distinct().agg(F.count("*").alias("n"))
-    by = latest(history).groupBy("account_id").agg(F.count_if(F.col("rule_version") == current).alias("fresh"))
-    return by.join(F.broadcast(labels)).where("fresh < n").select("account_id", "fresh")
+def stale_accounts(accounts: DataFrame, history: DataFrame, current: DataFrame) -> DataFrame:
+    """Accounts (id) with a rule of `current` (label_key, rule_version; one row for each rule) whose latest row has another version, or that have no row for it."""
+    rules = current.agg(F.count("*").alias("rules"))
+    fresh = latest(history).join(F.broadcast(current), ["label_key", "rule_version"]).groupBy("account_id").agg(F.count("*").alias("fresh"))
+    rows = accounts.select(F.col("id").alias("account_id")).join(fresh, "account_id", "left").join(F.broadcast(rules))
+    return rows.where(F.coalesce("fresh", F.lit(0)) < F.col("rules")).select("account_id", F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 
 def seeded_sample(history: DataFrame, seed: str, per_stratum: int) -> DataFrame:
@@ -123,9 +124,23 @@ def monthly(history: DataFrame) -> DataFrame:
 
 
 def count_drops(months: DataFrame, least: int, threshold: float) -> DataFrame:
-    """Each month's evaluated rows against the month before (as-of baseline): missing below `least`, else the relative drop."""
-    before = F.lag("evaluated").over(Window.partitionBy("label_key").orderBy("month"))
-    rows = months.withColumn("baseline", before).where("baseline IS NOT NULL")
-    missing = (F.col("evaluated") < least) | (F.col("baseline") < least)
-    drop = F.when(F.col("baseline") == 0, 0.0).otherwise((F.col("baseline") - F.col("evaluated")) / F.col("baseline"))
-    return rows.select("label_key", "month", "evaluated", "baseline", missing.alias("missing"), F.when(~missing, drop).alias("drop"), (~missing & (drop >= threshold)).alias("exceeded"))
+    """Each month's true rows against the month before: missing when either has fewer than `least` evaluated rows, else the relative drop."""
+    over = Window.partitionBy("label_key").orderBy("month")
+    rows = months.withColumns({"baseline": F.lag("true_count").over(over), "was": F.lag("evaluated").over(over)}).where("was IS NOT NULL")
+    missing = (F.col("evaluated") < least) | (F.col("was") < least)
+    drop = F.when(F.col("baseline") == 0, 0.0).otherwise((F.col("baseline") - F.col("true_count")) / F.col("baseline"))
+    return rows.select("label_key", "month", "true_count", "baseline", missing.alias("missing"), drop.alias("drop"), (~missing & (drop >= threshold)).alias("exceeded"))
+
+
+def completed_before(snapshots: DataFrame) -> DataFrame:
+    """Each snapshot (label_key, observed, complete, ...) with the newest complete one strictly before it, as struct `baseline` (null without one)."""
+    rest = [c for c in snapshots.columns if c != "label_key"]
+    over = Window.partitionBy("label_key").orderBy("observed").rowsBetween(Window.unboundedPreceding, -1)
+    return snapshots.withColumn("baseline", F.last(F.when(F.col("complete"), F.struct(*rest)), ignorenulls=True).over(over))
+
+
+def reason_shifts(before: DataFrame, now: DataFrame, least: int, threshold: float) -> DataFrame:
+    """By label and reason of either distribution (label_key, reason, n): the relative drop, for reasons with `least` rows or more before."""
+    both = before.withColumnRenamed("n", "was").join(now, ["label_key", "reason"], "full_outer").fillna(0, ["was", "n"]).where(F.col("was") >= least)
+    drop = F.when(F.col("was") == 0, 0.0).otherwise((F.col("was") - F.col("n")) / F.col("was"))
+    return both.select("label_key", "reason", "was", "n", drop.alias("drop"), (drop >= threshold).alias("exceeded"))

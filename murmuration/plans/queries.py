@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import behaviour, graph, history
+from ..operators import behaviour, findings, graph, history, rules
 from ..sources import adapters
 
 AS_OF = "2001-08-02 00:00:00"
@@ -58,7 +58,8 @@ def account_summary(spark, d):
 
 
 def stale_accounts(spark, d):
-    return history.stale_accounts(adapters.label_history(spark, d), "1.1.0")
+    current = spark.createDataFrame([("1-URGENT", "1.1.0"), ("2-HIGH", "1.2.0"), ("3-MEDIUM", "1.1.0")], "label_key string, rule_version string")
+    return history.stale_accounts(adapters.account(spark, d), adapters.label_history(spark, d), current)
 
 
 def review_sample(spark, d):
@@ -92,7 +93,7 @@ def behaviour_ratios(spark, d):
 
 
 def posting_gaps(spark, d):
-    return behaviour.gaps(adapters.tweet(spark, d)).select("account_id", "gaps", "total", "squares", F.round("variation", 4).alias("variation"))
+    return behaviour.gaps(adapters.tweet(spark, d)).withColumn("variation", F.round("variation", 6))
 
 
 def sliding_targets(spark, d):
@@ -100,9 +101,68 @@ def sliding_targets(spark, d):
 
 
 def duplicate_replies(spark, d):
-    docs = adapters.table(spark, d, "documents")
-    replies = docs.select(F.col("source").alias("account_id"), text.normalize_reply(F.coalesce("text", F.lit(""))).alias("text"), (F.col("doc_id") % 7).alias("target"))
-    return behaviour.duplicate_replies(replies).select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "authors", "targets", "n")
+    replies = adapters.post(spark, d).where("is_reply").select("account_id", text.normalize_reply(F.col("text")).alias("text"), F.col("in_reply_to").alias("target"))
+    return behaviour.duplicate_replies(replies).select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "authors", "targets", "n", "unknown_target", "others")
+
+
+def label_rules(spark, d):
+    """The behavioural rules on posts, in long form."""
+    return rules.rules(adapters.post(spark, d), adapters.account(spark, d), "scam.example")
+
+
+def topic_rules(spark, d):
+    """Topics by bio and followees; orders' priorities stand for five topics."""
+    key = F.col("label_key")
+    named = F.when(key == "1-URGENT", "topic_anime").when(key == "2-HIGH", "topic_food").when(key == "3-MEDIUM", "topic_music").when(key == "5-LOW", "topic_pets").otherwise("topic_travel")
+    signals = graph.follow_signals(adapters.follow(spark, d), adapters.label_history(spark, d)).withColumn("label_key", named)
+    return rules.topic_rules(adapters.account(spark, d), signals)
+
+
+def as_of_drops(spark, d):
+    """Each month's true rows against the newest complete month before it (20 evaluated rows make a month complete)."""
+    months = history.monthly(adapters.label_history(spark, d)).withColumnRenamed("month", "observed").withColumn("complete", F.col("evaluated") >= 20)
+    rows = history.completed_before(months)
+    return rows.select("label_key", "observed", "true_count", F.col("baseline.observed").alias("baseline_observed"), F.col("baseline.true_count").cast("double").alias("baseline_true"))
+
+
+def reason_shifts(spark, d):
+    """Reasons of true rows in 1996 against 1995."""
+    rows = adapters.label_history(spark, d).where("value")
+    by = lambda year: rows.where(F.year("labeled_at") == year).groupBy("label_key", "reason").agg(F.count("*").alias("n"))
+    return history.reason_shifts(by(1995), by(1996), 10, 0.2).withColumn("drop", F.round("drop", 6))
+
+
+def daily_rollup(spark, d):
+    """The last complete snapshot of each day and label, and its change against the day before that has one."""
+    rows = adapters.label_history(spark, d).groupBy("label_key", "labeled_at").agg(F.count("*").alias("evaluated"), F.count_if("value").alias("true_count")).where("evaluated >= 2")
+    return findings.daily(rows.withColumnRenamed("labeled_at", "observed")).withColumn("change", F.col("change").cast("double"))
+
+
+def finding_lifecycle(spark, d):
+    """Monthly drops of each label, folded into episodes."""
+    drops = count_drops(spark, d).where("NOT missing").withColumnRenamed("month", "observed")
+    return findings.lifecycle(drops, activate_after=2, resolve_after=2)
+
+
+def account_overview(spark, d):
+    """Accounts with their summaries and severity floor: page of the most labelled ones, missing summaries as none."""
+    summary = account_summary(spark, d)
+    rows = adapters.account(spark, d).select(F.col("id").alias("account_id"), "screen_name").join(summary, "account_id", "left")
+    rows = rows.select("account_id", "screen_name", F.coalesce("active_label_count", F.lit(0)).alias("active_label_count"), F.coalesce("active_label_keys", F.lit("")).alias("active_label_keys"), F.coalesce("last_labeled_at", F.lit("1970-01-01 00:00:00")).alias("last_labeled_at"))
+    return rows.orderBy(F.col("active_label_count").desc(), "account_id").limit(50)
+
+
+def shared_labels(spark, d):
+    """Accounts that have any of two labels and the most of them, by overlap of their active labels."""
+    rows = account_summary(spark, d).withColumn("keys", F.split("active_label_keys", ","))
+    return rows.where(F.arrays_overlap("keys", F.array(F.lit("1-URGENT"), F.lit("5-LOW")))).select("account_id", "active_label_keys", F.size(F.array_intersect("keys", F.array(F.lit("1-URGENT"), F.lit("5-LOW")))).alias("hits"))
+
+
+def edge_sync(spark, d):
+    """Follow edges of 1995 against those of 1996: added, kept or removed."""
+    o = adapters.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y")).where("y IN (1995, 1996)")
+    e = adapters.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"), "y")
+    return graph.edge_sync(e.where("y = 1995").drop("y"), e.where("y = 1996").drop("y"))
 
 
 def retweet_rule(spark, d):
@@ -167,4 +227,5 @@ QUERIES = {f.__name__: f for f in (
     latest_labels, previous_labels, compacted_history, label_changes, label_snapshot, label_distributions, confidence_diagnostics, label_freshness, account_summary,
     stale_accounts, review_sample, count_drops, follow_signals, block_candidates, block_reconciliation, recent_tweets, behaviour_ratios, posting_gaps, sliding_targets,
     duplicate_replies, retweet_rule, reply_posterior, profile_rules, bigram_similarity, url_hosts, account_page, account_search, calibration, severity_ranks,
+    label_rules, topic_rules, as_of_drops, reason_shifts, daily_rollup, finding_lifecycle, account_overview, shared_labels, edge_sync,
 )}

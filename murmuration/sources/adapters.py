@@ -23,6 +23,21 @@ def label_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BIOS = (
+    "anime and manga every day", "コスメとスキンケア", "リメイク作品の紹介", "long term investing notes", "investigation desk", "株式会社の広報", "資産運用を学ぶ", "workout at dawn", "foodie and chef",
+    "ラーメンズのファン", "ラーメン食べ歩き", "gamer", "k-pop idol", "イラスト描きます pixiv", "film / music / books", "cinema lover", "singer in a band", "子育て中", "保護猫と暮らす", "Jリーグ観戦", "eスポーツ",
+    "backpacker", "VRC住民", "hololive にじさんじ", "just a person", None,
+)
+
+
+def bio():
+    """A profile text by account number."""
+    pick = F.lit(None).cast("string")
+    for i, text in enumerate(BIOS):
+        pick = F.when(F.col("c_custkey") % len(BIOS) == i, F.lit(text)).otherwise(pick)
+    return pick
+
+
 def account(spark: SparkSession, sf_dir: str) -> DataFrame:
     balance = F.floor(F.abs("c_acctbal")).cast("long")
     return table(spark, sf_dir, "customer").select(
@@ -32,6 +47,11 @@ def account(spark: SparkSession, sf_dir: str) -> DataFrame:
         (balance % 997).alias("following_count"),
         (balance * 3).alias("tweet_count"),
         (F.col("c_acctbal") > 0).alias("is_blue_verified"),
+        bio().alias("bio"),
+        (F.col("c_custkey") % 40 + 1).cast("double").alias("age_days"),
+        (F.col("c_custkey") % 11 != 0).alias("fetched"),
+        F.when(F.col("c_custkey") % 2 == 0, "Creator").when(F.col("c_custkey") % 3 == 0, "Business").alias("professional_type"),
+        F.when(F.col("c_custkey") % 7 == 0, "Parody").when(F.col("c_custkey") % 7 == 1, "Commentary").when(F.col("c_custkey") % 7 == 2, "Fan").alias("self_label"),
         F.when(F.col("c_mktsegment") == "BUILDING", "Business").when(F.col("c_mktsegment") == "MACHINERY", "Government").when(F.col("c_mktsegment") == "FURNITURE", "None").alias("verified_type"),
     )
 
@@ -61,5 +81,24 @@ def tweet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     return items.groupBy(F.col("l_suppkey").cast("string").alias("blocker_id"), F.col("l_partkey").cast("string").alias("blocked_id")).agg(
-        F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.count("*").alias("missing_before")
+        F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.when(F.min("l_linenumber") == 1, "active").otherwise("missing").alias("status_before"), F.count("*").alias("missing_before")
     )
+
+
+def post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as posts with a text, by the event's number."""
+    number, kind = F.col("event_id"), F.col("event_type")
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    texts = (
+        put("https://t.co/a", number % 13), put("Limited offer for everyone today, visit the page right now"), put("@user", number % 5, " Limited offer for everyone today, visit the page right now"),
+        put("こんにちは、今日はとても良い天気ですね。散歩に行きましょう"), put("see https://www.amazon.co.jp/dp/", number, "?tag=shop-22 for it"), put("new deal https://amzn.to/", number),
+        put("#PR 新しい商品のご紹介です"), put("post number ", number % 50, " about the daily walk in the park"), put("https://login.scam.example/", number), put("@user7 free airdrop, claim now ", number % 20),
+    )
+    text = F.lit(None).cast("string")
+    for i, t in enumerate(texts):
+        text = F.when(number % 10 == i, t).otherwise(text)
+    return table(spark, sf_dir, "events").select(
+        number.cast("string").alias("id"), F.col("user_id").cast("string").alias("account_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"),
+        kind.isin("click", "error").alias("is_reply"), (kind == "view").alias("is_retweet"), (kind == "purchase").alias("is_promoted"),
+        F.when(kind.isin("click", "error") & (number % 4 != 0), F.get_json_object("props", "$.k")).alias("in_reply_to"), text.alias("text"), (number % 17 == 0).alias("foreign_video"), (number % 29 == 0).alias("is_paid"),
+    )

@@ -54,7 +54,7 @@ def test_latest_breaks_ties_by_id_and_changes_skip_a_first_false(spark):
     assert [r["id"] for r in history.latest(h.where("id < '4'")).collect()] == ["3"]
     assert [r["id"] for r in history.nth_latest(h, 2).collect()] == ["4"]
     assert sorted(r["id"] for r in history.compacted(h).collect()) == ["1", "2", "4", "5"]
-    assert sorted((r["id"], r["change_type"]) for r in history.changes(h).collect()) == [("2", "added"), ("4", "updated"), ("5", "removed")]
+    assert sorted((r["id"], r["change_type"]) for r in history.changes(h).collect()) == [("2", "added"), ("3", "updated"), ("5", "removed")]
 
 
 def test_empty_history(spark):
@@ -81,9 +81,9 @@ def test_text_functions(spark):
 
 
 def test_reconciliation_counts_up(spark):
-    b = spark.createDataFrame([("a", "x", 0, True, True), ("a", "y", 2, False, True), ("a", "z", 1, False, True), ("a", "w", 1, False, False)], "blocker_id string, blocked_id string, missing_before long, seen boolean, complete boolean")
+    b = spark.createDataFrame([("a", "x", 0, True, True, "active"), ("a", "y", 2, False, True, "active"), ("a", "z", 1, False, True, "active"), ("a", "w", 1, False, False, "missing")], "blocker_id string, blocked_id string, missing_before long, seen boolean, complete boolean, status_before string")
     got = {r["blocked_id"]: (r["status"], r["missing_count"]) for r in graph.reconcile_blocks(b, F.col("seen"), F.col("complete")).collect()}
-    assert got == {"x": ("active", 0), "y": ("resolved", 3), "z": ("missing", 2), "w": ("unchanged", 1)}
+    assert got == {"x": ("active", 0), "y": ("resolved", 3), "z": ("missing", 2), "w": ("missing", 1)}
 
 
 def test_sliding_window_includes_its_end(spark):
@@ -100,3 +100,37 @@ def test_without_the_training_data_part():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['murmuration.llm'] = None; import __spark_entry__ as e; assert 'label_snapshot' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_posterior_of_large_samples(spark):
+    got = spark.range(1).select(scores.posterior_at_least(F.lit(700), F.lit(1100), 0.5).alias("a"), scores.posterior_at_least(F.lit(2520), F.lit(5000), 0.5).alias("b")).first()
+    exact = sum(math.comb(5001, j) for j in range(2521)) / 2**5001
+    assert got["a"] == pytest.approx(1.0, abs=1e-9) and got["b"] == pytest.approx(exact, rel=1e-9)
+
+
+def test_finding_episodes():
+    import datetime
+
+    from murmuration.operators.findings import DAY, step
+
+    day, state, seen = datetime.datetime(2024, 1, 1), ("none", 0, 0, None), []
+    for k, (exceeded, missing) in enumerate([(True, False), (True, True), (True, False), (False, False), (False, False), (True, False), (True, False), (True, False)]):
+        state = step(state, exceeded, missing, day + 20 * k * DAY, 2, 2, 45 * DAY, 100 * DAY)
+        seen.append(state[0])
+    assert seen == ["none", "none", "active", "active", "resolved", "resolved", "resolved", "recurring"]
+
+
+def test_label_changes_follow_confidence_and_reason(spark):
+    h = rows(spark, ("1", "a", "x", False, 500, "r", "1", 0), ("2", "a", "x", False, 900, "r", "1", 1), ("3", "a", "x", False, 900, "r", "2", 2), ("4", "a", "x", False, 900, "s", "2", 3))
+    assert sorted((r["id"], r["change_type"]) for r in history.changes(h).collect()) == [("2", "updated"), ("4", "updated")]
+
+
+def test_drop_is_of_true_rows(spark):
+    months = spark.createDataFrame([("x", "2024-01", 100, 50), ("x", "2024-02", 100, 10), ("x", "2024-03", 3, 0)], "label_key string, month string, evaluated long, true_count long")
+    got = {r["month"]: (r["missing"], r["drop"], r["exceeded"]) for r in history.count_drops(months, 5, 0.2).collect()}
+    assert got == {"2024-02": (False, 0.8, True), "2024-03": (True, 1.0, False)}
+
+
+def test_copies_of_one_campaign_do_not_count(spark):
+    t = spark.createDataFrame([("same long enough text here", a, g) for a, g in (("a", "1"), ("b", "1"))] + [("another long enough text", "a", "1"), ("another long enough text", "b", None)], "text string, account_id string, target string")
+    assert {r["text"][:4]: r["others"] for r in behaviour.duplicate_replies(t).collect()} == {"same": 0, "anot": 1}
