@@ -198,10 +198,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = left.select("id", "doc", "n", "parity", F.col("settled").isNull().alias("open"), F.explode(keys()).alias("k"))
     entries = entries.select("k.key", "id", "doc", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("k.pos").cast("long"), 1)).bitwiseOR(F.col("open").cast("long")).alias("packed")).repartition("key")
     entries = entries.select("key", "id", "doc", "parity", F.shiftright("packed", 32).cast("int").alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("pos"), (F.col("packed") % 2 == 1).alias("open"))
-    meeting = named(entries.where("open"), "a", "key").join(named(entries, "b", "key"), "key")
-    # No overlap lies before the first shared token. Two open lines of one text meet twice.
+    meeting = named(entries, "a", "key").join(named(entries, "b", "key"), "key")
+    # No overlap lies before the first shared token. Two open lines of one text meet twice. That a is open is asked
+    # together with the positions, of both sides: a filter on one side would make the two sides two exchanges.
     not_later = F.coalesce(F.col("doc_b") <= F.col("doc_a"), F.col("doc_b").isNull())
-    meeting = meeting.where((F.col("pos_a") + F.col("pos_b") <= most_apart()) & may_be_similar() & not_later & (F.col("id_a") != F.col("id_b")))
+    reach = F.when(F.col("open_a"), most_apart()).otherwise(-1)
+    meeting = meeting.where((F.col("pos_a") + F.col("pos_b") <= reach) & may_be_similar() & not_later & (F.col("id_a") != F.col("id_b")))
     gone = settled.unionByName(verified(docs, lines, spool(meeting.select("id_a", "id_b").distinct(), "others"))).distinct()
 
     # Lines with equal sets go with, and after, their first place.
