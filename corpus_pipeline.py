@@ -27,10 +27,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    found = jaccard_join.near_duplicates(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates one row stays: the least doc_id's (null ids last), of rows that share it the one with the least hash of its text."""
+    rows = spool(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    found = spool(jaccard_join.near_duplicates(rows, id_col="row"), "near")
+    grouped = found.where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    # Components of one row stay without a look at their rows.
+    several = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+    keyed = grouped.join(several, "component_id").join(rows.select("row", order.alias("order")), "row")
+    keep = keyed.groupBy("component_id").agg(F.min("order").alias("first")).select("component_id", F.col("first.row").alias("kept"))
+    dropped = keyed.join(keep, "component_id").where("row <> kept").select("row")
+    return rows.join(dropped, "row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
