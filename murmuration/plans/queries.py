@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import behaviour, findings, graph, history, rules
+from ..operators import behaviour, findings, graph, history, rules, upserts
 from ..sources import adapters
 
 AS_OF = "2001-08-02 00:00:00"
@@ -223,9 +223,46 @@ def severity_ranks(spark, d):
     return o.select(named.alias("severity")).groupBy("severity").agg(F.count("*").alias("n")).withColumn("rank", scores.severity_rank("severity"))
 
 
+def guarded_latest(spark, d):
+    """Labels of 1996 and later into the latest ones of the years before."""
+    h = adapters.label_history(spark, d)
+    stored = history.latest(h.where(F.year("labeled_at") < 1996))
+    return upserts.guarded(stored, h.where(F.year("labeled_at") >= 1996), history.KEY, ("labeled_at", "id")).select("account_id", "label_key", "id", "value")
+
+
+def monotone_merge(spark, d):
+    """Order lines by part: the first line numbers as what is stored, the others as what comes in."""
+    rows = adapters.table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("id"), F.col("l_quantity").cast("long").alias("likes"), F.col("l_linenumber").cast("long").alias("views"), (F.col("l_returnflag") == "R").alias("flagged"), F.array("l_linestatus").alias("tags")
+    )
+    merged = upserts.monotone(rows.where("views = 1"), rows.where("views > 1"), "id", ("likes", "views"), ("flagged",), ("tags",))
+    return merged.withColumn("tags", F.array_join("tags", ","))
+
+
+def first_claims(spark, d):
+    """Customers who ordered first in 1997: the first order of each one without an order before."""
+    h = adapters.label_history(spark, d)
+    rows = upserts.first_only(h.where(F.year("labeled_at") < 1997), h.where(F.year("labeled_at") == 1997).withColumn("place", F.struct("labeled_at", "id")), ("account_id",), "place")
+    return rows.select("account_id", "id")
+
+
+def retained_labels(spark, d):
+    """Rows that a retention of 1996 on leaves, by label."""
+    return upserts.retained(adapters.label_history(spark, d), "labeled_at", "1996-01-01").groupBy("label_key").agg(F.count("*").alias("n"))
+
+
+def templated_targets(spark, d):
+    """By account: the reply text sent to most targets within 24 hours, and the rule on it."""
+    replies = adapters.post(spark, d).where("is_reply AND in_reply_to IS NOT NULL").select("id", "account_id", "at_us", text.normalize_reply(F.col("text")).alias("text"), F.col("in_reply_to").alias("target")).where("text <> ''")
+    best = upserts.best_windows(replies, behaviour.DAY_US)
+    value = F.col("targets") >= 5
+    return best.select("account_id", "text", "targets", "replies", "span_us", value.alias("value"), F.round(scores.confidence(value, scores.ramp(F.col("targets"), 5, 5), F.lit(True)), 6).alias("confidence"))
+
+
 QUERIES = {f.__name__: f for f in (
     latest_labels, previous_labels, compacted_history, label_changes, label_snapshot, label_distributions, confidence_diagnostics, label_freshness, account_summary,
     stale_accounts, review_sample, count_drops, follow_signals, block_candidates, block_reconciliation, recent_tweets, behaviour_ratios, posting_gaps, sliding_targets,
     duplicate_replies, retweet_rule, reply_posterior, profile_rules, bigram_similarity, url_hosts, account_page, account_search, calibration, severity_ranks,
     label_rules, topic_rules, as_of_drops, reason_shifts, daily_rollup, finding_lifecycle, account_overview, shared_labels, edge_sync,
+    guarded_latest, monotone_merge, first_claims, retained_labels, templated_targets,
 )}
