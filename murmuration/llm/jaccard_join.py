@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, spool, text_or_empty
+from .common import documents, small, spool, text_or_empty
 from .components import connected_components
 from .shingles import set_hash, shingle_sets
 
@@ -31,6 +31,8 @@ WANTED_BITS = 1 << 20
 #: Cost of verifying a candidate, in prefix entries.
 VERIFY_COST = 20
 PAIRS_AT_ONCE = 1 << 20
+#: Pairs of groups that a task holds to add up their shared tokens; entries of one hub that go to one task.
+PAIRS_HELD, HUB_ENTRIES = 1 << 19, 1 << 17
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -159,14 +161,25 @@ SIDE = ("lo", "hi", "rest", "radius")
 
 
 def _group_pairs(batches: Batches) -> Batches:
-    """Of entries sorted by token and group: pairs of groups in the same token whose sizes allow a link, counted.
+    """Of entries dealt by hub and sorted by hub, token and group: pairs of groups in the same token whose sizes allow a link, counted.
 
+    Tokens of one hub have much the same groups: their pairs are added up here, as far as PAIRS_HELD goes, before they are sent on.
     columns: token, node (the group's hub), least and greatest size, greatest rest, radius in millionths, root (groups
     with the same root are linked already).
     """
     held = None
-
-    def pairs(x: np.ndarray) -> Batches:
+    names = ["a", "b", "m", *[f"{s}_a" for s in SIDE], *[f"{s}_b" for s in SIDE]]
+
+    def added(parts: list[np.ndarray]) -> np.ndarray:
+        x = np.concatenate(parts, 1)
+        x = x[:, np.lexsort((x[1], x[0]))]
+        at = np.flatnonzero(np.r_[True, (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)])
+        m = np.add.reduceat(x[2], at)
+        x = x[:, at]
+        x[2] = m
+        return x
+
+    def pairs(x: np.ndarray) -> Iterator[np.ndarray]:
         new = np.r_[True, (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)]
         x = x[:, new]
         starts = np.flatnonzero(np.r_[True, np.diff(x[0]) != 0])
@@ -189,19 +202,35 @@ def _group_pairs(batches: Batches) -> Batches:
                 at = np.flatnonzero(np.r_[True, (np.diff(x[1, a]) != 0) | (np.diff(x[1, b]) != 0)])
                 m = np.diff(np.r_[at, len(a)])
                 a, b = a[at], b[at]
-                yield pa.RecordBatch.from_arrays([_long(v) for v in (x[1, a], x[1, b], m, *x[2:6, a], *x[2:6, b])], names=["a", "b", "m", *[f"{s}_a" for s in SIDE], *[f"{s}_b" for s in SIDE]])
+                yield np.stack([x[1, a], x[1, b], m, *x[2:6, a], *x[2:6, b]])
 
-    for batch in batches:
-        x = np.stack([batch.column(i).to_numpy() for i in range(7)])
-        x = x if held is None else np.concatenate([held, x], 1)
-        if not x.shape[1]:
-            continue
-        cut = int(np.searchsorted(x[0], x[0, -1]))  # the last token may go on
-        held = x[:, cut:]
-        if cut:
-            yield from pairs(x[:, :cut])
-    if held is not None and held.shape[1]:
-        yield from pairs(held)
+    def whole_tokens() -> Iterator[np.ndarray]:
+        nonlocal held
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy() for i in range(7)])
+            x = x if held is None else np.concatenate([held, x], 1)
+            if not x.shape[1]:
+                continue
+            going_on = np.flatnonzero(x[0] != x[0, -1])  # the last token may go on
+            cut = int(going_on[-1]) + 1 if len(going_on) else 0
+            held = x[:, cut:]
+            if cut:
+                yield from pairs(x[:, :cut])
+        if held is not None and held.shape[1]:
+            yield from pairs(held)
+
+    parts, size = [], 0
+    for found in whole_tokens():
+        parts.append(found)
+        size += found.shape[1]
+        if size > PAIRS_HELD:
+            parts = [added(parts)]
+            size = parts[0].shape[1]
+            if 2 * size > PAIRS_HELD:
+                yield pa.RecordBatch.from_arrays([_long(v) for v in parts[0]], names=names)
+                parts, size = [], 0
+    if parts:
+        yield pa.RecordBatch.from_arrays([_long(v) for v in added(parts)], names=names)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -313,11 +342,14 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
 
     # Pairs of groups (most are single nodes) that hubs haven't tied together already.
     tied = connected_components(edges)
-    grouped = shared.select("token", "node", "n", "rest").join(table, "node", "left").join(tied, "node", "left").select(
-        "token", F.coalesce("center", "node").alias("node"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"), F.coalesce("g_rest", "rest").alias("rest"), F.coalesce("radius", F.lit(0)).cast("long").alias("radius"), F.coalesce("root", "node").alias("root")
+    crowded = spool(shared.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ENTRIES).alias("parts")).where("parts > 1"), "crowded")
+    dealt = F.xxhash64("hub", F.pmod(F.xxhash64("token"), F.coalesce("parts", F.lit(1)))).alias("dealt")  # a token has one hub
+    entries = shared.join(small(crowded), "hub", "left").select("token", "node", "n", "rest", dealt)
+    grouped = entries.join(table, "node", "left").join(tied, "node", "left").select(
+        "token", F.coalesce("center", "node").alias("node"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"), F.coalesce("g_rest", "rest").alias("rest"), F.coalesce("radius", F.lit(0)).cast("long").alias("radius"), F.coalesce("root", "node").alias("root"), "dealt"
     )
     names = ", ".join(f"{s}_{x} long" for x in "ab" for s in SIDE)
-    pairs = grouped.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_group_pairs, f"a long, b long, m long, {names}")
+    pairs = grouped.repartition("dealt").sortWithinPartitions("dealt", "token", "node").drop("dealt").mapInArrow(_group_pairs, f"a long, b long, m long, {names}")
     keep = [f"{s}_{x}" for x in "ab" for s in SIDE]
     pairs = pairs.groupBy("a", "b").agg(F.sum("m").alias("m"), *[F.max(c).alias(c) for c in keep]).where(enough("m", "a", "b"))
     pairs = spool(pairs.select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("radius")), "pairs")
