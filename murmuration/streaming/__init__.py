@@ -1 +1 @@
-"""Incremental refresh with Structured Streaming."""
+"""Tables that streams keep up."""
