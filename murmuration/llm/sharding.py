@@ -17,6 +17,38 @@ from .common import documents, text_or_empty
 #: Rows of a part, about, and parts at most: the matrix has MOST_PARTS * shards counts at most.
 PART_ROWS, MOST_PARTS = 2_000, 1 << 12
 SLOT_RANGES = 64
+#: numpy draws from populations below this alone.
+NUMPY_LIMIT = 10**9
+#: Standard deviations on either side of the mean that hold all but a share that doubles can't tell from none.
+REACH = 12
+
+
+def hypergeometric(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
+    """How many of `drawn` are good, by the inverse of the distribution function: for populations of any size, in memory that grows with the standard deviation."""
+    least, most = max(0, drawn - bad), min(good, drawn)
+    if least >= most:
+        return least
+    share = good / (good + bad)
+    deviation = (drawn * share * (1 - share) * max(0.0, 1 - drawn / (good + bad))) ** 0.5
+    low = max(least, int(drawn * share - REACH * deviation) - 50)
+    high = min(most, int(drawn * share + REACH * deviation) + 50)
+    k = np.arange(low, high, dtype=np.float64)
+    ratios = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)  # of each probability to the one before
+    logs = np.r_[0.0, np.cumsum(ratios)]
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
+def dealt_out(room: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `n` rows, drawn without replacement, each shard takes of its `room`: one shard after the other, given what the ones before took."""
+    if int(room.sum()) < NUMPY_LIMIT:
+        return rng.multivariate_hypergeometric(room, n, method="marginals")
+    out, others = np.zeros(len(room), np.int64), int(room.sum())
+    for s, own in enumerate(room.tolist()):
+        others -= own
+        out[s] = hypergeometric(own, others, n, rng)
+        n -= int(out[s])
+    return out
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
@@ -25,7 +57,7 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     room = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
     out = np.zeros((len(rows), shards), np.int64)
     for p, n in enumerate(rows):
-        out[p] = rng.multivariate_hypergeometric(room, n, method="marginals")
+        out[p] = dealt_out(room, n, rng)
         room -= out[p]
     return out
 
