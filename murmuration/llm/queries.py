@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, quality, secrets, sharding, toxicity
+from . import bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, merkle, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_merkle": merkle.op11_merkle,
 }
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op10_exact_dedup": exact_dedup.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL}
