@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, merkle, mixing, quality, secrets, sharding, toxicity
+from . import bpe, conversations, exact_dedup, fingerprints, jaccard_join, licenses, line_dedup, merkle, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_merkle": merkle.op11_merkle,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_licenses": licenses.op13_licenses,
 }
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL}
