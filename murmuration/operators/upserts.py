@@ -21,6 +21,18 @@ def monotone(stored: DataFrame, incoming: DataFrame, key: str, counters: tuple[s
     )
 
 
+def by_group(stored: DataFrame, incoming: DataFrame, key: str, groups: dict[str, tuple[str, ...]], order: str) -> DataFrame:
+    """Rows of either side by key, where each group of columns has a watermark of its own: a row that is newer in one group and older in another changes the first alone.
+
+    `groups`: the columns by the name of their watermark. Incoming rows are taken in the order of their column `order`; one as new as what is there
+    replaces it. A row without a watermark replaces nothing but a group that has none either. One aggregation does it all, so a key's rows are merged before they are sent.
+    """
+    columns = [key, *[c for at, own in groups.items() for c in (*own, at)]]
+    both = stored.select(*columns, F.lit(None).cast(incoming.schema[order].dataType).alias("__order")).unionByName(incoming.select(*columns, F.col(order).alias("__order")))
+    best = both.groupBy(key).agg(*[F.max_by(F.struct(*own, at), F.struct(at, "__order")).alias(f"__{at}") for at, own in groups.items()])  # nulls are the least
+    return best.select(key, *[f"__{at}.{c}" for at, own in groups.items() for c in (*own, at)])
+
+
 def first_only(stored: DataFrame, claims: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     """Claims on keys that nobody holds: the first one of each key."""
     free = claims.join(stored.select(*keys), list(keys), "left_anti")

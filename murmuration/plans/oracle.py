@@ -1,6 +1,6 @@
 """The queries in DuckDB SQL, over the driver's views."""
 
-from . import review_queries, rule_sql, signal_queries
+from . import review_queries, rule_sql, signal_queries, summary_queries
 
 HISTORY = """h AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS account_id, o_orderpriority AS label_key, o_orderstatus = 'F' AS value,
  CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) % 1001 AS confidence_milli, 'reason-' || CAST(o_orderkey % 7 AS VARCHAR) AS reason,
@@ -80,4 +80,4 @@ ORACLE_SQL["reply_posterior"] = f"WITH {RATIOS} SELECT account_id, n, replies, r
 _signals = ORACLE_SQL["follow_signals"]
 ORACLE_SQL |= rule_sql.queries(HISTORY, RANKED, FOLLOW, f"WITH {_signals[_signals.index('e AS (SELECT f.follower_id'):]}")
 ORACLE_SQL |= review_queries.sql(HISTORY, LAGGED, ACCOUNT, FOLLOW, ORACLE_SQL["count_drops"])
-ORACLE_SQL |= signal_queries.ORACLE_SQL
+ORACLE_SQL |= signal_queries.ORACLE_SQL | summary_queries.ORACLE_SQL

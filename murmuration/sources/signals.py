@@ -74,3 +74,44 @@ def flood(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(u % 3 == 0, pick(phrases, n)).when(u % 3 == 1, F.substring(F.lit(SINGLES), (n % len(SINGLES)).cast("int") + 1, F.lit(1))).otherwise(F.concat(F.lit("@a reply "), (n % 9).cast("string")))
     target = F.when(n % 10 == 2, None).when(n % 3 == 0, "b").otherwise("a")
     return _event(spark, d).select("id", "account_id", at.alias("at_us"), (n % 7 != 0).alias("is_reply"), (n % 7 == 1).alias("is_retweet"), target.alias("in_reply_to"), text.alias("text"))
+
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each label and day: id, label_key, at (ms), evaluated, true_count, completeness."""
+    day = F.unix_date(F.to_date("o_orderdate"))
+    by = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label_key"), day.alias("day")).agg(F.count("*").alias("evaluated"), F.count_if(F.col("o_orderstatus") == "F").alias("true_count"))
+    state = F.when(F.col("day") % 7 == 0, "partial").when(F.col("day") % 11 == 0, "unknown").otherwise("complete")
+    at = F.col("day").cast("long") * 86_400_000 + (F.col("day") % 5) * 3_600_000
+    return by.select(F.concat("label_key", F.lit("|"), F.col("day").cast("string")).alias("id"), "label_key", "day", at.alias("at"), "evaluated", "true_count", state.alias("completeness"))
+
+
+def findings(spark: SparkSession, d: str) -> DataFrame:
+    """id, label_key, status, severity; labels have findings of more or less weight, and one has none that is open."""
+    n = F.col("p_partkey")
+    label, step = n % 5, F.floor(n / 5)
+    severity = pick(("odd", "low", "medium", "high"), step % (label + 1))
+    status = F.when(label == 4, "resolved").otherwise(pick(("active", "dismissed", "recurring", "resolved"), step))
+    return table(spark, d, "part").select(n.alias("id"), pick(PRIORITIES, label).alias("label_key"), status.alias("status"), severity.alias("severity"))
+
+
+SUMMARY_GROUPS = {"profile_at": ("screen_name",), "labels_at": ("labels", "label_count"), "findings_at": ("finding_count", "severity")}
+
+
+def _summary(key: str, n: Column, prefix: str, spans: tuple[int, int, int], gaps: tuple[int, int]) -> list[Column]:
+    text = lambda name, m: F.concat(F.lit(name), (n % m).cast("string"))
+    return [
+        F.col(key).cast("string").alias("account_id"), text(prefix, 1 << 30).alias("screen_name"), (n % spans[0]).alias("profile_at"), text(f"{prefix}k", 3).alias("labels"), (n % 6).alias("label_count"),
+        F.when(n % gaps[0] != 0, n % spans[1]).alias("labels_at"), (n % 5).alias("finding_count"), text(f"{prefix}s", 4).alias("severity"), F.when(n % gaps[1] != 0, n % spans[2]).alias("findings_at"),
+    ]
+
+
+def stored_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(*_summary("c_custkey", F.col("c_custkey"), "s", (50, 60, 40), (7, 3)))
+
+
+def new_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of summaries, seq in the order they came: often newer in one group of columns and older in another."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), *_summary("o_custkey", F.col("o_orderkey"), "n", (100, 90, 70), (5, 4)))

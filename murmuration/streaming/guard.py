@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.upserts import guarded
+from .generations import rewrite
 
 
 def keep_newest(stream: DataFrame, folder: str, keys: tuple[str, ...], order: tuple[str, ...]) -> DataStreamWriter:
-    """A writer that merges each batch into the generation of the batch before, folder/batch=<number - 1>, and writes the next one.
-
-    A batch that runs again reads and writes the same folders, so it gives the same result. The row with the greatest `order` of each key stays.
-    """
+    """A writer that merges each batch into the buckets that it touches (see `generations`); the row with the greatest `order` of each key stays."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = batch.limit(0) if number == 0 else batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/batch={number - 1}")
-        guarded(stored, batch, keys, order).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        rewrite(batch, number, folder, keys, batch.schema, lambda stored, new: guarded(stored, new, keys, order))
 
     return stream.writeStream.outputMode("append").foreachBatch(merge)

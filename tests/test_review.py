@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from murmuration.operators import review
+from murmuration.streaming.generations import newest
 from murmuration.streaming.guard import keep_newest
 
 JUDGED = "label_key string, value boolean, run string, seq long, rule_version string, confidence_milli long, correct boolean, weight long"
@@ -73,7 +74,7 @@ def test_a_late_batch_replaces_nothing_newer(spark, tmp_path):
         spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         keep_newest(stream, out, ("account_id", "label_key"), ("labeled_at", "id")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-        return {(r.account_id, r.id) for r in spark.read.parquet(f"{out}/batch={number}").collect()}
+        return {(r.account_id, r.id) for r in newest(spark, out, schema).collect()}
 
     assert feed(0, ("a", "x", 1, 10, True), ("a", "x", 2, 10, False)) == {("a", 2)}
     assert feed(1, ("a", "x", 0, 5, True), ("b", "x", 3, 1, True)) == {("a", 2), ("b", 3)}
