@@ -28,7 +28,7 @@ def risk_score(findings: Column, recent: Column, shift: Column, coverage: Column
     """1, plus up to 4 for open findings, 3 for recent changes, 3 for a shift of the prevalence, 2 for little coverage, 2 for stale rows. Null measures add nothing."""
     moved = F.when(shift >= 0.3, 3.0).when(shift >= 0.1, 1.0).otherwise(0.0)
     changed = F.when(recent > 0, F.least(F.lit(3.0), F.log2(recent + 1))).otherwise(0.0)
-    return F.round(1 + F.least(F.lit(4), findings * 2) + changed + moved + F.when(coverage < 0.8, 2).otherwise(0) + F.when(stale > 0.1, 2).otherwise(0), 3)
+    return F.round(1 + F.least(F.lit(4), F.coalesce(findings, F.lit(0)) * 2) + changed + moved + F.when(coverage < 0.8, 2).otherwise(0) + F.when(stale > 0.1, 2).otherwise(0), 3)
 
 
 def completeness(coverage: Column, stale: Column, least_coverage: float, most_stale: float) -> Column:

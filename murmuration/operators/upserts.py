@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,52 @@ def guarded(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...], order
     return best.select(*keys, "r.*")
 
 
-def monotone(stored: DataFrame, incoming: DataFrame, key: str, counters: tuple[str, ...], flags: tuple[str, ...], sets: tuple[str, ...]) -> DataFrame:
-    """Counters never fall, flags never turn false, sets only grow; keys of either side stay. Rows of one key in one batch are merged too."""
-    both = stored.unionByName(incoming.select(*stored.columns))
-    return both.groupBy(key).agg(
-        *[F.max(c).alias(c) for c in counters], *[F.bool_or(c).alias(c) for c in flags], *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in sets]  # a key's rows in a batch are few
-    )
+def _differs(columns: tuple[str, ...], sets: tuple[str, ...] = ()) -> Column:
+    """Whether the structs `__was` and `__now` differ in any of the columns; sets are compared without order."""
+    same = F.lit(True)
+    for c in columns:
+        order = (lambda x: F.array_sort(x)) if c in sets else (lambda x: x)
+        same &= order(F.col(f"__was.{c}")).eqNullSafe(order(F.col(f"__now.{c}")))
+    return ~same
+
+
+def monotone(stored: DataFrame, incoming: DataFrame, key: str, order: str, plain: tuple[str, ...], flags: tuple[str, ...], sets: tuple[str, ...], kept: tuple[str, ...], most: tuple[str, ...], last: tuple[str, ...] = ()) -> DataFrame:
+    """Stored rows with a batch merged in, and `changed` (a row is new or differs in anything but `last`).
+
+    The batch's rows of one key are merged first, later ones (by `order`) last. `plain` columns and `last` are the newest row's, counts that fall among them; `flags` never turn false again; `sets` only grow,
+    new members first; `kept` columns keep their value where the newer one is null; `most` keep the greater value. Keys of either side stay; stored rows that the batch doesn't have don't change.
+    """
+    columns = (*plain, *flags, *sets, *kept, *most, *last)
+    newest = [F.max_by(c, order).alias(c) for c in (*plain, *last)]
+    held = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in kept]
+    grown = [F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(c, F.array()).alias("v"))), asc=False), lambda x: x["v"]))).alias(c) for c in sets]  # a key's rows in a batch are few
+    batch = incoming.groupBy(key).agg(*newest, *[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in flags], *grown, *held, *[F.max(c).alias(c) for c in most])
+    rows = stored.select(key, F.struct(*columns).alias("__was")).join(batch.select(key, F.struct(*columns).alias("__in")), key, "full_outer")
+    was, new = (lambda c: F.col(f"__was.{c}")), (lambda c: F.col(f"__in.{c}"))
+    merged = {c: new(c) for c in (*plain, *last)} | {c: new(c) | F.coalesce(was(c), F.lit(False)) for c in flags} | {c: F.array_distinct(F.concat(new(c), F.coalesce(was(c), F.array()))) for c in sets}
+    merged |= {c: F.coalesce(new(c), was(c)) for c in kept} | {c: F.greatest(new(c), was(c)) for c in most}
+    rows = rows.withColumn("__now", F.when(F.col("__in").isNull(), F.col("__was")).otherwise(F.struct(*[merged[c].alias(c) for c in columns])))
+    return rows.select(key, "__now.*", (F.col("__was").isNull() | _differs(tuple(c for c in columns if c not in last), sets)).alias("changed"))
+
+
+def replaced(stored: DataFrame, incoming: DataFrame, key: str, order: str, first: tuple[str, ...], watched: tuple[str, ...]) -> DataFrame:
+    """Stored rows with a batch put in their place, and `changed`: whether a row is new or differs in a `watched` column. Of several rows of a key the last by `order` counts; `first` columns keep what they had."""
+    columns = [c for c in stored.columns if c != key]
+    batch = incoming.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("__in"))
+    rows = stored.select(key, F.struct(*columns).alias("__was")).join(batch, key, "full_outer")
+    now = F.struct(*[(F.coalesce(F.col(f"__was.{c}"), F.col(f"__in.{c}")) if c in first else F.when(F.col("__in").isNull(), F.col(f"__was.{c}")).otherwise(F.col(f"__in.{c}"))).alias(c) for c in columns])
+    rows = rows.withColumn("__now", now)
+    return rows.select(key, "__now.*", (F.col("__was").isNull() | _differs(watched)).alias("changed"))
+
+
+def recorded(latest: DataFrame, incoming: DataFrame, keys: tuple[str, ...], watched: tuple[str, ...], at: str) -> DataFrame:
+    """Incoming rows with what becomes of each: `noop` (the latest row is the same in all `watched` columns), `history` (it is new history) and `newest` (it becomes the latest row, as that isn't newer).
+
+    Incoming keys are distinct.
+    """
+    rows = incoming.withColumn("__now", F.struct(*watched)).join(latest.select(*keys, F.struct(*watched).alias("__was"), F.col(at).alias("__at")), list(keys), "left")
+    noop = F.col("__was").isNotNull() & ~_differs(watched)
+    return rows.select(*incoming.columns, noop.alias("noop"), (~noop).alias("history"), (~noop & (F.col("__at").isNull() | (F.col("__at") <= F.col(at)))).alias("newest"))
 
 
 def by_group(stored: DataFrame, incoming: DataFrame, key: str, groups: dict[str, tuple[str, ...]], order: str) -> DataFrame:

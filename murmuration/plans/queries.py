@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..operators import behaviour, findings, graph, history, rules, upserts
 from ..sources import adapters
-from . import review_queries, signal_queries, summary_queries
+from . import payload_queries, planning_queries, review_queries, signal_queries, summary_queries
 
 AS_OF = "2001-08-02 00:00:00"
 DAY = "yyyy-MM-dd HH:mm:ss"
@@ -139,12 +139,6 @@ def daily_rollup(spark, d):
     return findings.daily(rows.withColumnRenamed("labeled_at", "observed")).withColumn("change", F.col("change").cast("double"))
 
 
-def finding_lifecycle(spark, d):
-    """Monthly drops of each label, folded into episodes."""
-    drops = count_drops(spark, d).where("NOT missing").withColumnRenamed("month", "observed")
-    return findings.lifecycle(drops, activate_after=2, resolve_after=2)
-
-
 def account_overview(spark, d):
     """Accounts with their summaries and severity floor: page of the most labelled ones, missing summaries as none."""
     summary = account_summary(spark, d)
@@ -231,15 +225,6 @@ def guarded_latest(spark, d):
     return upserts.guarded(stored, h.where(F.year("labeled_at") >= 1996), history.KEY, ("labeled_at", "id")).select("account_id", "label_key", "id", "value")
 
 
-def monotone_merge(spark, d):
-    """Order lines by part: the first line numbers as what is stored, the others as what comes in."""
-    rows = adapters.table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("id"), F.col("l_quantity").cast("long").alias("likes"), F.col("l_linenumber").cast("long").alias("views"), (F.col("l_returnflag") == "R").alias("flagged"), F.array("l_linestatus").alias("tags")
-    )
-    merged = upserts.monotone(rows.where("views = 1"), rows.where("views > 1"), "id", ("likes", "views"), ("flagged",), ("tags",))
-    return merged.withColumn("tags", F.array_join("tags", ","))
-
-
 def first_claims(spark, d):
     """Customers who ordered first in 1997: the first order of each one without an order before."""
     h = adapters.label_history(spark, d)
@@ -264,6 +249,6 @@ QUERIES = {f.__name__: f for f in (
     latest_labels, previous_labels, compacted_history, label_changes, label_snapshot, label_distributions, confidence_diagnostics, label_freshness, account_summary,
     stale_accounts, review_sample, count_drops, follow_signals, block_candidates, block_reconciliation, recent_tweets, behaviour_ratios, posting_gaps, sliding_targets,
     duplicate_replies, retweet_rule, reply_posterior, profile_rules, bigram_similarity, url_hosts, account_page, account_search, calibration, severity_ranks,
-    label_rules, topic_rules, as_of_drops, reason_shifts, daily_rollup, finding_lifecycle, account_overview, shared_labels, edge_sync,
-    guarded_latest, monotone_merge, first_claims, retained_labels, templated_targets,
-)} | review_queries.QUERIES | signal_queries.QUERIES | summary_queries.QUERIES
+    label_rules, topic_rules, as_of_drops, reason_shifts, daily_rollup, account_overview, shared_labels, edge_sync,
+    guarded_latest, first_claims, retained_labels, templated_targets,
+)} | review_queries.QUERIES | signal_queries.QUERIES | summary_queries.QUERIES | planning_queries.QUERIES | payload_queries.QUERIES

@@ -100,7 +100,6 @@ def queries(history: str, ranked: str, follow: str, signals: str) -> dict[str, s
         "edge_sync": """WITH e AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS src, CAST(l_suppkey AS VARCHAR) AS dst, year(o_orderdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) IN (1995, 1996))
  SELECT src, dst, CASE WHEN min(y) = 1996 THEN 'added' WHEN max(y) = 1995 THEN 'removed' ELSE 'kept' END AS state FROM e GROUP BY 1, 2""",
         "guarded_latest": f"WITH {ranked} SELECT account_id, label_key, id, value FROM l",
-        "monotone_merge": "SELECT l_partkey AS id, CAST(max(floor(l_quantity)) AS BIGINT) AS likes, CAST(max(l_linenumber) AS BIGINT) AS views, bool_or(l_returnflag = 'R') AS flagged, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS tags FROM lineitem GROUP BY 1",
         "first_claims": f"WITH {history} SELECT account_id, id FROM h WHERE year(labeled_at) = 1997 AND account_id NOT IN (SELECT account_id FROM h WHERE year(labeled_at) < 1997) QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY labeled_at, id) = 1",
         "retained_labels": f"WITH {history} SELECT label_key, count(*) AS n FROM h WHERE labeled_at >= TIMESTAMP '1996-01-01' GROUP BY 1",
         "templated_targets": f"""WITH {POSTS}, {NORMAL}, x AS (SELECT id, account_id, at_us, plain AS text, in_reply_to AS target FROM q WHERE is_reply AND in_reply_to IS NOT NULL AND length(plain) >= 20),

@@ -115,3 +115,73 @@ def stored_summaries(spark: SparkSession, d: str) -> DataFrame:
 def new_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Batches of summaries, seq in the order they came: often newer in one group of columns and older in another."""
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), *_summary("o_custkey", F.col("o_orderkey"), "n", (100, 90, 70), (5, 4)))
+
+
+def month_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each label and month: id, label_key, at (ms), evaluated, true_count."""
+    month = F.trunc(F.to_date("o_orderdate"), "month")
+    by = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label_key"), month.alias("month")).agg(F.count("*").alias("evaluated"), F.count_if(F.col("o_orderstatus") == "F").alias("true_count"))
+    return by.select(F.concat("label_key", F.lit("|"), F.date_format("month", "yyyy-MM")).alias("id"), "label_key", (F.unix_date("month").cast("long") * 86_400_000).alias("at"), "evaluated", "true_count")
+
+
+def month_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """id, reason, n: the reasons of each month's true rows."""
+    rows = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return rows.groupBy(F.concat("o_orderpriority", F.lit("|"), F.date_format("o_orderdate", "yyyy-MM")).alias("id"), F.concat(F.lit("reason-"), (F.col("o_orderkey") % 3).cast("string")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def issues(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    severity = F.when(n % 37 == 0, "critical").otherwise(pick(("low", "high", "medium", "odd", "low"), n))
+    return table(spark, d, "supplier").select(
+        n.cast("string").alias("id"), pick(("crawl_stalled", "outbox_stalled"), n).alias("type"), pick(("active", "resolved", "active"), n).alias("status"), severity.alias("severity"), pick(("crawler", "blocker"), n).alias("component"), (n * 7919 % 1000 * 1000).alias("detected_at"),
+    )
+
+
+def review_findings(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey")
+    severity = F.when(n % 401 == 7, "critical").otherwise(pick(("low", "medium", "high", "odd"), n))
+    return table(spark, d, "part").select(
+        n.cast("string").alias("id"), pick(("label_count_drop", "coverage_gap", "reason_distribution_shift"), n).alias("type"), pick(("active", "recurring", "resolved", "active", "recurring"), n).alias("status"), severity.alias("severity"), F.lit("label").alias("scope_type"),
+        pick(PRIORITIES, n).alias("scope_id"), (n * 104_729 % 1000 * 1000).alias("detected_at"),
+    )
+
+
+def occurrences(spark: SparkSession, d: str) -> DataFrame:
+    quantity = F.col("l_quantity").cast("long")
+    return table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").cast("string").alias("finding_id"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("observed_at"), F.when(F.col("l_orderkey") % 9 != 0, quantity).alias("affected"),
+        F.when(F.col("l_linenumber") != 2, quantity + F.col("l_orderkey") % 5).otherwise(0).alias("total"),
+    )
+
+
+def raw_users(spark: SparkSession, d: str) -> DataFrame:
+    """Users as JSON lines: new and old shape by turns, some cut off, some without their legacy part."""
+    n = F.col("c_custkey")
+    when = lambda cond, value: F.when(cond, value)
+    name, since = F.concat(F.lit("user"), n.cast("string")), F.concat(F.lit("Wed Jan "), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit(" 10:00:00 +0900 2020"))
+    core = when(n % 2 == 0, F.struct(name.alias("screenName"), F.upper(name).alias("name"), since.alias("createdAt")))
+    legacy = F.struct(
+        when(n % 2 == 1, F.concat(F.lit("old_"), name)).alias("screenName"), when(n % 4 == 1, name).alias("name"), when(n % 3 != 0, F.concat(F.lit("bio é\n"), n.cast("string"))).alias("description"), (n % 500).alias("followersCount"), (n % 90).alias("friendsCount"), (n % 7).alias("statusesCount"),
+        when(n % 2 == 1, F.lit("2020-02-03T04:05:06Z")).alias("createdAt"), when(n % 5 == 0, F.lit("Tokyo")).alias("location"),
+    )
+    raw = F.to_json(F.struct(n.cast("string").alias("restId"), (n % 6 == 0).alias("isBlueVerified"), core.alias("core"), when(n % 37 != 0, legacy).alias("legacy"), when(n % 9 == 0, F.struct(F.lit("Business").alias("verifiedType"))).alias("verification"), when(n % 8 == 0, F.struct(F.lit("Creator").alias("professionalType"))).alias("professional")))
+    return table(spark, d, "customer").select(F.when(n % 41 == 0, F.left(raw, F.lit(40))).when(n % 43 == 0, None).otherwise(raw).alias("value"))
+
+
+def raw_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Posts as JSON lines, with links, media and quoted posts, some cut off or withheld."""
+    n, u = F.col("event_id"), F.col("user_id").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    link = lambda short, long: F.struct(short.alias("url"), long.alias("expandedUrl"))
+    urls = F.array(link(text("https://t.co/", n % 5), F.when(n % 3 == 0, text("  https://a.example/", n % 5, "　"))), link(text("https://t.co/", n % 5), F.lit(None).cast("string")), link(F.lit(" "), F.lit(None).cast("string")))
+    media = F.array(F.struct(F.when(n % 2 == 0, "video").otherwise("photo").alias("type"), F.when(n % 5 != 0, F.lit("7")).alias("sourceUserIdStr")), F.struct(F.lit("animated_gif").alias("type"), u.alias("sourceUserIdStr")))
+    quoted = F.struct(F.struct(text("q", n % 9).alias("restId"), F.when(n % 3 != 0, F.struct(F.when(n % 4 == 2, F.struct(F.array(F.struct(F.lit("video").alias("type"))).alias("media"))).alias("extendedEntities"))).alias("legacy"), F.when(n % 5 != 0, F.struct(F.lit("8").alias("restId"))).alias("user")).alias("result"))
+    legacy = F.struct(
+        text("text ", n).alias("fullText"), F.lit("Thu Feb 06 00:00:01 +0000 2020").alias("createdAt"), (n % 4).alias("retweetCount"), (n % 6).alias("favoriteCount"), (n % 2).alias("replyCount"), F.lit(0).alias("quoteCount"), F.when(n % 3 == 1, text("p", n % 10)).alias("inReplyToStatusIdStr"),
+        F.when(n % 7 == 0, text("r", n % 10)).alias("retweetedStatusIdStr"), F.when(n % 11 == 0, F.lit(True)).alias("isPromoted"), F.when(n % 13 == 0, n % 2 == 0).alias("hasAiGeneratedMedia"), F.when(n % 2 == 0, F.struct(urls.alias("urls"))).alias("entities"), F.when(n % 3 != 1, F.struct(F.when(n % 6 != 2, media).alias("media"))).alias("extendedEntities"),
+        F.when(n % 4 >= 2, quoted).alias("quotedStatusResult"),
+    )
+    user = F.struct(u.alias("restId"), F.struct(F.lit("x").alias("screenName")).alias("legacy"))
+    raw = F.to_json(F.struct(n.cast("string").alias("restId"), F.when(n % 47 != 0, legacy).alias("legacy"), user.alias("user")))
+    return table(spark, d, "events").select(F.when(n % 53 == 0, F.left(raw, F.lit(60))).otherwise(raw).alias("value"))
