@@ -66,17 +66,15 @@ def reply_posterior(tweets: DataFrame, rate: float = 0.5) -> DataFrame:
 
 
 def profile_rules(accounts: DataFrame) -> DataFrame:
-    """Verified kinds and self-declared kinds, in long form; confidence is 1 either way."""
-    plain = F.coalesce(F.col("verified_type") == "None", F.lit(True))
+    """Verified kinds and self-declared kinds, in long form; confidence is 1 either way, and they can always be judged."""
+    told = lambda *names: F.concat(F.lit("API reported "), *[x for i, (label, col) in enumerate(names) for x in (F.lit(f"{', ' if i else ''}{label}="), F.coalesce(F.col(col).cast("string"), F.lit("null")))])
+    blue, kind, trade, own = ("isBlueVerified", "is_blue_verified"), ("verifiedType", "verified_type"), ("professionalType", "professional_type"), ("parodyCommentaryFanLabel", "self_label")
+    individual = F.col("is_blue_verified") & F.coalesce(F.col("verified_type") == "None", F.lit(True))
+    is_ = lambda col, value: F.coalesce(F.col(col) == value, F.lit(False))
     rules = {
-        "verified_blue_individual": F.col("is_blue_verified") & plain,
-        "verified_business": F.coalesce(F.col("verified_type") == "Business", F.lit(False)),
-        "verified_government": F.coalesce(F.col("verified_type") == "Government", F.lit(False)),
-        "verified_blue_creator": F.col("is_blue_verified") & plain & F.coalesce(F.col("professional_type") == "Creator", F.lit(False)),
-        "verified_blue_professional_business": F.col("is_blue_verified") & plain & F.coalesce(F.col("professional_type") == "Business", F.lit(False)),
-        "parody_account": F.coalesce(F.col("self_label") == "Parody", F.lit(False)),
-        "commentary_account": F.coalesce(F.col("self_label") == "Commentary", F.lit(False)),
-        "fan_account": F.coalesce(F.col("self_label") == "Fan", F.lit(False)),
-    }
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("label_key"), v.alias("value"), F.lit(1.0).alias("confidence")) for k, v in rules.items()]))
+        "verified_blue_individual": (individual, told(blue, kind)), "verified_blue_creator": (individual & is_("professional_type", "Creator"), told(blue, kind, trade)),
+        "verified_blue_professional_business": (individual & is_("professional_type", "Business"), told(blue, kind, trade)), "verified_business": (is_("verified_type", "Business"), told(kind)), "verified_government": (is_("verified_type", "Government"), told(kind)),
+        "parody_account": (is_("self_label", "Parody"), told(own)), "commentary_account": (is_("self_label", "Commentary"), told(own)), "fan_account": (is_("self_label", "Fan"), told(own)),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("label_key"), F.lit("1.0.0").alias("rule_version"), v.alias("value"), F.lit(1.0).alias("confidence"), F.lit(True).alias("evaluable"), r.alias("reason")) for k, (v, r) in rules.items()]))
     return accounts.select(F.col("id").alias("account_id"), each.alias("r")).select("account_id", "r.*")

@@ -82,13 +82,3 @@ def first_only(stored: DataFrame, claims: DataFrame, keys: tuple[str, ...], orde
 def retained(rows: DataFrame, at: str, cutoff: str) -> DataFrame:
     """Rows at or after the cutoff (a date)."""
     return rows.where(F.col(at) >= F.lit(cutoff).cast("timestamp_ntz"))
-
-
-def best_windows(replies: DataFrame, window_us: int) -> DataFrame:
-    """By account and text: of all windows that start at a reply (at_us), the most distinct targets; then by account the best text: most targets, most replies, shortest span, least text."""
-    # The windows of one text of one account: a self join on both, not on the account.
-    a, b = replies.alias("a"), replies.alias("b")
-    inside = (F.col("a.account_id") == F.col("b.account_id")) & (F.col("a.text") == F.col("b.text")) & F.col("b.at_us").between(F.col("a.at_us"), F.col("a.at_us") + window_us)
-    each = a.join(b, inside).groupBy("a.account_id", "a.text", "a.id", "a.at_us").agg(F.count_distinct("b.target").alias("targets"), F.count("*").alias("replies"), (F.max("b.at_us") - F.first("a.at_us")).alias("span_us"))
-    order = Window.partitionBy("account_id").orderBy(F.desc("targets"), F.desc("replies"), "span_us", "text", "id")
-    return each.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("account_id", "text", "targets", "replies", "span_us")

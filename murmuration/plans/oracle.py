@@ -59,10 +59,12 @@ ORACLE_SQL = {
  y AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY targets DESC, replies DESC, span_us) AS k FROM x) SELECT account_id, targets, replies, span_us FROM y WHERE k = 1""",
     "retweet_rule": f"""WITH {RATIOS}, x AS (SELECT account_id, n >= 5 AND retweets / n >= 0.2::DOUBLE AS value, n >= 5 AS evaluable, least(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + (n - 5) * 0.5::DOUBLE / 5)), greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + (retweets / n - 0.2::DOUBLE) * 0.5::DOUBLE / 0.2::DOUBLE))) AS s FROM r)
  SELECT account_id, 'retweet_heavy' AS label_key, value, round(CASE WHEN NOT evaluable THEN 0.5 WHEN value THEN s ELSE 1 - s END, 9) AS confidence, evaluable FROM x""",
-    "profile_rules": f"""WITH {ACCOUNT} SELECT id AS account_id, 'verified_blue_individual' AS label_key, is_blue_verified AND coalesce(verified_type = 'None', true) AS value, 1.0::DOUBLE AS confidence FROM a
+    "profile_rules": f"""WITH {ACCOUNT}, v AS (SELECT id AS account_id, 'verified_blue_individual' AS label_key, is_blue_verified AND coalesce(verified_type = 'None', true) AS value, 1.0::DOUBLE AS confidence FROM a
  UNION ALL SELECT id, 'verified_business', coalesce(verified_type = 'Business', false), 1.0 FROM a UNION ALL SELECT id, 'verified_government', coalesce(verified_type = 'Government', false), 1.0 FROM a
  UNION ALL SELECT id, 'verified_blue_creator', is_blue_verified AND coalesce(verified_type = 'None', true) AND CAST(id AS BIGINT) % 2 = 0, 1.0 FROM a UNION ALL SELECT id, 'verified_blue_professional_business', is_blue_verified AND coalesce(verified_type = 'None', true) AND CAST(id AS BIGINT) % 2 <> 0 AND CAST(id AS BIGINT) % 3 = 0, 1.0 FROM a
- UNION ALL SELECT id, 'parody_account', CAST(id AS BIGINT) % 7 = 0, 1.0 FROM a UNION ALL SELECT id, 'commentary_account', CAST(id AS BIGINT) % 7 = 1, 1.0 FROM a UNION ALL SELECT id, 'fan_account', CAST(id AS BIGINT) % 7 = 2, 1.0 FROM a""",
+ UNION ALL SELECT id, 'parody_account', CAST(id AS BIGINT) % 7 = 0, 1.0 FROM a UNION ALL SELECT id, 'commentary_account', CAST(id AS BIGINT) % 7 = 1, 1.0 FROM a UNION ALL SELECT id, 'fan_account', CAST(id AS BIGINT) % 7 = 2, 1.0 FROM a), r AS (SELECT *, 'isBlueVerified=' || is_blue_verified AS b, 'verifiedType=' || coalesce(verified_type, 'null') AS t, 'professionalType=' || CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'Creator' WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'Business' ELSE 'null' END AS w,
+  'parodyCommentaryFanLabel=' || CASE CAST(id AS BIGINT) % 7 WHEN 0 THEN 'Parody' WHEN 1 THEN 'Commentary' WHEN 2 THEN 'Fan' ELSE 'null' END AS l FROM a)
+ SELECT v.*, '1.0.0' AS rule_version, true AS evaluable, 'API reported ' || CASE WHEN label_key = 'verified_blue_individual' THEN b || ', ' || t WHEN starts_with(label_key, 'verified_blue') THEN b || ', ' || t || ', ' || w WHEN starts_with(label_key, 'verified') THEN t ELSE l END AS reason FROM v JOIN r ON r.id = account_id""",
     "url_hosts": "WITH x AS (SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages) SELECT host, regexp_matches(host, '(^|\\.)example\\.(com|net)$') AS known, count(*) AS pages FROM x GROUP BY 1, 2",
     "account_page": f"WITH {ACCOUNT} SELECT id, screen_name, followers_count FROM a WHERE followers_count < 5000 OR followers_count = 5000 AND id > '0' ORDER BY followers_count DESC, id LIMIT 26",
     "account_search": f"WITH {ACCOUNT}, x AS (SELECT id, screen_name, CASE WHEN id = '12' THEN 0 WHEN starts_with(screen_name, '12') THEN 1 WHEN contains(lower(screen_name), '12') THEN 2 END AS priority FROM a) SELECT * FROM x WHERE priority IS NOT NULL ORDER BY priority, id LIMIT 5",

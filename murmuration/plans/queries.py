@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import behaviour, findings, graph, history, rules, upserts
-from ..sources import adapters
+from ..sources import adapters, signals
 from . import payload_queries, planning_queries, review_queries, signal_queries, summary_queries
 
 AS_OF = "2001-08-02 00:00:00"
@@ -108,15 +108,15 @@ def duplicate_replies(spark, d):
 
 def label_rules(spark, d):
     """The behavioural rules on posts, in long form."""
-    return rules.rules(adapters.post(spark, d), adapters.account(spark, d), "scam.example")
+    return rules.rules(signals.persona_accounts(spark, d), signals.persona_posts(spark, d))
 
 
 def topic_rules(spark, d):
-    """Topics by bio and followees; orders' priorities stand for five topics."""
+    """Topics by bio, posts and followees; orders' priorities stand for five topics."""
     key = F.col("label_key")
     named = F.when(key == "1-URGENT", "topic_anime").when(key == "2-HIGH", "topic_food").when(key == "3-MEDIUM", "topic_music").when(key == "5-LOW", "topic_pets").otherwise("topic_travel")
-    signals = graph.follow_signals(adapters.follow(spark, d), adapters.label_history(spark, d)).withColumn("label_key", named)
-    return rules.topic_rules(adapters.account(spark, d), signals)
+    followed = graph.follow_signals(adapters.follow(spark, d), adapters.label_history(spark, d)).withColumn("label_key", named)
+    return rules.topic_rules(signals.topic_accounts(spark, d), followed, signals.topic_posts(spark, d))
 
 
 def as_of_drops(spark, d):
@@ -238,11 +238,8 @@ def retained_labels(spark, d):
 
 
 def templated_targets(spark, d):
-    """By account: the reply text sent to most targets within 24 hours, and the rule on it."""
-    replies = adapters.post(spark, d).where("is_reply AND in_reply_to IS NOT NULL").select("id", "account_id", "at_us", text.normalize_reply(F.col("text")).alias("text"), F.col("in_reply_to").alias("target")).where("text <> ''")
-    best = upserts.best_windows(replies, behaviour.DAY_US)
-    value = F.col("targets") >= 5
-    return best.select("account_id", "text", "targets", "replies", "span_us", value.alias("value"), F.round(scores.confidence(value, scores.ramp(F.col("targets"), 5, 5), F.lit(True)), 6).alias("confidence"))
+    """The rule on replies of one text to many targets within 24 hours, alone."""
+    return label_rules(spark, d).where("label_key = 'cross_target_templated_reply'").select("account_id", "value", "reason")
 
 
 QUERIES = {f.__name__: f for f in (

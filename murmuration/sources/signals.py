@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .adapters import table
@@ -185,3 +185,65 @@ def raw_posts(spark: SparkSession, d: str) -> DataFrame:
     user = F.struct(u.alias("restId"), F.struct(F.lit("x").alias("screenName")).alias("legacy"))
     raw = F.to_json(F.struct(n.cast("string").alias("restId"), F.when(n % 47 != 0, legacy).alias("legacy"), user.alias("user")))
     return table(spark, d, "events").select(F.when(n % 53 == 0, F.left(raw, F.lit(60))).otherwise(raw).alias("value"))
+
+
+PERSONAS = 15
+
+
+def persona_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """id, screen_name, tweet_count, age_days, fetched: those of two personas post very much."""
+    n = F.col("c_custkey")
+    age = 30 + n % 10
+    return table(spark, d, "customer").select(n.cast("string").alias("id"), F.concat(F.lit("user"), n.cast("string")).alias("screen_name"), (age * F.when(n % PERSONAS < 2, 190 + n % 7 * 30).otherwise(10)).cast("long").alias("tweet_count"), age.cast("double").alias("age_days"), (n % 11 != 0).alias("fetched"))
+
+
+def persona_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as posts of fifteen kinds of accounts, by the account's number and the post's place k in it; each kind is what one rule or another is about, or just isn't."""
+    u, e = F.col("user_id"), F.col("event_id")
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id").withColumns({"k": F.row_number().over(order) - 1, "earlier": F.lag("event_id").over(order).cast("string"), "p": u % PERSONAS})
+    k, p = F.col("k"), F.col("p")
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    two = ("A story that I tell again and again", "Another story that I tell to everyone")
+    texts = (
+        put("post number ", k, " about the daily walk"), put("Thanks for sharing, reply number ", k), F.when(k % 4 < 2, two[0]).otherwise(two[1]), F.when(k % 4 < 2, two[0]).otherwise(two[1]), F.lit("@friend Congratulations to everyone here 🎉 follow for more"),
+        put("A fixed greeting to all of my friends ", u), F.when(k % 5 != 0, put("https://t.co/a", k, "\nhttps://t.co/b　@x")).otherwise("with a few words https://t.co/c"), F.when(k % 3 != 0, put("@user7 free airdrop, claim  now ", k)).otherwise("nice picture of the sea"),
+        F.when(k % 2 == 0, "今日はとても良い天気です").when(k % 4 == 1, put("RT @user", u, ":  @x great work everyone")).otherwise("@x great work everyone"), F.when(k % 6 == 0, "see these #PR").otherwise("see these #PRx"), F.lit("new deal"), F.lit("what a deal"), put("look ", k),
+        F.when(k % 3 == 0, "【PR】新しい商品").when(k % 3 == 1, "#PR 応募しました").otherwise("(PR) only in English"), put("clip ", k),
+    )
+    text = F.lit(None).cast("string")
+    for i, t in enumerate(texts):
+        text = F.when(p == i, t).otherwise(text)
+    links = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    decoys = ("https://amazon.com/dp/1#x?tag=a", "https://amazon.com/dp/1?tag=%20", "https://amazon.com/dp/1?tag=&tag=b", "ftp://amazon.com/?tag=a", "https://notamazon.com/?tag=a", "https://amazon.com/?mytag=a", "https://amazon.com/?TAG=a", "https://video.twimg.one.example/", "not a link")
+    urls = F.when(p == 6, F.when(k % 5 != 0, links("https://x.example/a")).otherwise(links())).when(p == 9, links("https://a.example/x", "https://WWW.amazon.co.jp:443/dp/1?x=1&tag=%20shop+22#x")).when(p == 10, links("HTTPS://me@AMZN.TO/abc")).when(p == 11, links(*decoys))
+    urls = urls.when((p == 12) & (k % 2 == 0), links("https://ok.example/", "http://Sub.1link.jp:8080/x")).otherwise(links().cast("array<string>"))
+    reply = p.isin(1, 4, 5, 7) | (p.isin(2, 3) & (k % 2 == 1)) | ((p == 8) & (k % 4 == 3))
+    target = F.when(p == 1, put("t", k)).when(p == 2, "t").when(p == 3, F.col("earlier")).when(p == 4, F.when(k % 5 == 4, F.col("earlier")).otherwise(put("t", u, "-", k))).when(p == 5, put("t", k)).when(p == 7, F.when(k % 4 != 1, "t")).when(p == 8, "x")
+    minutes = F.when(p == 0, 10).when(p == 1, 15).when(p == 4, 30).when(p == 5, 600).otherwise(120)
+    second = 1_000_000
+    return rows.select(
+        e.cast("string").alias("id"), u.cast("string").alias("account_id"), (F.lit(1_704_067_200 * second) + (k * minutes * 60 + k % 2 * u % 4 * 60) * second).alias("at_us"), text.alias("text"), reply.alias("is_reply"), ((p == 8) & (k % 4 == 1) | (p == 12) & (k % 4 == 0) | (p == 14) & (k % 9 == 0)).alias("is_retweet"),
+        ((p == 9) & (k % 3 == 0)).alias("is_promoted"), ((p == 13) & (u % 2 == 0) | (p == 9) & (u % 2 == 0)).alias("is_paid"), F.when(reply, target).alias("in_reply_to"), urls.alias("urls"), F.when(p == 14, F.when(k % 6 == 0, k % 4 + 1).otherwise(0)).alias("foreign_videos"),
+        F.when(p == 14, k % 10 == 0).alias("ai_media"), F.when((p == 14) & (u % 3 > 0), F.when(k % 20 == 0, "UserDeclared").otherwise("Novel")).alias("ai_source"), F.when(p == 1, F.when(k % 4 != 0, "全然違う話題の投稿ですよ").otherwise(put("thanks for sharing, reply number ", k))).when(p == 7, put("claim now your picture of the sea ", k)).alias("parent_text"),
+    )
+
+
+TOPIC_BIOS = (
+    "アニメanimeが好き", "コスメとスキンケア", "リメイク作品の紹介", "long term investing notes", "investigation desk", "株式会社の広報", "資産運用を学ぶ", "workout at dawn", "foodie and chef", "ラーメンズのファン", "ラーメン食べ歩き", "gamer", "k-pop idol", "イラスト描きます pixiv",
+    "film / music / books", "cinema lover", "singer in a band", "子育て中", "保護猫と暮らす", "Jリーグ観戦", "eスポーツ", "backpacker", "VRC住民", "hololive にじさんじ", "just a person", None,
+    "civil engineer", "software engineer", "mechanical-engineer", "仮想通貨お断り", "bitcoin and nft", "no nft please, bitcoin fan", "not crypto", "cryptography notes", "映画/ドラマ/本", "/movies/ films", "R-18 NG 絵です", "成人向け作品を描く", "R-183", "アダルトチルドレン", "NSFW creators DNI", "18禁は❌",
+    "元 衆議院議員です", "衆議院議員です。", "市議会議員を目指しています、国会議員です", "自民党 所属", "state senator", "former state senator", "生成AIで描いたイラストは全て自作", "生成AI不使用", "生成AI、音楽、旅", "AI generated by AI images", "created with AI portraits", "大学教授、生成AIについて", "生成AI反対", "嫌いなもの: 朝、雨、AI生成の絵を見ること",
+    "生成AIアカウントはブロックします", "生成AI情報収集と日々の記録", "AI-generated art every day", "ぶいちゃん", "フルスタック full stack 開発者",
+)
+
+
+def topic_accounts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), pick(TOPIC_BIOS, F.col("c_custkey")).alias("bio"))
+
+
+def topic_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Posts of which some name a topic or say what made them: id, account_id, at_us, is_retweet, text."""
+    n, u = F.col("event_id"), F.col("user_id")
+    text = F.when((u % 4 == 0) & (n % 3 == 0), "今夜VRChatで").when((u % 3 == 0) & (n % 5 == 0), "As an AI language model I can't").otherwise("hello vrc2 ぶいちゃん")
+    return _event(spark, d).select("id", "account_id", "at_us", (n % 2 == 0).alias("is_retweet"), text.alias("text"))
