@@ -243,15 +243,32 @@ def test_classifier_tells_labels_apart(spark, name, module):
     module.score(docs, module.train(docs, y.where("false"))).count()
 
 
+TOLD = {
+    "Y.I": "Y.J", "I.Y": "J.Y", "Y.....I": "Y.....I", "I....Y": "I....Y", "N.I": "N.i", "N....I": "N....I", "R..I": "R..r", "R.Y..I": "R.Y..r", "..I": "..I", "NYI": "NYi", "HY": "JY", "H": "H", "I": "I", "": "", "IIY": "J,Y", "RNI": "RNi", "INI": "INi",
+}
+
+
+def test_composed_transducers():
+    for symbols, told in TOLD.items():
+        weight, out = toxicity.best_path(symbols, [2.0 * (c in "IH") for c in symbols])
+        assert out == told, symbols
+        assert weight == sum(toxicity.FACTORS[o] * 2 for o in out if o in toxicity.ASSERTED)
+
+
 def test_toxic_clauses_count_not_words():
-    g = toxicity.Grammar({"fool": 3.0}, {})
-    assert toxicity.rewrite("Y.I") == "Y.J"
-    assert toxicity.rewrite("N.I") == "N.i"
-    assert toxicity.rewrite("R..I") == "R..r"
-    assert toxicity.rewrite("..I") == "..I"
-    aimed, bare, reported, negated = (g.features(t) for t in ("you are a fool", "there is a fool", "said the old fool", "that is no fool"))
-    assert all(a > b > c > d > 0 for a, b, c, d in zip(aimed, bare, reported, negated))
-    assert g.features("") == [0.0] * len(toxicity.FEATURES)
+    g = toxicity.Grammar({"fool": 3.0}, np.ones(len(toxicity.FEATURES)), -3.0)
+    texts = ("you are a fool", "there is a fool", "he said you are a fool", "that is not a fool", "")
+    aimed, bare, reported, denied, empty = g.score(np.array([g.features(t) for t in texts]))
+    assert 1 > aimed > bare > 0.5 > reported > denied > empty
+    many = g.score(np.array([g.features(" ".join(["that is no fool."] * k)) for k in (1, 10, 1000)]))
+    assert list(many) == sorted(many) and many[-1] < 0.5
+    assert g.features("") == [0.0] * (len(toxicity.FEATURES) + 1)
+
+
+def test_heavier_texts_never_reach_one():
+    g = toxicity.Grammar({"fool": 9.0}, np.full(len(toxicity.FEATURES), 20.0), 5.0)
+    low, high = g.score(np.array([g.features("a fool"), g.features("you fool. you fool.")]))
+    assert low < high < 1
 
 
 def test_empty_tables_have_the_schema(spark):
