@@ -27,6 +27,9 @@ class Rule(NamedTuple):
     cooldown_ms: int | None = 3_600_000
     critical_immediate: bool = False
     enabled: bool = True
+    baseline_window: str = "previous_cycle"
+    activation_threshold: float | None = None
+    resolution_threshold: float | None = None
 
 
 def daily(snapshots: DataFrame) -> DataFrame:
@@ -103,7 +106,11 @@ def comparisons(snapshots: DataFrame, reasons: DataFrame, baseline: str = "previ
     first ones with nothing. The reasons of both snapshots are lined up by key, the absent ones as 0.
     """
     rows = as_of(snapshots.select("label_key", "at", "id", "evaluated", "true_count"), snapshots.select("label_key", "at", "id", "evaluated", "true_count"), ["label_key"], order=("id",), strict=True)
-    rows = rows.where("found IS NOT NULL") if baseline == "previous" else rows
+    return _compared(rows.where("found IS NOT NULL") if baseline == "previous" else rows, reasons)
+
+
+def _compared(rows: DataFrame, reasons: DataFrame) -> DataFrame:
+    """The comparisons of snapshots with the ones in their struct `found`, or with nothing where it is null."""
     zero = lambda c: F.coalesce(c, F.lit(0))
     drops = rows.select("id", "label_key", "at", F.lit("label_count_drop").alias("type"), F.lit(None).cast("string").alias("reason"), zero(F.col("found.true_count")).alias("was"), F.col("true_count").alias("now"), zero(F.col("found.evaluated")).alias("was_evaluated"), "evaluated")
     pairs = rows.select("id", "label_key", "at", F.col("found.id").alias("before"))
@@ -166,3 +173,77 @@ def replayed(compared: DataFrame, candidate: Rule, baseline: Rule) -> DataFrame:
     rows = sides[0].join(sides[1], ["fingerprint", "opened_at"], "full_outer")
     same = (F.col("new_kind") == F.col("old_kind")) & F.col("new_resolved_at").eqNullSafe(F.col("old_resolved_at"))
     return rows.withColumn("diff", F.when(F.col("old_kind").isNull(), "new").when(F.col("new_kind").isNull(), "gone").when(same, "same").otherwise("changed"))
+
+
+WINDOWS = {"previous_cycle": 0, "seven_day": 7 * DAY_MS}
+KEPT = ("at", "missing", "drop", "now", "was")
+
+
+def observations(snapshots: DataFrame, reasons: DataFrame, rule: Rule) -> DataFrame:
+    """fingerprint, label_key, at, missing, drop, now, was: what a rule sees of each complete snapshot, against the newest complete one of a crawl before it (or more than seven days before).
+
+    Snapshots: id, label_key, at (ms), evaluated, true_count, completeness, crawled. Without a baseline, counts are compared with 0. A reason is seen where its baseline has rows enough.
+    """
+    back = WINDOWS[rule.baseline_window]
+    complete = snapshots.where("completeness = 'complete'")
+    pool = complete.where("crawled").select("label_key", "at", "id", "evaluated", "true_count")
+    probes = complete.select("label_key", (F.col("at") - back).alias("at"), "id", "evaluated", "true_count")
+    rows = as_of(probes, pool, ["label_key"], order=("id",), strict=True).withColumn("at", F.col("at") + back)
+    seen = judged(_compared(rows, reasons).where(F.col("type") == rule.type), (rule,)).where("exceeded IS NOT NULL")
+    return seen.select(fingerprint(F.col("type"), F.col("label_key"), F.col("reason")).alias("fingerprint"), "label_key", "at", "missing", "drop", "now", "was")
+
+
+def _lived(s: Column, o: Column, rule: Rule) -> Column:
+    """The state after one observation, of findings that are kept: the threshold is another one while a finding is open, and each look at a resolved finding that leaves it so counts as its resolution."""
+    usual = lambda t: float(rule.relative_threshold if t is None else t)
+    bound = F.when(s["status"].isin(*OPEN), usual(rule.resolution_threshold)).otherwise(usual(rule.activation_threshold))
+    after = _after(s, F.struct(o["at"].alias("at"), o["missing"].alias("missing"), (~o["missing"] & (o["drop"] >= bound)).alias("exceeded")), rule)
+    return after.withField("resolved_at", F.when(after["status"] == "resolved", o["at"]).otherwise(after["resolved_at"]))
+
+
+def occurrences(seen: DataFrame, rule: Rule) -> DataFrame:
+    """fingerprint, label_key, episode, at, transition, recurrences, severity, now, was, drop: every observation of a finding from its first opening on.
+
+    A finding that opens again soon goes on in its episode as recurring; later it begins the next episode. One fingerprint's observations are folded in order of time inside one row.
+    """
+    start = F.expr("named_struct('status', 'none', 'exceeds', 0L, 'normals', 0L, 'resolved_at', cast(null as bigint), 'opened', false)").cast(STATE)
+    series = seen.groupBy("fingerprint", "label_key").agg(F.array_sort(F.collect_list(F.struct(*KEPT))).alias("series"))
+    item = series.schema["series"].dataType.elementType.simpleString()
+    none = F.array().cast(f"array<struct<o:{item},state:{STATE}>>")
+
+    def stepped(acc: Column, o: Column) -> Column:
+        state = _lived(acc["now"], o, rule).cast(STATE)
+        return F.struct(state.alias("now"), F.concat(acc["out"], F.array(F.struct(o.alias("o"), state.alias("state")))).alias("out"))
+
+    folded = F.aggregate("series", F.struct(start.alias("now"), none.alias("out")), stepped, lambda acc: acc["out"])
+    rows = series.select("fingerprint", "label_key", F.explode(folded).alias("x")).select("fingerprint", "label_key", "x.o.*", "x.state.status", "x.state.opened")
+    so_far = Window.partitionBy("fingerprint").orderBy("at")
+    begins = F.col("opened") & (F.col("status") != "recurring")
+    rows = rows.withColumns({"episode": F.count_if(begins).over(so_far)}).where("episode > 0")
+    again = F.count_if(F.col("opened") & (F.col("status") == "recurring")).over(Window.partitionBy("fingerprint", "episode").orderBy("at"))
+    return rows.select("fingerprint", "label_key", "episode", "at", F.col("status").alias("transition"), again.alias("recurrences"), F.lit(rule.severity).alias("severity"), "now", "was", "drop")
+
+
+def kept_findings(occurred: DataFrame) -> DataFrame:
+    """fingerprint, label_key, episode, status, severity, first_detected, last_detected, resolved_at, recurrences, superseded: one row for each episode, as of its last observation."""
+    by = occurred.groupBy("fingerprint", "label_key", "episode").agg(
+        F.max_by("transition", "at").alias("t"), F.max_by("severity", "at").alias("severity"), F.min("at").alias("first_detected"), F.max("at").alias("last_detected"), F.max("recurrences").alias("recurrences")
+    )
+    last = F.max("episode").over(Window.partitionBy("fingerprint"))
+    # An episode that has just begun is stored as active.
+    return by.select(
+        "fingerprint", "label_key", "episode", F.when(F.col("t") == "new_episode", "active").otherwise(F.col("t")).alias("status"), "severity", "first_detected", "last_detected", F.when(F.col("t") == "resolved", F.col("last_detected")).alias("resolved_at"), "recurrences",
+        (F.col("episode") < last).alias("superseded"),
+    )
+
+
+def generated(snapshots: DataFrame, reasons: DataFrame, policy: tuple[Rule, ...]) -> DataFrame:
+    """The occurrences that all enabled rules of a policy give over all snapshots."""
+    out = None
+    for rule in policy:
+        if rule.enabled:
+            own = occurrences(observations(snapshots, reasons, rule), rule)
+            out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("the policy has no enabled rule")
+    return out

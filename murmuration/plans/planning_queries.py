@@ -51,6 +51,26 @@ def replayed_episodes(spark, d):
     return findings.replayed(compared, NEW[0], OLD[0])
 
 
+POLICY = (
+    Rule("label_count_drop", "high", 0.3, 5, resolution=1, recurrence_ms=90 * findings.DAY_MS, resolution_threshold=0.1),
+    Rule("reason_distribution_shift", "medium", 0.4, 3, activation=1, resolution=2, recurrence_ms=120 * findings.DAY_MS, cooldown_ms=40 * findings.DAY_MS, baseline_window="seven_day", activation_threshold=0.5),
+)
+
+
+def _generated(spark, d):
+    day = F.floor(F.col("at") / findings.DAY_MS)
+    rows = signals.month_snapshots(spark, d).withColumns({"completeness": F.when(day % 7 == 0, "partial").otherwise("complete"), "crawled": day % 5 != 0})
+    return findings.generated(rows, signals.month_reasons(spark, d), POLICY)
+
+
+def finding_occurrences(spark, d):
+    return _generated(spark, d).withColumn("drop", F.round("drop", 6))
+
+
+def finding_episodes(spark, d):
+    return findings.kept_findings(_generated(spark, d))
+
+
 SEED, BUDGET = "week-31", 60
 
 
@@ -75,7 +95,7 @@ def attention_items(spark, d):
     return planning.attention(signals.issues(spark, d), signals.review_findings(spark, d), signals.occurrences(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (finding_lifecycle, immediate_lifecycle, backtest, shadow_evaluation, replayed_episodes, review_plan, attention_items)}
+QUERIES = {f.__name__: f for f in (finding_lifecycle, immediate_lifecycle, backtest, shadow_evaluation, replayed_episodes, finding_occurrences, finding_episodes, review_plan, attention_items)}
 
 # One observation after the other, numbered by time; {act}, {res}, {cool} and {again} are a rule's.
 _FOLD = """f{s} AS (SELECT k, 0::BIGINT AS n, NULL::BIGINT AS at_ms, 'none' AS status, 0::BIGINT AS e, 0::BIGINT AS m, NULL::BIGINT AS r, false AS opened FROM (SELECT DISTINCT k FROM o{s})
@@ -99,6 +119,26 @@ def _episodes(s: str, least: int, most: float, act: int, res: int) -> str:
  {_FOLD.format(s=s, act=act, res=res, cool=3_600_000, again=30 * _DAY)}, e{s} AS (SELECT *, count(*) FILTER (opened) OVER (PARTITION BY k ORDER BY n) AS no FROM f{s}), z{s} AS (SELECT k, min(at_ms) AS opened_at, arg_min(status, n) AS kind, max(r) AS resolved_at FROM e{s} WHERE no > 0 GROUP BY k, no)"""
 
 
+def _lived(s: str, act: int, res: int, cool: int, again: int, above: float, under: float) -> str:
+    """Observations o{s} (k, n, at_ms, missing, drop, ...) one after the other; the bound is lower or higher while a finding is open."""
+    fold = _FOLD.format(s=s, act=act, res=res, cool=cool, again=again)
+    fold = fold.replace("o.missing, o.exceeded, p.status", f"o.missing, NOT o.missing AND o.drop >= CASE WHEN p.status IN ('active', 'recurring', 'new_episode') THEN {under}::DOUBLE ELSE {above}::DOUBLE END AS exceeded, p.status")
+    fold = fold.replace("p.status IN ('none', 'resolved') AND o.exceeded AND", f"p.status IN ('none', 'resolved') AND NOT o.missing AND o.drop >= {above}::DOUBLE AND")
+    # A look that leaves a finding resolved is its resolution.
+    return fold.replace("CASE WHEN missing THEN r WHEN opens THEN NULL", "CASE WHEN missing THEN (CASE WHEN status = 'resolved' THEN at_ms ELSE r END) WHEN opens THEN NULL WHEN status = 'resolved' THEN at_ms")
+
+
+_GENERATED = f"""{{snapshots}}, m AS (SELECT *, CASE WHEN at_ms // {_DAY} % 7 = 0 THEN 'partial' ELSE 'complete' END AS completeness, at_ms // {_DAY} % 5 <> 0 AS crawled FROM s),
+ c AS (SELECT *, at_ms - {7 * _DAY} AS early FROM m WHERE completeness = 'complete'), b AS (SELECT * FROM c WHERE crawled),
+ p1 AS (SELECT c.*, b.id AS bid, coalesce(b.true_count, 0) AS was, coalesce(b.evaluated, 0) AS was_e FROM c ASOF LEFT JOIN b ON c.label_key = b.label_key AND c.at_ms > b.at_ms),
+ p2 AS (SELECT c.id, c.label_key, c.at_ms, b.id AS bid FROM c ASOF LEFT JOIN b ON c.label_key = b.label_key AND c.early > b.at_ms),
+ o1 AS (SELECT 'label_count_drop+label:' || label_key AS k, label_key, row_number() OVER (PARTITION BY label_key ORDER BY at_ms) AS n, at_ms, evaluated < 5 OR was_e < 5 AS missing, CASE WHEN was = 0 THEN 0 ELSE (was - true_count) / was END AS drop, true_count AS now, was FROM p1),
+ w AS (SELECT p2.label_key, p2.at_ms, d.reason, d.n AS was, coalesce(x.n, 0) AS now FROM p2 JOIN d ON d.id = p2.bid LEFT JOIN d x ON x.id = p2.id AND x.reason = d.reason WHERE d.n >= 3),
+ o2 AS (SELECT 'reason_distribution_shift+label:' || label_key || '+reason:' || reason AS k, label_key, row_number() OVER (PARTITION BY label_key, reason ORDER BY at_ms) AS n, at_ms, false AS missing, (was - now) / was AS drop, now, was FROM w),
+ {{f1}}, {{f2}}, g AS (SELECT o.k, label_key, o.n, o.at_ms, now, was, drop, status, opened, 'high' AS severity FROM f1 f JOIN o1 o ON o.k = f.k AND o.n = f.n UNION ALL SELECT o.k, label_key, o.n, o.at_ms, now, was, drop, status, opened, 'medium' FROM f2 f JOIN o2 o ON o.k = f.k AND o.n = f.n),
+ h AS (SELECT *, count(*) FILTER (opened AND status <> 'recurring') OVER (PARTITION BY k ORDER BY n) AS episode FROM g), i AS (SELECT *, count(*) FILTER (opened AND status = 'recurring') OVER (PARTITION BY k, episode ORDER BY n) AS recurrences FROM h WHERE episode > 0)"""
+
+
 def sql(count_drops: str) -> dict[str, str]:
     """The queries in SQL; `count_drops` is that of the monthly drops."""
     drops = f"o AS (SELECT label_key AS k, row_number() OVER (PARTITION BY label_key ORDER BY month) AS n, CAST(epoch_ms(CAST(month || '-01' AS TIMESTAMP)) AS BIGINT) AS at_ms, missing, exceeded FROM ({count_drops}))"
@@ -107,7 +147,11 @@ def sql(count_drops: str) -> dict[str, str]:
     new = f"(evaluated >= 5 AND was_e >= 5 AND {_DROP.format(now='true_count')} >= 0.2::DOUBLE)"
     old = f"(evaluated >= 10 AND was_e >= 10 AND {_DROP.format(now='true_count')} >= 0.4::DOUBLE)"
     rank = "sha256('week-31' || chr(0) || {0})"
+    lived = "WITH RECURSIVE " + _GENERATED.format(snapshots=_SNAPSHOTS, f1=_lived("1", 2, 1, 3_600_000, 90 * _DAY, 0.3, 0.1), f2=_lived("2", 1, 2, 40 * _DAY, 120 * _DAY, 0.5, 0.4))
     return {
+        "finding_occurrences": f"{lived} SELECT k AS fingerprint, label_key, episode, at_ms AS at, status AS transition, recurrences, severity, now, was, round(drop, 6) AS drop FROM i",
+        "finding_episodes": f"""{lived}, e AS (SELECT k AS fingerprint, label_key, episode, arg_max(status, n) AS t, any_value(severity) AS severity, min(at_ms) AS first_detected, max(at_ms) AS last_detected, max(recurrences) AS recurrences FROM i GROUP BY ALL)
+ SELECT fingerprint, label_key, episode, CASE WHEN t = 'new_episode' THEN 'active' ELSE t END AS status, severity, first_detected, last_detected, CASE WHEN t = 'resolved' THEN last_detected END AS resolved_at, recurrences, episode < max(episode) OVER (PARTITION BY fingerprint) AS superseded FROM e""",
         "finding_lifecycle": f"WITH RECURSIVE {drops}, {_FOLD.format(s='', act=2, res=2, cool=30 * _DAY, again=180 * _DAY)} {states}",
         "immediate_lifecycle": f"WITH RECURSIVE {drops}, {_FOLD.format(s='', act=1, res=1, cool=0, again=60 * _DAY)} {states}",
         "backtest": f"""WITH {_SNAPSHOTS}, {_PAIRS.format(where=f"WHERE at_ms BETWEEN {BEGIN} AND {END}")}, {_REASONS.format(first="WHERE p.b IS NOT NULL")}

@@ -228,3 +228,54 @@ def test_attention_list(spark):
     assert (rows[0]["summary"], rows[1]["summary"], rows[2]["affected"]) == ("crawler: stalled", "drop (label:y)", 1)
     assert [r["source_id"] for r in planning.attention(*frames, most=4).collect()] == ["i2", "f2", "f1", "f3"]
     assert planning.attention(*[f.limit(0) for f in frames]).count() == 0
+
+
+def plain_kept(series, rule):
+    """(episode, transition) after each observation (at, missing, drop), once a finding is there: thresholds by whether it is open, and a resolution that each further look renews."""
+    status, exceeds, normals, resolved, episode, out = "none", 0, 0, None, 0, []
+    for at, missing, drop in series:
+        is_open = status in ("active", "recurring")
+        bound = (rule.resolution_threshold if is_open else rule.activation_threshold) or rule.relative_threshold
+        (told, exceeds, normals, resolved), = [plain_step((status, exceeds, normals, resolved), at, missing, drop >= bound, rule)]
+        if told in ("active", "new_episode") and not is_open:
+            episode += 1
+        if told == "resolved":
+            resolved = at
+        status = "active" if told == "new_episode" else told
+        if episode:
+            out.append((episode, told))
+    return out
+
+
+def plain_step(state, at, missing, exceeded, rule):
+    status, exceeds, normals, resolved = state
+    if missing:
+        return state
+    if status in ("active", "recurring"):
+        normals = 0 if exceeded else normals + 1
+        return ("resolved", 0, normals, at) if normals >= rule.resolution else (status, exceeds, normals, resolved)
+    if not exceeded:
+        return status, 0, normals, resolved
+    age = None if resolved is None else at - resolved
+    if exceeds + 1 < rule.activation or (age is not None and rule.cooldown_ms is not None and age < rule.cooldown_ms):
+        return status, exceeds + 1, 0, resolved
+    return ("active" if status == "none" else "recurring" if age <= rule.recurrence_ms else "new_episode"), exceeds + 1, 0, None
+
+
+def test_findings_that_are_kept(spark):
+    rule = Rule("x", "high", 0.5, 0, 2, 2, 3 * H, H, activation_threshold=0.6, resolution_threshold=0.2)
+    rng = random.Random(12)
+    series = {f: [(i * H + (i > 40) * 9 * H * (i - 40), rng.random() < 0.1, rng.choice([0.0, 0.1, 0.3, 0.55, 0.7, 0.9])) for i in range(70)] for f in ("a", "b", "c")}
+    rows = [(f, "l", at, missing, drop, 1, 2) for f, own in series.items() for at, missing, drop in own]
+    seen = spark.createDataFrame(rows, "fingerprint string, label_key string, at long, missing boolean, drop double, now long, was long")
+    occurred = findings.occurrences(seen, rule).orderBy("fingerprint", "at").cache()
+    want = {f: plain_kept(own, rule) for f, own in series.items()}
+    got = {}
+    for r in occurred.collect():
+        got.setdefault(r["fingerprint"], []).append((r["episode"], "resolved" if r["transition"] == "resolved" else r["transition"]))
+    # An opening is told once; while it goes on, a new episode is active.
+    tidy = lambda own: [(e, "active" if t == "new_episode" else t) for e, t in own]
+    assert {f: tidy(own) for f, own in got.items()} == {f: tidy(own) for f, own in want.items()}
+    assert max(e for own in want.values() for e, _ in own) > 1 and any(t == "recurring" for own in want.values() for _, t in own)
+    ends = {(r["fingerprint"], r["episode"]): r for r in findings.kept_findings(occurred).collect()}
+    assert all(r["superseded"] == ((f, e + 1) in ends) and (r["resolved_at"] is None) == (r["status"] != "resolved") for (f, e), r in ends.items())
