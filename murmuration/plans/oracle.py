@@ -1,6 +1,6 @@
 """The queries in DuckDB SQL, over the driver's views."""
 
-from . import payload_queries, planning_queries, review_queries, rule_sql, signal_queries, summary_queries
+from . import payload_queries, planning_queries, review_queries, rule_sql, signal_queries, summary_queries, view_queries
 
 HISTORY = """h AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS account_id, o_orderpriority AS label_key, o_orderstatus = 'F' AS value,
  CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) % 1001 AS confidence_milli, 'reason-' || CAST(o_orderkey % 7 AS VARCHAR) AS reason,
@@ -85,3 +85,4 @@ ORACLE_SQL |= review_queries.sql(HISTORY, LAGGED, ACCOUNT, FOLLOW, ORACLE_SQL["c
 ORACLE_SQL |= signal_queries.ORACLE_SQL | summary_queries.ORACLE_SQL
 ORACLE_SQL |= planning_queries.sql(ORACLE_SQL["count_drops"])
 ORACLE_SQL |= payload_queries.ORACLE_SQL
+ORACLE_SQL |= view_queries.ORACLE_SQL

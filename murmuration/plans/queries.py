@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..operators import behaviour, findings, graph, history, rules, upserts
 from ..sources import adapters, signals
-from . import payload_queries, planning_queries, review_queries, signal_queries, summary_queries
+from . import payload_queries, planning_queries, review_queries, signal_queries, summary_queries, view_queries
 
 AS_OF = "2001-08-02 00:00:00"
 DAY = "yyyy-MM-dd HH:mm:ss"
@@ -248,4 +248,4 @@ QUERIES = {f.__name__: f for f in (
     duplicate_replies, retweet_rule, reply_posterior, profile_rules, bigram_similarity, url_hosts, account_page, account_search, calibration, severity_ranks,
     label_rules, topic_rules, as_of_drops, reason_shifts, daily_rollup, account_overview, shared_labels, edge_sync,
     guarded_latest, first_claims, retained_labels, templated_targets,
-)} | review_queries.QUERIES | signal_queries.QUERIES | summary_queries.QUERIES | planning_queries.QUERIES | payload_queries.QUERIES
+)} | review_queries.QUERIES | signal_queries.QUERIES | summary_queries.QUERIES | planning_queries.QUERIES | payload_queries.QUERIES | view_queries.QUERIES
