@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, spool, text_or_empty
+from .common import BROADCAST_ROWS, documents, small, spool, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of their names, repeating.
@@ -20,6 +20,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET, MOST_EPOCHS = 1.5, 2
 #: Key ranges of a source. Each holds an equal share of the source, as keys are uniform.
 RANGES = 1 << 12
+#: Keys that a source's rows are dealt over where sources are too many to broadcast.
+SALTS = 16
 
 
 def word_count(col: str = "text") -> Column:
@@ -80,7 +82,7 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 17, source_col:
         .where("before <= rest AND rest < before + tokens")
         .select("source", "range", "before", "rest")
     )
-    at = at.select(F.col("source").alias("s"), F.col("range").alias("r"), "before", "rest")
+    at = small(spool(at.select(F.col("source").alias("s"), F.col("range").alias("r"), "before", "rest"), "ranges-cut"))
     cut = (
         own.select(F.col("__source").alias("source"), F.col("__key").alias("key"), reach, "size")
         .join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
@@ -95,12 +97,21 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 17, source_col:
         F.when(F.col("cut_key").isNull(), 0).when(key < at_key, F.col("size")).when(key == at_key, F.floor(F.col("size") * F.col("part") / F.col("of"))).otherwise(0)
     )
     return (
-        own.join(decided, F.col("__source").eqNullSafe(F.col("__s")), "left")
+        _with_source(own, spool(decided, "decided"))
         .withColumn("taken", (F.col("epochs") * F.col("size") + once_more).cast("long"))
         .select(*[c for c in docs.columns if c not in ends], *ends)
     )
 
 
+def _with_source(own: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows with what is decided for their source, one row for each: broadcast where the sources are few enough, else joined with each source's rows dealt over several keys."""
+    same = F.col("__source").eqNullSafe(F.col("__s"))
+    if decided.count() <= BROADCAST_ROWS:
+        return own.join(F.broadcast(decided), same, "left")
+    salted = decided.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.withColumn("__salted", F.pmod("__key", F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__salted") == F.col("__salt")), "left")
+
+
 def _ordered(col: str) -> Column:
     """Signed keys in the order of their unsigned ranges."""
     return F.col(col).bitwiseXOR(F.lit(-(1 << 63)))

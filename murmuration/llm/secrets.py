@@ -25,7 +25,8 @@ KINDS = ("assign", "access", "hex", "bare")
 #: Repositories or owners from which on a candidate is a copied example.
 EXAMPLE_OWNERS = 3
 
-SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: A candidate by its place; of its value only the sha256 goes on, so that no written table lists the secrets.
+SPAN = "array<struct<start:int,kind:int,end:int,value_hash:string>>"
 
 
 def _spans(text: str, pattern: str, kind: int, guard: str | None = None, group: int = 0, least: int = 0) -> Column:
@@ -48,7 +49,7 @@ def _spans(text: str, pattern: str, kind: int, guard: str | None = None, group:
                             (done["at"] + F.length(p["gap"])).alias("start"),
                             F.lit(kind).alias("kind"),
                             (done["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("end"),
-                            p["value"].alias("value"),
+                            F.sha2(p["value"], 256).alias("value_hash"),
                         )
                     ),
                 ),
@@ -60,15 +61,15 @@ def _spans(text: str, pattern: str, kind: int, guard: str | None = None, group:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source") -> DataFrame:
-    """doc_id, repo, row (a hash of id and text, for joins), content (of the text, lower case), base and bare spans: one row for each row of `docs`."""
+    """doc_id, repo, row (sha256 of id, repository and text, for joins), content (of the text in lower case, to count owners by), base and bare spans: one row for each row of `docs`."""
     own = docs.select(
         F.col(id_col).alias("doc_id"), (F.col(repo_col) if repo_col in docs.columns else F.lit(None)).cast("string").alias("repo"), text_or_empty(text_col).alias("text")
     )
     return own.select(
         "doc_id",
         "repo",
-        F.xxhash64("doc_id", "repo", "text").alias("row"),
-        F.xxhash64(F.lower("text")).alias("content"),
+        F.sha2(F.concat(F.to_json(F.struct("doc_id", "repo")), F.sha2("text", 256)), 256).alias("row"),
+        F.sha2(F.lower("text"), 256).alias("content"),
         _spans("text", ASSIGN, 0, r"(?i:passw|secret|token|api_?key)", 2, LEAST_ASSIGNED).alias("assign"),
         _spans("text", ACCESS, 1).alias("access"),
         _spans("text", HEX, 2).alias("hex"),
@@ -83,15 +84,15 @@ def ownership(found: DataFrame) -> DataFrame:
     within a source are one owner, a copy in another source is another.
     """
     values = found.select("content", "repo", F.explode(F.concat("base", "bare")).alias("span"))
-    each = values.groupBy(F.sha2("span.value", 256).alias("value_hash"), "repo", "content").agg(F.count("*").alias("n"))
+    each = values.groupBy(F.col("span.value_hash").alias("value_hash"), "repo", "content").agg(F.count("*").alias("n"))
     by_repo = each.groupBy("value_hash", "repo").agg(F.count("*").alias("owners"), F.sum("n").alias("n"))
     return by_repo.groupBy("value_hash").agg(F.count("*").alias("repositories"), F.sum("owners").alias("owners"), F.sum("n").alias("occurrences"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source") -> DataFrame:
-    """doc_id, repo and spans: array of (start, kind, end, value, owners, repositories, live); base and n_assign, n_access, n_hex besides.
+    """doc_id, repo and spans: array of (start, kind, end, value_hash, owners, repositories, live); base and n_assign, n_access, n_hex besides.
 
-    Offsets are in code points, the end is exclusive. A null or empty text has no spans. Rows with the
+    Offsets are in code points, the end is exclusive, and texts are scanned whole, however long; a value is told by its sha256 alone. A null or empty text has no spans. Rows with the
     same text have the same spans each and count as one owner in each repository. An empty table gives an
     empty result; columns but the three named are not looked at. Base spans always stay; a bare
     token is a span when it touches no base span and is live: under EXAMPLE_OWNERS owners and repositories.
@@ -99,16 +100,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     found = spool(candidates(docs, id_col, text_col, repo_col), "secrets")
     some = found.where("size(base) + size(bare) > 0")
     spans = some.select("row", "base", F.explode(F.concat("base", "bare")).alias("span")).dropDuplicates(["row", "span"])
-    rated = spans.withColumn("value_hash", F.sha2("span.value", 256)).join(ownership(some), "value_hash")
+    rated = spans.withColumn("value_hash", F.col("span.value_hash")).join(ownership(some), "value_hash")
     free = ~F.exists("base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"]))
     live = (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_OWNERS)
     kept = rated.where((F.col("span.kind") < 3) | (free & live)).groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("span.start", "span.kind", "span.end", "span.value", "owners", "repositories", live.alias("live")))).alias("spans")
+        F.sort_array(F.collect_list(F.struct("span.start", "span.kind", "span.end", "span.value_hash", "owners", "repositories", live.alias("live")))).alias("spans")
     )
     # one text's own candidates are all that a group holds
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     spanned = found.select("doc_id", "repo", "row", "base", *counts).join(kept, "row", "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,owners:bigint,repositories:bigint,live:boolean>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value_hash:string,owners:bigint,repositories:bigint,live:boolean>>")
     return spanned.select("doc_id", "repo", "base", *[f"n_{k}" for k in KINDS[:3]], F.coalesce("spans", none).alias("spans"))
 
 
