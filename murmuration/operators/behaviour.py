@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import confidence, posterior_at_least, ramp
@@ -32,11 +32,32 @@ def gaps(tweets: DataFrame) -> DataFrame:
 
 
 def sliding_targets(tweets: DataFrame, window_us: int = DAY_US) -> DataFrame:
-    """By account: of all windows of 24 h that start at a reply, most distinct targets; then most replies, then the shortest span."""
-    replies = tweets.where(F.col("is_reply") & F.col("in_reply_to").isNotNull())
-    ahead = Window.partitionBy("account_id").orderBy("at_us").rangeBetween(0, window_us)
-    rows = replies.select("account_id", F.size(F.collect_set("in_reply_to").over(ahead)).alias("targets"), F.count("*").over(ahead).alias("replies"), (F.max("at_us").over(ahead) - F.col("at_us")).alias("span_us"))
-    best = rows.groupBy("account_id").agg(F.max(F.struct("targets", "replies", (-F.col("span_us")).alias("s"))).alias("b"))
+    """By account: of all windows of 24 h that start at a reply, most distinct targets; then most replies, then the shortest span.
+
+    One sorted pass over an account's times. A reply is in the windows that start in the day up to it; it is the first of its target in
+    those that start behind the reply to that target before. Both are counted by running sums over the ends of these stretches, and the last reply of
+    a window is the last one met before the window's end, so a busy day costs no more than its rows.
+    """
+    replies = tweets.where(F.col("is_reply") & F.col("in_reply_to").isNotNull()).select("account_id", "id", F.col("in_reply_to").alias("target"), F.col("at_us").alias("at"))
+    before = F.lag("at").over(Window.partitionBy("account_id", "target").orderBy("at", "id"))
+    rows = replies.withColumn("before", before)
+    begins = F.col("at") - window_us
+    late = F.coalesce(F.col("before") >= begins, F.lit(False))
+
+    def step(t: Column, phase: int, targets: Column | int, replies: int, anchor: bool = False, seen: bool = False) -> Column:
+        told = {"t": t, "phase": F.lit(phase), "targets": targets if isinstance(targets, Column) else F.lit(targets), "replies": F.lit(replies), "anchor": F.col("id").cast("string") if anchor else F.lit(None).cast("string"), "seen": F.col("at") if seen else F.lit(None).cast("long")}
+        return F.struct(*[c.alias(k) for k, c in told.items()])
+
+    # At one time: stretches that begin there, then windows, then stretches that end there or begin behind it, then the ends of windows.
+    steps = [
+        step(begins, 0, F.when(late, 0).otherwise(1), 1), step(F.col("at"), 1, 0, 0, anchor=True, seen=True), step(F.col("at"), 2, -1, -1), step(F.col("at") + window_us, 3, 0, 0, anchor=True), F.when(late, step(F.col("before"), 2, 1, 0)),
+    ]
+    steps = F.explode(F.array_compact(F.array(*steps)))
+    so_far = Window.partitionBy("account_id").orderBy("t", "phase").rowsBetween(Window.unboundedPreceding, 0)
+    each = rows.select("account_id", "at", steps.alias("s")).select("account_id", "at", "s.*")
+    swept = each.select("account_id", "at", "phase", "anchor", F.sum("targets").over(so_far).alias("targets"), F.sum("replies").over(so_far).alias("replies"), F.last("seen", ignorenulls=True).over(so_far).alias("last")).where("anchor IS NOT NULL")
+    by = swept.groupBy("account_id", "anchor").agg(F.max(F.when(F.col("phase") == 1, F.col("targets"))).alias("targets"), F.max(F.when(F.col("phase") == 1, F.col("replies"))).alias("replies"), (F.max(F.when(F.col("phase") == 3, F.col("last"))) - F.max("at")).alias("span_us"))
+    best = by.groupBy("account_id").agg(F.max(F.struct("targets", "replies", (-F.col("span_us")).alias("s"))).alias("b"))
     return best.select("account_id", F.col("b.targets").cast("long").alias("targets"), "b.replies", (-F.col("b.s")).alias("span_us"))
 
 
