@@ -8,16 +8,38 @@ from pyspark.sql import functions as F
 from .history import latest
 
 
-def follow_signals(follow: DataFrame, history: DataFrame) -> DataFrame:
-    """By account and label: followees and followers with the label's verdict, and those of them with the label."""
-    known = latest(history).select(F.col("account_id").alias("other"), "label_key", "value")
+def follow_signals(follow: DataFrame, history: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """By account and label: followees and followers with the label's verdict, and those of them with the label.
 
-    def side(own: str, other: str, name: str) -> DataFrame:
-        edges = follow.select(F.col(own).alias("account_id"), F.col(other).alias("other"))
-        return edges.join(known, "other").groupBy("account_id", "label_key").agg(F.count("*").alias(f"{name}_total"), F.count_if("value").alias(f"{name}_labeled"))
+    `samples` (account_id, followee_id) are followees seen besides; an edge in both counts once. Both directions are one stream of edges that meets the latest labels
+    once, each account's labels in one row, and one aggregation; an account that very many follow is a skewed key that Spark splits by size at run time.
+    """
+    known = latest(history).groupBy(F.col("account_id").alias("other")).agg(F.collect_list(F.struct("label_key", "value")).alias("labels"))  # as many as there are labels
+    followees = follow.select(F.col("follower_id").alias("account_id"), F.col("followee_id").alias("other"))
+    if samples is not None:
+        seen = samples.select("account_id", F.col("followee_id").alias("other"))
+        followees = seen.unionByName(followees.join(seen, ["account_id", "other"], "left_anti"))
+    followers = follow.select(F.col("followee_id").alias("account_id"), F.col("follower_id").alias("other"))
+    edges = followees.withColumn("out", F.lit(True)).unionByName(followers.withColumn("out", F.lit(False)))
+    each = edges.join(known, "other").select("account_id", "out", F.explode("labels").alias("l"))
+    counts = {f"{name}_{what}": F.count_if(cond) for name, side in (("followee", F.col("out")), ("follower", ~F.col("out"))) for what, cond in (("total", side), ("labeled", side & F.col("l.value")))}
+    return each.groupBy("account_id", F.col("l.label_key").alias("label_key")).agg(*[c.alias(n) for n, c in counts.items()])
 
-    both = side("follower_id", "followee_id", "followee").join(side("followee_id", "follower_id", "follower"), ["account_id", "label_key"], "full_outer")
-    return both.fillna(0)
+
+def rule_candidates(newest: DataFrame, targets: DataFrame, blocker: str, follow: DataFrame, blocks: DataFrame, actions: DataFrame, outbox: DataFrame, now_s: int, most_skips: int, cooldown_s: int, limit: int) -> DataFrame:
+    """account_id, label_key, confidence_milli: whom a rule would block next, by confidence.
+
+    Of `newest` (latest labels) those that are true, of a target's current version and at its threshold (`targets`: label_key, rule_version, least_milli; one row each), the surest of each account. Left out are the blocker, accounts that it
+    blocks (blocker_id, blocked_id), has blocked with success (`actions`: result), follows or is followed by, and those in its `outbox` (status, skips, skipped_s) that are on their way, were skipped too often or not long ago.
+    """
+    rows = newest.where(F.col("value") & (F.col("account_id") != blocker)).join(F.broadcast(targets), ["label_key", "rule_version"]).where(F.col("confidence_milli") >= F.col("least_milli"))
+    best = rows.groupBy("account_id").agg(F.min_by(F.struct("label_key", "confidence_milli"), F.struct(-F.col("confidence_milli"), "label_key")).alias("b")).select("account_id", "b.*")
+    own = lambda df: df.where(F.col("blocker_id") == blocker)
+    waiting = F.col("status").isin("pending_remote", "remote_succeeded") | ((F.col("status") == "remote_skipped") & ((F.col("skips") >= most_skips) | (F.col("skipped_s") + cooldown_s > now_s)))
+    tied = follow.where(F.col("follower_id") == blocker).select(F.col("followee_id").alias("account_id")).union(follow.where(F.col("followee_id") == blocker).select("follower_id"))
+    done = own(blocks).select("blocked_id").union(own(actions).where("result = 'success'").select("blocked_id")).union(own(outbox).where(waiting).select("blocked_id")).toDF("account_id")
+    # All reasons to leave an account out are one set of ids, and one anti join.
+    return best.join(tied.union(done), "account_id", "left_anti").orderBy(F.desc("confidence_milli"), "account_id").limit(limit)
 
 
 def block_candidates(history: DataFrame, follow: DataFrame, blocks: DataFrame, blocker: str, version: str, least_milli: int, limit: int) -> DataFrame:

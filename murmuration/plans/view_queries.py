@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, views
+from ..operators import graph, history, views
 from ..sources import adapters, signals
 from . import summary_queries
 
@@ -78,7 +78,25 @@ def redacted_errors(spark, d):
     return adapters.table(spark, d, "pages").select("page_id", views.redacted(F.col("html"), 60).alias("shown"), views.search_document(F.col("url"), F.lit("Page")).alias("document"))
 
 
-QUERIES = {f.__name__: f for f in (label_list, label_heads, label_trends, label_histories, relation_lists, findings_page, summaries_page, finding_details, dashboard_kpis, top_labels, redacted_errors)}
+def sampled_follow_signals(spark, d):
+    """Follow signals where every fourth order line is a sampled followee, some of them not among the live edges."""
+    items = adapters.table(spark, d, "lineitem").where("l_orderkey % 4 = 0")
+    samples = items.select((F.col("l_suppkey") % 50).cast("string").alias("account_id"), F.col("l_partkey").cast("string").alias("followee_id")).distinct()
+    return graph.follow_signals(adapters.follow(spark, d), adapters.label_history(spark, d), samples)
+
+
+def rule_candidates(spark, d):
+    """Whom account 7 would block next by two labels, with blocks, actions and an outbox made of the block table."""
+    newest = history.latest(adapters.label_history(spark, d))
+    targets = spark.createDataFrame([("1-URGENT", "1.1.0", 200), ("2-HIGH", "1.2.0", 600)], "label_key string, rule_version string, least_milli long")
+    relations = adapters.block(spark, d)
+    n = F.col("blocked_id").cast("long")
+    actions = relations.withColumn("result", F.when(F.col("flag") == "R", "success").otherwise("failed"))
+    outbox = relations.select("blocker_id", "blocked_id", signals.pick(("pending_remote", "remote_skipped", "remote_failed", "remote_skipped", "remote_succeeded"), n).alias("status"), F.col("missing_before").alias("skips"), (n % 100).alias("skipped_s"))
+    return graph.rule_candidates(newest, targets, "7", adapters.follow(spark, d), relations.where((F.col("status") == "F") & (n % 3 == 0)), actions, outbox, 100, 2, 30, 60)
+
+
+QUERIES = {f.__name__: f for f in (label_list, label_heads, label_trends, label_histories, relation_lists, findings_page, summaries_page, finding_details, dashboard_kpis, top_labels, redacted_errors, sampled_follow_signals, rule_candidates)}
 
 _S = summary_queries._SNAPSHOTS
 _SHARE = "CASE WHEN evaluated = 0 THEN 0 ELSE true_count / evaluated END"
@@ -104,4 +122,14 @@ ORACLE_SQL = {
  (SELECT count(*) FROM (SELECT o_custkey FROM (SELECT o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) = 1) GROUP BY 1 HAVING bool_or(o_orderstatus = 'F'))) AS labeled_accounts""",
     "top_labels": f"WITH {_S} SELECT label_key, true_count FROM s WHERE completeness = 'complete' QUALIFY row_number() OVER (PARTITION BY label_key ORDER BY at_ms DESC, id DESC) = 1 ORDER BY true_count DESC, label_key LIMIT 3",
     "redacted_errors": "WITH x AS (SELECT page_id, url, string_split(html, chr(10))[1] AS l FROM pages) SELECT page_id, CASE WHEN length(l) > 60 THEN left(l, 60) || '…' ELSE l END AS shown, lower(url || ' Page') AS document FROM x",
+    "sampled_follow_signals": """WITH f AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT DISTINCT CAST(l_suppkey % 50 AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b FROM lineitem WHERE l_orderkey % 4 = 0),
+ l AS (SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS label_key, o_orderstatus = 'F' AS value FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) = 1),
+ x AS (SELECT e.a AS account_id, label_key, count(*) AS t, count(*) FILTER (value) AS v FROM (SELECT a, b FROM f UNION SELECT a, b FROM s) e JOIN l ON l.id = e.b GROUP BY ALL), y AS (SELECT f.b AS account_id, label_key, count(*) AS t, count(*) FILTER (value) AS v FROM f JOIN l ON l.id = f.a GROUP BY ALL)
+ SELECT account_id, label_key, coalesce(x.t, 0) AS followee_total, coalesce(x.v, 0) AS followee_labeled, coalesce(y.t, 0) AS follower_total, coalesce(y.v, 0) AS follower_labeled FROM x FULL JOIN y USING (account_id, label_key)""",
+    "rule_candidates": """WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS account_id, o_orderpriority AS label_key, o_orderstatus = 'F' AS value, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) % 1001 AS confidence_milli, '1.' || (o_orderkey % 3) || '.0' AS v FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) = 1),
+ b AS (SELECT account_id, label_key, confidence_milli FROM l WHERE value AND account_id <> '7' AND ((label_key = '1-URGENT' AND v = '1.1.0' AND confidence_milli >= 200) OR (label_key = '2-HIGH' AND v = '1.2.0' AND confidence_milli >= 600)) QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY confidence_milli DESC, label_key) = 1),
+ k AS (SELECT l_partkey AS n, max(l_returnflag) AS flag, max(l_linestatus) AS status, count(*) AS skips FROM lineitem WHERE l_suppkey = 7 GROUP BY 1)
+ SELECT * FROM b WHERE account_id NOT IN (SELECT CAST(n AS VARCHAR) FROM k WHERE (status = 'F' AND n % 3 = 0) OR flag = 'R' OR n % 5 IN (0, 4) OR (n % 5 IN (1, 3) AND (skips >= 2 OR n % 100 + 30 > 100)))
+ AND account_id NOT IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 UNION SELECT CAST(o_custkey AS VARCHAR) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 7) ORDER BY confidence_milli DESC, account_id LIMIT 60""",
 }
