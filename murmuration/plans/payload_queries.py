@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import upserts
 from ..sources import adapters, payloads, signals
+from .nullable import shown, shown_sql
 
 VIEWER = "3"
 
@@ -55,7 +56,13 @@ def label_records(spark, d):
     return rows.select("account_id", "label_key", "id", "noop", "history", "newest")
 
 
+#: Columns of the results that hold nulls: numbers, verdicts.
+NULLS = {
+    "raw_posts": (("foreign_videos",), ("ai_media", "quoted_has_video")),
+    "monotone_merge": (("videos",), ()),
+}
 QUERIES = {f.__name__: f for f in (raw_accounts, raw_posts, rejected_payloads, monotone_merge, account_upsert, label_records)}
+QUERIES |= {name: (lambda spark, d, name=name, f=QUERIES[name]: shown(f(spark, d), *NULLS[name])) for name in NULLS}
 
 ORACLE_SQL = {
     "raw_accounts": """WITH n AS (SELECT c_custkey AS n FROM customer WHERE c_custkey % 41 <> 0 AND c_custkey % 43 <> 0 AND c_custkey % 37 <> 0)
@@ -84,3 +91,4 @@ ORACLE_SQL = {
  j AS (SELECT a.*, b.id IS NOT NULL AND a.v = b.v AND a.c = b.c AND a.e = b.e AS noop, b.dt AS was FROM k a LEFT JOIN k b ON b.account_id = a.account_id AND b.label_key = a.label_key AND b.place = 2 WHERE a.place = 1)
  SELECT account_id, label_key, id, noop, NOT noop AS history, NOT noop AND (was IS NULL OR was <= CASE WHEN n % 10 = 0 THEN TIMESTAMP '1990-01-01' ELSE dt END) AS newest FROM j""",
 }
+ORACLE_SQL |= {name: shown_sql(ORACLE_SQL[name], *NULLS[name]) for name in NULLS}

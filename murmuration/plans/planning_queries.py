@@ -8,6 +8,7 @@ from ..operators import findings, history, planning, review
 from ..operators.findings import Rule
 from ..sources import adapters, signals
 from ..sources.kept import kept
+from .nullable import shown, shown_sql
 
 NEW = (Rule("label_count_drop", "high", 0.2, 5, resolution=1), Rule("reason_distribution_shift", "medium", 0.3, 3))
 OLD = (Rule("label_count_drop", "critical", 0.4, 10), Rule("reason_distribution_shift", "low", 0.5, 2))
@@ -95,7 +96,14 @@ def attention_items(spark, d):
     return planning.attention(signals.issues(spark, d), signals.review_findings(spark, d), signals.occurrences(spark, d))
 
 
+#: Columns of the results that hold nulls: numbers, verdicts.
+NULLS = {
+    "review_plan": (("population",), ()),
+    "finding_episodes": (("resolved_at",), ()),
+    "replayed_episodes": (("new_resolved_at", "old_resolved_at"), ()),
+}
 QUERIES = {f.__name__: f for f in (finding_lifecycle, immediate_lifecycle, backtest, shadow_evaluation, replayed_episodes, finding_occurrences, finding_episodes, review_plan, attention_items)}
+QUERIES |= {name: (lambda spark, d, name=name, f=QUERIES[name]: shown(f(spark, d), *NULLS[name])) for name in NULLS}
 
 # One observation after the other, numbered by time; {act}, {res}, {cool} and {again} are a rule's.
 _FOLD = """f{s} AS (SELECT k, 0::BIGINT AS n, NULL::BIGINT AS at_ms, 'none' AS status, 0::BIGINT AS e, 0::BIGINT AS m, NULL::BIGINT AS r, false AS opened FROM (SELECT DISTINCT k FROM o{s})
@@ -148,7 +156,7 @@ def sql(count_drops: str) -> dict[str, str]:
     old = f"(evaluated >= 10 AND was_e >= 10 AND {_DROP.format(now='true_count')} >= 0.4::DOUBLE)"
     rank = "sha256('week-31' || chr(0) || {0})"
     lived = "WITH RECURSIVE " + _GENERATED.format(snapshots=_SNAPSHOTS, f1=_lived("1", 2, 1, 3_600_000, 90 * _DAY, 0.3, 0.1), f2=_lived("2", 1, 2, 40 * _DAY, 120 * _DAY, 0.5, 0.4))
-    return {
+    found = {
         "finding_occurrences": f"{lived} SELECT k AS fingerprint, label_key, episode, at_ms AS at, status AS transition, recurrences, severity, now, was, round(drop, 6) AS drop FROM i",
         "finding_episodes": f"""{lived}, e AS (SELECT k AS fingerprint, label_key, episode, arg_max(status, n) AS t, any_value(severity) AS severity, min(at_ms) AS first_detected, max(at_ms) AS last_detected, max(recurrences) AS recurrences FROM i GROUP BY ALL)
  SELECT fingerprint, label_key, episode, CASE WHEN t = 'new_episode' THEN 'active' ELSE t END AS status, severity, first_detected, last_detected, CASE WHEN t = 'resolved' THEN last_detected END AS resolved_at, recurrences, episode < max(episode) OVER (PARTITION BY fingerprint) AS superseded FROM e""",
@@ -191,3 +199,4 @@ def sql(count_drops: str) -> dict[str, str]:
  SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, recurring DESC, share DESC, affected DESC, detected_at, source_type, source_id) AS INTEGER) AS priority, source_type, source_id, category, severity, summary, affected, total, detected_at, detail
  FROM (SELECT * FROM i UNION ALL SELECT * FROM f) WHERE severity <> 'odd' ORDER BY priority LIMIT 8""",
     }
+    return found | {name: shown_sql(found[name], *NULLS[name]) for name in NULLS}

@@ -10,6 +10,7 @@ from ..operators import asof, upserts
 from ..sources import adapters, signals
 from ..sources.kept import shared_folder
 from ..streaming import counts, generations
+from .nullable import shown, shown_sql
 
 
 def label_summary(spark, d):
@@ -46,7 +47,12 @@ def streamed_counts(spark, d):
     return generations.newest(spark, f"{folder}/out", "label_key string, kind string, name string, n long, milli long")
 
 
+#: Columns of the results that hold nulls: numbers, verdicts.
+NULLS = {
+    "baselines": (("change",), ()),
+}
 QUERIES = {f.__name__: f for f in (label_summary, baselines, summary_merge, streamed_counts)}
+QUERIES |= {name: (lambda spark, d, name=name, f=QUERIES[name]: shown(f(spark, d), *NULLS[name])) for name in NULLS}
 
 _SNAPSHOTS = """s AS (SELECT label_key || '|' || day AS id, label_key, day, day * 86400000 + day % 5 * 3600000 AS at_ms, evaluated, true_count, CASE WHEN day % 7 = 0 THEN 'partial' WHEN day % 11 = 0 THEN 'unknown' ELSE 'complete' END AS completeness
  FROM (SELECT o_orderpriority AS label_key, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) // 86400 AS day, count(*) AS evaluated, count(*) FILTER (o_orderstatus = 'F') AS true_count FROM orders GROUP BY 1, 2))"""
@@ -76,3 +82,4 @@ ORACLE_SQL = {
  UNION ALL SELECT label_key, 'decile', CAST(least(milli // 100, 9) AS VARCHAR), count(*), 0 FROM l GROUP BY 1, 3 UNION ALL SELECT label_key, 'version', version, count(*), 0 FROM l GROUP BY 1, 3
  UNION ALL SELECT label_key, 'minute', CAST(minute AS VARCHAR), count(*), 0 FROM l GROUP BY 1, 3 UNION ALL SELECT label_key, 'reason', reason, count(*), 0 FROM l WHERE value GROUP BY 1, 3""",
 }
+ORACLE_SQL |= {name: shown_sql(ORACLE_SQL[name], *NULLS[name]) for name in NULLS}

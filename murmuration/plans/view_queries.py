@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, history, views
 from ..sources import adapters, signals
 from . import summary_queries
+from .nullable import shown, shown_sql
 
 NOW = 996_624_000_000  # 2001-08-01
 
@@ -96,7 +97,14 @@ def rule_candidates(spark, d):
     return graph.rule_candidates(newest, targets, "7", adapters.follow(spark, d), relations.where((F.col("status") == "F") & (n % 3 == 0)), actions, outbox, 100, 2, 30, 60)
 
 
+#: Columns of the results that hold nulls: numbers, verdicts.
+NULLS = {
+    "finding_details": (("occurrence_id", "affected", "total", "place"), ()),
+    "summaries_page": (("labels_at",), ()),
+    "label_heads": (("at", "evaluated", "true_count"), ()),
+}
 QUERIES = {f.__name__: f for f in (label_list, label_heads, label_trends, label_histories, relation_lists, findings_page, summaries_page, finding_details, dashboard_kpis, top_labels, redacted_errors, sampled_follow_signals, rule_candidates)}
+QUERIES |= {name: (lambda spark, d, name=name, f=QUERIES[name]: shown(f(spark, d), *NULLS[name])) for name in NULLS}
 
 _S = summary_queries._SNAPSHOTS
 _SHARE = "CASE WHEN evaluated = 0 THEN 0 ELSE true_count / evaluated END"
@@ -133,3 +141,4 @@ ORACLE_SQL = {
  SELECT * FROM b WHERE account_id NOT IN (SELECT CAST(n AS VARCHAR) FROM k WHERE (status = 'F' AND n % 3 = 0) OR flag = 'R' OR n % 5 IN (0, 4) OR (n % 5 IN (1, 3) AND (skips >= 2 OR n % 100 + 30 > 100)))
  AND account_id NOT IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 UNION SELECT CAST(o_custkey AS VARCHAR) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 7) ORDER BY confidence_milli DESC, account_id LIMIT 60""",
 }
+ORACLE_SQL |= {name: shown_sql(ORACLE_SQL[name], *NULLS[name]) for name in NULLS}

@@ -108,18 +108,6 @@ def test_posterior_of_large_samples(spark):
     assert got["a"] == pytest.approx(1.0, abs=1e-9) and got["b"] == pytest.approx(exact, rel=1e-9)
 
 
-def test_finding_episodes():
-    import datetime
-
-    from murmuration.operators.findings import DAY, step
-
-    day, state, seen = datetime.datetime(2024, 1, 1), ("none", 0, 0, None), []
-    for k, (exceeded, missing) in enumerate([(True, False), (True, True), (True, False), (False, False), (False, False), (True, False), (True, False), (True, False)]):
-        state = step(state, exceeded, missing, day + 20 * k * DAY, 2, 2, 45 * DAY, 100 * DAY)
-        seen.append(state[0])
-    assert seen == ["none", "none", "active", "active", "resolved", "resolved", "resolved", "recurring"]
-
-
 def test_label_changes_follow_confidence_and_reason(spark):
     h = rows(spark, ("1", "a", "x", False, 500, "r", "1", 0), ("2", "a", "x", False, 900, "r", "1", 1), ("3", "a", "x", False, 900, "r", "2", 2), ("4", "a", "x", False, 900, "s", "2", 3))
     assert sorted((r["id"], r["change_type"]) for r in history.changes(h).collect()) == [("2", "updated"), ("4", "updated")]
