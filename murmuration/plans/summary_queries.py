@@ -50,6 +50,7 @@ def streamed_counts(spark, d):
 #: Columns of the results that hold nulls: numbers, verdicts.
 NULLS = {
     "baselines": (("change",), ()),
+    "summary_merge": (("labels_at", "findings_at"), ()),
 }
 QUERIES = {f.__name__: f for f in (label_summary, baselines, summary_merge, streamed_counts)}
 QUERIES |= {name: (lambda spark, d, name=name, f=QUERIES[name]: shown(f(spark, d), *NULLS[name])) for name in NULLS}
