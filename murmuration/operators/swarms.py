@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import confidence, ramp
 from ..functions.text import fixed, normalize_for_similarity, normalize_reply
+from ..sources.kept import kept
 from .review import without_common_words
 from .similarity import average_likeness, like_sums, likeness, similarity_of, weighed
 
@@ -72,9 +73,11 @@ def augmented(first: DataFrame, index: DataFrame, own: DataFrame) -> DataFrame:
         "target", "account_id", F.when(stays, F.col("old_ms")).otherwise(F.col("new_ms")).alias("ms"), F.when(stays, F.col("old_text")).otherwise(F.col("new_text")).alias("text"),
         "old_ms", "old_text", F.coalesce("authors", F.lit(0)).alias("members"), "least", "most", "second_least", "second_most", F.coalesce("both", F.lit(0.0)).alias("both"),
     )
+    rows = kept(rows)  # read for what is wanted, and again to add it up
     members = weighed(first.select(F.col("target").alias("grp"), "text"))
     wanted = rows.select(F.col("target").alias("grp"), "text").unionByName(rows.where("old_text IS NOT NULL").select(F.col("target").alias("grp"), F.col("old_text").alias("text"))).distinct()
-    sums = like_sums(wanted, members.join(wanted.select("grp").distinct(), "grp", "left_semi")).withColumnRenamed("grp", "target")
+    wanted = kept(wanted)
+    sums = kept(like_sums(wanted, members.join(wanted.select("grp").distinct(), "grp", "left_semi"))).withColumnRenamed("grp", "target")
     rows = rows.join(sums.select("target", F.col("text"), F.col("total").alias("to_all")), ["target", "text"], "left")
     rows = rows.join(sums.select("target", F.col("text").alias("old_text"), F.col("total").alias("old_to_all")), ["target", "old_text"], "left")
     had = F.col("old_text").isNotNull()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions import text
 from murmuration.operators import similarity, solicitation, swarms
+from murmuration.sources.kept import kept
 
 ACCOUNT = "id string, bio string, followers_count long, following_count long, fetched boolean"
 POST = "id string, account_id string, at_us long, is_reply boolean, is_retweet boolean, in_reply_to string, text string"
@@ -153,8 +154,8 @@ def test_swarm_index_and_sizes(spark):
 def test_the_augmented_index_equals_one_built_again(spark):
     rows, rng = crowd(), random.Random(3)
     own = [(f"n{i}", rng.choice([f"u{rng.randrange(12)}", "new1", "new2"]), rng.randrange(-6, 30) * HOUR, rng.choice(["near", "far", "small", "edge", "unlike", "unseen"]), rng.choice([f"what a wonderful photo of it {rng.randrange(20)}", "another text that is quite different", "short"])) for i in range(60)]
-    first = swarms.first_replies(spark.createDataFrame(rows, REPLY)).cache()
-    got = {(r["account_id"], r["target"]): (r["authors"], r["swarm"]) for r in swarms.augmented(first, swarms.swarm_index(first).cache(), spark.createDataFrame(own, REPLY)).collect()}
+    first = kept(swarms.first_replies(spark.createDataFrame(rows, REPLY)))
+    got = {(r["account_id"], r["target"]): (r["authors"], r["swarm"]) for r in swarms.augmented(first, kept(swarms.swarm_index(first)), spark.createDataFrame(own, REPLY)).collect()}
     base, want = plain_first(rows), {}
     for target, entries in plain_first(own).items():
         for account, entry in entries.items():
