@@ -1,12 +1,11 @@
 """How like the texts of a group are, for groups of any size.
 
 All pairs of a large group are too many for a task. Its texts are dealt into blocks by hash, and each pair of
-blocks is a tile of its own, which counts common bigrams over an inverted list. Equal texts are one row with a weight.
+blocks is a tile of its own, which counts common bigrams over an inverted list and in bits. Equal texts are one row with a weight.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,43 +14,84 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 #: Texts of a block, about.
-BLOCK_TEXTS = 512
-
-
-def bigram_codes(text: str) -> np.ndarray:
-    """The distinct bigrams of a text as numbers, in UTF-16 units; a single unit is its own."""
-    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.int64)
-    if len(units) < 2:
-        return units
-    return np.unique(((units[:-1] + 1) << 16) | units[1:])
-
-
-def likeness_table(rows: list[str], columns: list[str]) -> np.ndarray:
-    """Jaccard similarity of the bigram sets of each pair; 0 with an empty text."""
-    a, b = [bigram_codes(t) for t in rows], [bigram_codes(t) for t in columns]
-    common = np.zeros((len(a), len(b)))
-    code = np.concatenate([*a, *b]) if a or b else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    for posting in np.split(owner, np.flatnonzero(np.diff(code)) + 1):
-        cut = np.searchsorted(posting, len(a))  # owners ascend within a code
-        if 0 < cut < len(posting):
-            common[np.ix_(posting[:cut], posting[cut:] - len(a))] += 1
-    sizes = np.array([len(x) for x in a], float)[:, None] + np.array([len(x) for x in b], float)[None, :] - common
-    return np.divide(common, sizes, out=np.zeros_like(common), where=common > 0)
+BLOCK_TEXTS = 4096
+#: Bits of a text's position beside a bigram's code, which has CODE_BITS.
+OWNER_BITS, CODE_BITS = 30, 33
+#: One bit of a pair costs so much less than one entry of an inverted list.
+BIT_GAIN = 128
+#: Pairs of a strip of a table.
+STRIP = 1 << 15
+
+
+def bigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code and owner (position in `texts`) of the distinct bigrams of each text, ordered by both; in UTF-16 units, a single unit is its own."""
+    raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    sizes = np.array([len(r) // 2 for r in raw], np.int64)
+    units = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
+    owner, last = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)[sizes > 0] - 1
+    code = ((units + 1) << 16) | np.append(units[1:], 0)[: len(units)]
+    code[last] = units[last]
+    counts = np.ones(len(units), bool)
+    counts[last] = sizes[sizes > 0] == 1  # the last unit begins no pair
+    both = np.unique((code[counts] << OWNER_BITS) | owner[counts])
+    return both >> OWNER_BITS, both & ((1 << OWNER_BITS) - 1)
+
+
+def likeness_to_all(rows: list[str], columns: list[str], weights: np.ndarray) -> np.ndarray:
+    """Of each row the sum of its likeness to the columns by weight: the Jaccard similarity of the bigram sets of each pair; 0 with an empty text.
+
+    Bigrams that few texts share are counted over an inverted list, the others as bits that two texts have in common.
+    """
+    a, b = len(rows), len(columns)
+    code, owner = bigram_codes([*rows, *columns])
+    sizes = np.bincount(owner, minlength=a + b)
+    starts = np.flatnonzero(np.append(True, np.diff(code) != 0)) if len(code) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(code))[: len(starts)]
+    cuts = starts + np.diff(np.append(0, np.cumsum(owner < a))[np.stack([starts, ends])], axis=0)[0]  # owners ascend within a code
+    posted = (cuts - starts) * (ends - cuts)
+    frequent = posted * BIT_GAIN > a * b
+    few = ~frequent & (posted > 0)
+    common = np.zeros((a, b) if few.any() else (0, 0), np.int32)
+    for start, cut, end in zip(starts[few], cuts[few], ends[few]):
+        common[np.ix_(owner[start:cut], owner[cut:end] - a)] += 1
+    bit = np.where(frequent, np.cumsum(frequent) - 1, -1)[np.repeat(np.arange(len(starts)), ends - starts)]
+    words = np.zeros((-(-int(frequent.sum()) // 64), a + b), np.uint64)
+    np.bitwise_or.at(words, (bit[bit >= 0] // 64, owner[bit >= 0]), np.uint64(1) << (bit[bit >= 0] % 64).astype(np.uint64))
+    out, step = np.zeros(a), max(1, STRIP // max(1, b))
+    for at in range(0, a, step):  # strips of rows that stay in the cache
+        end = min(a, at + step)
+        strip = common[at:end].astype(np.float64) if len(common) else np.zeros((end - at, b))
+        for w in range(0, len(words), 3):  # three words have 192 bits at most, which one byte holds
+            found = np.bitwise_count(words[w, None, a:] & words[w, at:end, None])
+            for word in words[w + 1 : w + 3]:
+                found += np.bitwise_count(word[None, a:] & word[at:end, None])
+            strip += found
+        union = (sizes[at:end, None] + sizes[None, a:]).astype(np.float64) - strip
+        out[at:end] = np.divide(strip, np.maximum(union, 1.0, out=union), out=strip) @ weights
+    return out
+
+
+def paired_likeness(a: list[str], b: list[str]) -> np.ndarray:
+    """Of the texts at each position, all pairs at once."""
+    sides = [(owner << CODE_BITS) | code for code, owner in (bigram_codes(a), bigram_codes(b))]
+    sizes = sum(np.bincount(x >> CODE_BITS, minlength=len(a)) for x in sides)
+    common = np.bincount(np.intersect1d(*sides, assume_unique=True) >> CODE_BITS, minlength=len(a))
+    return common / np.maximum(sizes - common, 1)
 
 
 @F.pandas_udf(DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Of two normalised texts; null with a null."""
-    return pd.Series([None if x is None or y is None else likeness_table([x], [y])[0, 0] for x, y in zip(a, b)], dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), None, object)
+    out[known] = paired_likeness(a[known].tolist(), b[known].tolist())
+    return pd.Series(out, dtype="float64")
 
 
 def _tile(batch: pa.Table) -> pa.Table:
     rows = batch.filter(pa.compute.equal(batch.column("side"), 0)).to_pydict()
     columns = batch.filter(pa.compute.equal(batch.column("side"), 1)).to_pydict()
-    sums = likeness_table(rows["text"], columns["text"]) @ np.array(columns["weight"], float)
+    sums = likeness_to_all(rows["text"], columns["text"], np.array(columns["weight"], float))
     return pa.table({"grp": pa.array(rows["grp"], batch.schema.field("grp").type), "text": pa.array(rows["text"], pa.string()), "part": pa.array(sums, pa.float64())})
 
 
@@ -68,22 +108,46 @@ def like_sums(texts: DataFrame, members: DataFrame) -> DataFrame:
     rows = texts.join(grid, "grp").select("grp", "text", F.lit(1).cast("long").alias("weight"), F.lit(0).alias("side"), own("down").alias("i"), each("across").alias("j"))
     columns = members.join(grid, "grp").select("grp", "text", "weight", F.lit(1).alias("side"), own("across").alias("j"), each("down").alias("i")).select(*rows.columns)
     kind = texts.schema["grp"].dataType.simpleString()
-    parts = rows.unionByName(columns).groupBy("grp", "i", "j").applyInArrow(_tile, f"grp {kind}, text string, part double")
+    parts = _dealt(rows.unionByName(columns)).groupBy("grp", "i", "j").applyInArrow(_tile, f"grp {kind}, text string, part double")
     return parts.groupBy("grp", "text").agg(F.sum("part").alias("total"))
 
 
+def _dealt(tiles: DataFrame) -> DataFrame:
+    """Tiles are few bytes and much work, so their number of tasks is kept: by its size Spark would put them into a few."""
+    return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "i", "j")
+
+
 def weighed(texts: DataFrame) -> DataFrame:
     """The distinct texts (grp, text) of each group with how often they occur."""
     return texts.groupBy("grp", "text").agg(F.count("*").alias("weight"))
 
 
 def average_likeness(texts: DataFrame) -> DataFrame:
-    """grp, n and similarity: of normalised texts (grp, text) the mean likeness of all pairs in a group; 0 for a group of one. Null texts count as empty."""
+    """grp, n and similarity: of normalised texts (grp, text) the mean likeness of all pairs in a group; 0 for a group of one. Null texts count as empty.
+
+    Two blocks are compared once: one of their two tiles takes half of the rows of the lower block, the other one the rest. A tile sends one number.
+    """
     distinct = weighed(texts.select("grp", F.coalesce("text", F.lit("")).alias("text")))
-    sums = like_sums(distinct.select("grp", "text"), distinct).join(distinct, ["grp", "text"])
     self_pairs = F.col("weight") * F.when(F.length("text") > 0, 1.0).otherwise(0.0)
-    by = sums.groupBy("grp").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("total") - self_pairs).alias("both"))
-    return by.select("grp", "n", similarity_of("both", "n").alias("similarity"))
+    by = distinct.groupBy("grp").agg(F.sum("weight").alias("n"), F.sum(self_pairs).alias("selves"), F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    own, half = F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"), F.pmod(F.hash("text"), F.lit(2)) == 0
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    b, others = F.col("b"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    above = F.transform(F.filter(others, lambda x: x > b), lambda x: place(F.when(half, b).otherwise(x), F.when(half, x).otherwise(b), 0))
+    below = F.flatten(F.transform(F.filter(others, lambda x: x < b), lambda x: F.array(place(x, b, 1), place(b, x, 1))))
+    places = F.explode(F.concat(F.array(place(b, b, 0), place(b, b, 1)), above, below))
+    tiles = distinct.join(by.select("grp", "blocks"), "grp").withColumn("b", own).select("grp", "text", "weight", places.alias("p")).select("grp", "text", "weight", "p.*")
+    tile, kind = _tile, texts.schema["grp"].dataType
+
+    def summed(batch: pa.Table) -> pa.Table:
+        parts = np.asarray(tile(batch).column("part"), float)
+        weights = np.asarray(batch.filter(pa.compute.equal(batch.column("side"), 0)).column("weight"), float)
+        twice = 1.0 if batch.column("i")[0] == batch.column("j")[0] else 2.0
+        return pa.table({"grp": batch.column("grp").slice(0, 1), "part": pa.array([twice * float(parts @ weights)], pa.float64())})
+
+    sums = _dealt(tiles).groupBy("grp", "i", "j").applyInArrow(summed, f"grp {kind.simpleString()}, part double").groupBy("grp").agg(F.sum("part").alias("part"))
+    rows = by.join(sums, "grp").withColumn("both", F.col("part") - F.col("selves"))
+    return rows.select("grp", "n", similarity_of("both", "n").alias("similarity"))
 
 
 def similarity_of(both: str, n: str) -> Column:
