@@ -2,66 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
-from .generations import rewrite
+from .generations import newest, rewrite
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LATEST = "value boolean, confidence_milli long, rule_version string, reason string, labeled_us long, id string"
-DELTA = "label_key string, kind string, name string, n long, milli long"
+LATEST = {"value": "boolean", "confidence_milli": "bigint", "rule_version": "string", "reason": "string", "labeled_us": "bigint", "id": "string"}
+ROW = "struct<" + ",".join(f"{c}:{t}" for c, t in LATEST.items()) + ">"
+#: The newest row of each account and label, what it was before the batch that changed it last, and that batch.
+LABELS = f"account_id string, label_key string, latest {ROW}, was {ROW}, changed long"
+LABEL_KEYS = ("account_id", "label_key")
 COUNT_KEYS = ("label_key", "kind", "name")
 
 
 def cells(row: tuple) -> list[tuple[str, str, int]]:
-    """(kind, name, milli) of the counts that a label's row belongs to."""
+    """(kind, name, milli) of the counts that a label's row belongs to; `_cells` is the same of a column."""
     value, milli, version, reason, at, _ = row
     out = [("value", str(value).lower(), milli), ("decile", str(min(milli // 100, 9)), 0), ("version", version, 0), ("minute", str(at // 60_000_000), 0)]
     return [*out, ("reason", reason, 0)] if value else out
 
 
-def moved(old: tuple | None, new: tuple) -> list[tuple[str, str, int, int]]:
-    """(kind, name, n, milli) that a label's new row changes; cells that both rows share cancel out."""
-    out: dict[tuple[str, str], list[int]] = {}
-    for row, sign in ((old, -1), (new, 1)):
-        for kind, name, milli in cells(row) if row is not None else ():
-            cell = out.setdefault((kind, name), [0, 0])
-            cell[0] += sign
-            cell[1] += sign * milli
-    return [(*k, *v) for k, v in out.items() if v != [0, 0]]
-
-
-class LatestLabel(StatefulProcessor):
-    """The newest row of one account and label; late, older rows change nothing."""
+def _cells(row: Column) -> Column:
+    """Array of (kind, name, milli)."""
+    cell = lambda kind, name, milli=F.lit(0): F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"), milli.cast("long").alias("milli"))
+    value, at = F.coalesce(row["value"], F.lit(False)), row["labeled_us"]
+    minute = ((at - F.pmod(at, F.lit(60_000_000))) / 60_000_000).cast("long")
+    out = F.array(cell("value", value, row["confidence_milli"]), cell("decile", F.least(F.floor(row["confidence_milli"] / 100), F.lit(9))), cell("version", row["rule_version"]), cell("minute", minute))
+    return F.when(row.isNull(), F.slice(out, 1, 0)).when(value, F.concat(out, F.array(cell("reason", row["reason"])))).otherwise(out)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", LATEST)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = first = tuple(self.latest.get()) if self.latest.exists() else None
-        for part in rows:
-            for r in part[["value", "confidence_milli", "rule_version", "reason", "labeled_us", "id"]].itertuples(index=False):
-                new = (bool(r[0]), int(r[1]), r[2], r[3], int(r[4]), r[5])
-                if old is None or (old[4], old[5]) <= (new[4], new[5]):
-                    old = new
-        if old is not None and old != first:
-            self.latest.update(old)
-            deltas = [(key[1], *m) for m in moved(first, old)]
-            if deltas:
-                yield pd.DataFrame(deltas, columns=["label_key", "kind", "name", "n", "milli"])
+def newer(stored: DataFrame, batch: DataFrame, number: int) -> DataFrame:
+    """The labels (as in LABELS) with a batch of rows; late, older rows change nothing."""
+    place = lambda r: F.struct(r["labeled_us"], r["id"])
+    row = F.struct(*[F.col(c).cast(t).alias(c) for c, t in LATEST.items()])
+    best = batch.select(*LABEL_KEYS, row.alias("new")).groupBy(*LABEL_KEYS).agg(F.max_by("new", F.struct("new.labeled_us", "new.id", "new")).alias("new"))
+    old, new = F.col("latest"), F.col("new")
+    changes = new.isNotNull() & (old.isNull() | ((place(old) <= place(new)) & ~old.eqNullSafe(new)))
+    now = stored.join(best, list(LABEL_KEYS), "full_outer").withColumn("changes", changes)
+    return now.select(*LABEL_KEYS, F.when(F.col("changes"), new).otherwise(old).alias("latest"), F.when(F.col("changes"), old).alias("was"), F.when(F.col("changes"), F.lit(number)).otherwise(F.col("changed")).cast("long").alias("changed"))
 
-    def close(self) -> None:
-        pass
 
-
-def deltas(labels: DataFrame) -> DataFrame:
-    """From a stream of label rows (account_id, label_key and LATEST): what each changes in the counts. Needs the state store of RocksDB."""
-    labels.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return labels.groupBy("account_id", "label_key").transformWithStateInPandas(LatestLabel(), DELTA, "Update", "None")
+def moved(labels: DataFrame, number: int) -> DataFrame:
+    """label_key, kind, name, n, milli: what a batch changes in the counts; cells that a label's old and new row share cancel out."""
+    signed = lambda col, sign: F.transform(_cells(F.col(col)), lambda c: F.struct(c["kind"].alias("kind"), c["name"].alias("name"), F.lit(sign).cast("long").alias("n"), (c["milli"] * sign).alias("milli")))
+    each = labels.where(F.col("changed") == number).select("label_key", F.explode(F.concat(signed("was", -1), signed("latest", 1))).alias("c")).select("label_key", "c.*")
+    return each.groupBy(*COUNT_KEYS).agg(F.sum("n").alias("n"), F.sum("milli").alias("milli")).where("n <> 0 OR milli <> 0")
 
 
 def added_up(stored: DataFrame, changes: DataFrame) -> DataFrame:
@@ -71,13 +57,18 @@ def added_up(stored: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def keep_counts(labels: DataFrame, folder: str) -> DataStreamWriter:
-    """A writer of the counts (label_key, kind, name, n, milli) of all labels' newest rows, read by `generations.newest`."""
+    """A writer of the counts (label_key, kind, name, n, milli) of all labels' newest rows, read by `generations.newest`.
+
+    Labels (account_id, label_key and LATEST) lie beside the counts in a table of their own, which a batch joins once; a batch that runs again finds both as they were before it.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        summed = batch.groupBy(*COUNT_KEYS).agg(F.sum("n").alias("n"), F.sum("milli").alias("milli")).persist()  # read twice: touched buckets, merge
+        spark = batch.sparkSession
+        rewrite(batch, number, f"{folder}/labels", LABEL_KEYS, spark.createDataFrame([], LABELS).schema, lambda stored, new: newer(stored, new, number))
+        summed = moved(newest(spark, f"{folder}/labels", LABELS), number).persist()  # read twice: touched buckets, merge
         try:
             rewrite(summed, number, folder, COUNT_KEYS, summed.schema, added_up)
         finally:
             summed.unpersist()
 
-    return deltas(labels).writeStream.outputMode("update").foreachBatch(merge)
+    return labels.writeStream.outputMode("append").foreachBatch(merge)

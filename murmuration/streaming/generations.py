@@ -52,7 +52,7 @@ def rewrite(batch: DataFrame, number: int, folder: str, keys: tuple[str, ...], s
     before = _listed(spark, folder, earlier[-1] if earlier else None)
     touched = {r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()}  # `buckets` numbers at most
     merged = merge(_rows(spark, folder, schema, {b: n for b, n in before.items() if b in touched}), batch)
-    merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/batch={number}")
+    merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/batch={number}")
     written = set(_batches(spark, f"{folder}/rows/batch={number}"))
     now = {b: n for b, n in before.items() if b not in touched} | dict.fromkeys(written, number)
     spark.createDataFrame(sorted(now.items()), LIST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/lists/batch={number}")
