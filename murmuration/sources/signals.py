@@ -155,6 +155,11 @@ def occurrences(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def cut_off(raw: Column, n: int) -> Column:
+    """The first n characters, or all but the last one where there are no more than n: a line that is cut off is never whole."""
+    return F.left(raw, F.least(F.lit(n), F.length(raw) - 1))
+
+
 def raw_users(spark: SparkSession, d: str) -> DataFrame:
     """Users as JSON lines: new and old shape by turns, some cut off, some without their legacy part."""
     n = F.col("c_custkey")
@@ -166,7 +171,7 @@ def raw_users(spark: SparkSession, d: str) -> DataFrame:
         when(n % 2 == 1, F.lit("2020-02-03T04:05:06Z")).alias("createdAt"), when(n % 5 == 0, F.lit("Tokyo")).alias("location"),
     )
     raw = F.to_json(F.struct(n.cast("string").alias("restId"), (n % 6 == 0).alias("isBlueVerified"), core.alias("core"), when(n % 37 != 0, legacy).alias("legacy"), when(n % 9 == 0, F.struct(F.lit("Business").alias("verifiedType"))).alias("verification"), when(n % 8 == 0, F.struct(F.lit("Creator").alias("professionalType"))).alias("professional")))
-    return table(spark, d, "customer").select(F.when(n % 41 == 0, F.left(raw, F.lit(40))).when(n % 43 == 0, None).otherwise(raw).alias("value"))
+    return table(spark, d, "customer").select(F.when(n % 41 == 0, cut_off(raw, 40)).when(n % 43 == 0, None).otherwise(raw).alias("value"))
 
 
 def raw_posts(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +189,7 @@ def raw_posts(spark: SparkSession, d: str) -> DataFrame:
     )
     user = F.struct(u.alias("restId"), F.struct(F.lit("x").alias("screenName")).alias("legacy"))
     raw = F.to_json(F.struct(n.cast("string").alias("restId"), F.when(n % 47 != 0, legacy).alias("legacy"), user.alias("user")))
-    return table(spark, d, "events").select(F.when(n % 53 == 0, F.left(raw, F.lit(60))).otherwise(raw).alias("value"))
+    return table(spark, d, "events").select(F.when(n % 53 == 0, cut_off(raw, 60)).otherwise(raw).alias("value"))
 
 
 PERSONAS = 15
