@@ -11,19 +11,28 @@ from .history import latest
 def follow_signals(follow: DataFrame, history: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """By account and label: followees and followers with the label's verdict, and those of them with the label.
 
-    `samples` (account_id, followee_id) are followees seen besides; an edge in both counts once. Both directions are one stream of edges that meets the latest labels
-    once, each account's labels in one row, and one aggregation; an account that very many follow is a skewed key that Spark splits by size at run time.
+    `samples` (account_id, followee_id) are followees seen besides; an edge in both counts once. An edge is sent once for both directions, and each with its other account's labels as numbers, which are
+    taken apart where an account's edges have met; what one task has counted is added up after that, so an account that very many follow is split by size at run time.
     """
-    known = latest(history).groupBy(F.col("account_id").alias("other")).agg(F.collect_list(F.struct("label_key", "value")).alias("labels"))  # as many as there are labels
-    followees = follow.select(F.col("follower_id").alias("account_id"), F.col("followee_id").alias("other"))
+    newest = latest(history)
+    names = newest.select("label_key").distinct().withColumn("number", F.row_number().over(Window.orderBy("label_key")))  # as many as there are labels
+    numbered = newest.join(F.broadcast(names), newest["label_key"].eqNullSafe(names["label_key"])).select(F.col("account_id").alias("other"), (F.col("number") * 2 + F.coalesce("value", F.lit(False)).cast("int")).alias("label"))
+    known = numbered.groupBy("other").agg(F.collect_list("label").alias("labels"))
+    edge = lambda account, other, out: F.struct(F.col(account).alias("account_id"), F.col(other).alias("other"), F.lit(out).alias("out"))
+    there, back, seen = edge("follower_id", "followee_id", True), edge("followee_id", "follower_id", False), None
     if samples is not None:
-        seen = samples.select("account_id", F.col("followee_id").alias("other"))
-        followees = seen.unionByName(followees.join(seen, ["account_id", "other"], "left_anti"))
-    followers = follow.select(F.col("followee_id").alias("account_id"), F.col("follower_id").alias("other"))
-    edges = followees.withColumn("out", F.lit(True)).unionByName(followers.withColumn("out", F.lit(False)))
-    each = edges.join(known, "other").select("account_id", "out", F.explode("labels").alias("l"))
-    counts = {f"{name}_{what}": F.count_if(cond) for name, side in (("followee", F.col("out")), ("follower", ~F.col("out"))) for what, cond in (("total", side), ("labeled", side & F.col("l.value")))}
-    return each.groupBy("account_id", F.col("l.label_key").alias("label_key")).agg(*[c.alias(n) for n, c in counts.items()])
+        seen = samples.select(F.col("account_id").alias("follower_id"), "followee_id")
+        follow = follow.join(seen.distinct().withColumn("seen", F.lit(True)), ["follower_id", "followee_id"], "left")
+        there = F.when(F.col("seen").isNull(), there)
+    edges = follow.select(F.explode(F.array_compact(F.array(there, back))).alias("e")).select("e.*")
+    if seen is not None:
+        edges = edges.unionByName(seen.select(edge("follower_id", "followee_id", True).alias("e")).select("e.*"))
+    # Dealt by a cell of the account, which is not the key of the counts: Spark may split a cell by its size, and adds up what its parts have counted.
+    met = edges.join(known, "other").select(F.pmod(F.hash("account_id"), F.lit(1 << 16)).alias("cell"), "account_id", "out", "labels").hint("rebalance", "cell")
+    each = met.select("account_id", "out", F.explode("labels").alias("label")).select("account_id", "out", F.shiftright("label", 1).alias("number"), (F.col("label") % 2 == 1).alias("value"))
+    counts = {f"{name}_{what}": F.count_if(cond) for name, side in (("followee", F.col("out")), ("follower", ~F.col("out"))) for what, cond in (("total", side), ("labeled", side & F.col("value")))}
+    by = each.groupBy("account_id", "number").agg(*[c.alias(n) for n, c in counts.items()])
+    return by.join(F.broadcast(names), "number").select("account_id", "label_key", *counts)
 
 
 def rule_candidates(newest: DataFrame, targets: DataFrame, blocker: str, follow: DataFrame, blocks: DataFrame, actions: DataFrame, outbox: DataFrame, now_s: int, most_skips: int, cooldown_s: int, limit: int) -> DataFrame:
