@@ -218,14 +218,18 @@ def irrelevant(rows: DataFrame) -> DataFrame:
     return fit.groupBy("account_id").agg(F.count("*").alias("replies_known"), F.count_if(likeness("a", "b") < 0.03).alias("apart"))
 
 
-def rules(accounts: DataFrame, posts: DataFrame, corpus: DataFrame | None = None, scam_hosts: dict[str, str] = SCAM_HOSTS, k: int = 20) -> DataFrame:
-    """All rules on posts, for every account, in long form.
+def rules(accounts: DataFrame, posts: DataFrame, corpus: DataFrame | None = None, scam_hosts: dict[str, str] = SCAM_HOSTS, k: int = 20, only: tuple[str, ...] | None = None) -> DataFrame:
+    """All rules on posts, or `only` those named, for every account, in long form.
 
     Accounts: id, screen_name, tweet_count, age_days, fetched (whether the recent posts are known); posts: fields of POST with account_id, of which the k newest of each account count; corpus: replies of
     all accounts (account_id, text, is_reply, in_reply_to), `posts` if not given.
     """
     rows = bundles(accounts, posts, k)
-    rows = rows.join(sharers(posts if corpus is None else corpus), "account_id", "left").join(irrelevant(rows), "account_id", "left").fillna(0, ["sharers", "replies_known", "apart"])
+    # What one rule alone asks of other rows is left out with it.
+    bundled, wanted = rows, lambda key: only is None or key in only
+    rows = rows.join(sharers(posts if corpus is None else corpus), "account_id", "left") if wanted("templated_reply_network") else rows.withColumn("sharers", F.lit(0).cast("long"))
+    rows = rows.join(irrelevant(bundled), "account_id", "left") if wanted("irrelevant_reply") else rows.withColumns({"replies_known": F.lit(0).cast("long"), "apart": F.lit(0).cast("long")})
+    rows = rows.fillna(0, ["sharers", "replies_known", "apart"])
     rows = rows.withColumn("posts", F.transform("posts", lambda x: _judged(x, F.concat(F.lit("RT @"), "screen_name", F.lit(":")), scam_hosts)))
     p, c = F.col("posts"), F.col
     count = lambda f: F.size(F.filter(p, f)).cast("long")
@@ -245,7 +249,7 @@ def rules(accounts: DataFrame, posts: DataFrame, corpus: DataFrame | None = None
     texts = lambda reply: F.filter("said", lambda x: x["is_reply"] == reply)["plain"]
     rows = rows.withColumns({"pairs": F.size(F.array_intersect(texts(True), texts(False))).cast("long"), "aways": F.size("away").cast("long"), "pitches": F.size(F.filter("away", lambda x: x["pitch"])).cast("long"), "sent": sent_away(c("away"))})
     rows = rows.withColumn("template", best_template("sent"))
-    return long_form(rows, _table())
+    return long_form(rows, {key: rule for key, rule in _table().items() if wanted(key)})
 
 
 def _table() -> dict[str, tuple[str, Column, Column, Column, Column]]:

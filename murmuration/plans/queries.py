@@ -239,7 +239,7 @@ def retained_labels(spark, d):
 
 def templated_targets(spark, d):
     """The rule on replies of one text to many targets within 24 hours, alone."""
-    return label_rules(spark, d).where("label_key = 'cross_target_templated_reply'").select("account_id", "value", "reason")
+    return rules.rules(signals.persona_accounts(spark, d), signals.persona_posts(spark, d), only=("cross_target_templated_reply",)).select("account_id", "value", "reason")
 
 
 QUERIES = {f.__name__: f for f in (
