@@ -83,15 +83,21 @@ def fixed(value: Column, digits: int) -> Column:
 
 def normalize_for_similarity(text: Column, remove_hashtags: bool = False) -> Column:
     """Without links, mentions and optionally hashtags; white space (of all kinds) becomes one space; trimmed, lower case."""
-    for pattern in (URL, MENTION, *([HASHTAG] if remove_hashtags else [])):
-        text = F.regexp_replace(text, pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s#]", f"[^{SPACE}#]"), "")
-    return F.lower(F.regexp_replace(F.regexp_replace(text, f"[{SPACE}]+", " "), r"^ | $", ""))
+    once = lambda x, step: F.get(F.transform(F.array(x), step), 0)  # noqa: E731 - a lambda's argument is worked out once
+    for pattern, sign in ((URL, "://"), (MENTION, "@"), *([(HASHTAG, "#")] if remove_hashtags else [])):
+        own = pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s#]", f"[^{SPACE}#]")
+        text = once(text, lambda x: F.when(x.contains(sign), F.regexp_replace(x, own, "")).otherwise(x))  # noqa: B023 - called here
+    return F.lower(F.trim(F.regexp_replace(text, f"[{SPACE}]+", " ")))
+
+
+def long_enough(clean: Column) -> Column:
+    """Whether a text has LEAST_REPLY UTF-16 units."""
+    return (F.length(clean) >= LEAST_REPLY) | (utf16_length(clean) >= LEAST_REPLY)
 
 
 def normalize_reply(text: Column) -> Column:
     """Normalised; empty where fewer than LEAST_REPLY UTF-16 units are left."""
-    clean = normalize_for_similarity(text)
-    return F.when(utf16_length(clean) < LEAST_REPLY, "").otherwise(clean)
+    return F.get(F.transform(F.array(normalize_for_similarity(text)), lambda x: F.when(~long_enough(x), "").otherwise(x)), 0)
 
 
 def bigrams(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 All pairs of a large group are too many for a task. Its texts are dealt into blocks by hash, and each pair of
 blocks is a tile of its own, which counts common bigrams over an inverted list and in bits. Equal texts are one row with a weight.
+
+Where it is only asked whether a large group is like enough, a bound of its mean comes first, from counts that grow with the texts and not with their pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ OWNER_BITS, CODE_BITS = 30, 33
 BIT_GAIN = 128
 #: Pairs of a strip of a table.
 STRIP = 1 << 15
+#: Bits of each unit of a bigram that tell its bucket; texts of one count of pairs of buckets, about; texts counted at once; parts of such a count that are sent on their own.
+UNIT_BITS, CELL_TEXTS, CELL_STRIP, CELL_PARTS = 5, 1 << 17, 4096, 16
+#: Counts of pairs of buckets are floats of 32 bits: what they may lack.
+ROUNDING = 1e-3
 
 
 def bigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +156,74 @@ def average_likeness(texts: DataFrame) -> DataFrame:
     return rows.select("grp", "n", similarity_of("both", "n").alias("similarity"))
 
 
+def class_steps(sizes: np.ndarray) -> np.ndarray:
+    """How many sizes the class of each size has: one up to 15, then an eighth of a doubling."""
+    return 1 << np.maximum(0, np.frexp(sizes.astype(float))[1].astype(np.int64) - 4)
+
+
+def _cell(batch: pa.Table) -> pa.Table:
+    """Of some texts of a group, by class of size: how many, in how many each bucket of bigrams stands (repeats counted), and the same of each pair of buckets, in parts."""
+    buckets, texts, weights = 1 << 2 * UNIT_BITS, batch.column("text").to_pylist(), np.array(batch.column("weight"), float)
+    mask, found = (1 << UNIT_BITS) - 1, {}
+    for at in range(0, len(texts), CELL_STRIP):
+        strip, w = texts[at : at + CELL_STRIP], weights[at : at + CELL_STRIP]
+        code, owner = bigram_codes(strip)
+        sizes = np.bincount(owner, minlength=len(strip))
+        least = sizes // class_steps(sizes) * class_steps(sizes)
+        bucket = ((code >> 16 & mask) << UNIT_BITS) | (code & mask)
+        counts = np.bincount(owner * buckets + bucket, minlength=len(strip) * buckets).reshape(len(strip), buckets)
+        for x in np.unique(least[least > 0]).tolist():
+            y, v = counts[least == x].astype(np.float32), w[least == x]
+            own = found.setdefault(x, [0.0, np.zeros(buckets), np.zeros((buckets, buckets))])
+            weighted = y * np.sqrt(v)[:, None].astype(np.float32)
+            own[0], own[1] = own[0] + v.sum(), own[1] + v @ y
+            own[2] += weighted.T @ weighted
+    rows = [(x, n, part, *(a[part::CELL_PARTS].ravel() for a in (one, two))) for x, (n, one, two) in found.items() for part in range(CELL_PARTS)]
+    named = {"least": pa.int64(), "n": pa.float64(), "part": pa.int32(), "one": pa.list_(pa.float64()), "two": pa.list_(pa.float32())}
+    columns = {c: pa.array([r[i].astype(np.float32) if c == "two" else r[i] for r in rows], t) for i, (c, t) in enumerate(named.items())}
+    return pa.table({"grp": batch.column("grp").take(pa.array([0] * len(rows), pa.int64())), **columns})
+
+
+def _paired_classes(batch: pa.Table) -> pa.Table:
+    """Of one part of a group's counts, by pair of classes: least_a, least_b, top (the most in common), n_a, n_b, and the sums over pairs of texts of what they have in common and (in all parts together) of its square."""
+    least = np.array(batch.column("least"))
+    classes, place = np.unique(least, return_inverse=True)
+    sums = []
+    for c in ("n", "one", "two"):
+        rows = np.array(batch.column(c).to_pylist() if c == "n" else batch.column(c).combine_chunks().flatten(), float).reshape(len(least), -1)
+        sums.append(np.stack([rows[place == i].sum(0) for i in range(len(classes))]))
+    n, one, two = sums[0][:, 0], sums[1] @ sums[1].T, sums[2] @ sums[2].T
+    a, b = np.indices(one.shape).reshape(2, -1)
+    grp = batch.column("grp").take(pa.array(np.zeros(len(a), np.int64)))
+    greatest = classes + class_steps(classes) - 1
+    return pa.table({"grp": grp, "least_a": classes[a], "least_b": classes[b], "top": np.minimum(greatest[a], greatest[b]), "n_a": n[a], "n_b": n[b], "one": one[a, b], "two": two[a, b]})
+
+
+def greatest_likeness(distinct: DataFrame) -> DataFrame:
+    """grp, n and most: of weighed texts (grp, text, weight; none null) a bound that the mean likeness of all pairs in a group is never above.
+
+    Texts of s and t bigrams, c of them common, have the likeness c / (s + t - c), which bends upwards with c. So it lies under the parabola that touches it at the mean of c and meets
+    it at the most that c can be, and the parabola's sum is known from the sums of c and of its square. Both are products of counts by bucket of bigrams, so they grow
+    with the texts. Bigrams that share a bucket count as common, and a class of sizes counts as its least: both only lift the bound.
+    """
+    kind = distinct.schema["grp"].dataType.simpleString()
+    filled = F.when(F.length("text") > 0, F.col("weight")).otherwise(0)
+    sizes = distinct.groupBy("grp").agg(F.sum("weight").alias("n"), F.sum(filled).alias("selves"), F.ceil(F.count("*") / CELL_TEXTS).cast("int").alias("cells"))
+    cells = distinct.join(sizes.select("grp", "cells"), "grp").select("grp", "text", "weight", F.pmod(F.xxhash64("text"), F.col("cells")).alias("cell"))
+    cells = cells.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "cell")
+    parts = cells.groupBy("grp", "cell").applyInArrow(lambda batch: _cell(batch), f"grp {kind}, least bigint, n double, part int, one array<double>, two array<float>")
+    paired = parts.groupBy("grp", "part").applyInArrow(lambda batch: _paired_classes(batch), f"grp {kind}, least_a bigint, least_b bigint, top bigint, n_a double, n_b double, one double, two double")
+    by = paired.groupBy("grp", "least_a", "least_b", "top").agg(*[F.max(c).alias(c) for c in ("n_a", "n_b")], *[F.sum(c).alias(c) for c in ("one", "two")])
+    pairs, both = F.col("n_a") * F.col("n_b"), F.col("least_a") + F.col("least_b")
+    by = by.select("grp", pairs.alias("pairs"), both.alias("both"), "top", (F.col("one") / pairs).alias("mean"), (F.col("two") * (1 + ROUNDING)).alias("two"))
+    left = F.col("both") - F.col("mean")
+    parabola = F.col("pairs") * F.col("mean") / left + F.col("both") / (left * left * (F.col("both") - F.col("top"))) * (F.col("two") - F.col("mean") * F.col("mean") * F.col("pairs"))
+    straight = F.col("pairs") * F.col("top") / (F.col("both") - F.col("top"))
+    bound = F.when(F.col("mean") < F.col("top"), F.least(parabola, straight)).otherwise(straight)
+    rows = sizes.join(by.groupBy("grp").agg(F.sum(bound).alias("sum")), "grp", "left").withColumn("above", F.coalesce("sum", F.lit(0.0)) - F.col("selves"))
+    return rows.select("grp", "n", similarity_of("above", "n").alias("most"))
+
+
 def similarity_of(both: str, n: str) -> Column:
     """From the sum over ordered pairs."""
     n_ = F.col(n)

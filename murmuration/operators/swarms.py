@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import confidence, ramp
-from ..functions.text import fixed, normalize_for_similarity, normalize_reply
+from ..functions.text import fixed, long_enough, normalize_for_similarity
 from ..sources.kept import kept
 from .review import without_common_words
-from .similarity import average_likeness, like_sums, likeness, similarity_of, weighed
+from .similarity import average_likeness, greatest_likeness, like_sums, likeness, similarity_of, weighed
 
 # Fixed values of the rules.
 WINDOW_MS = 24 * 3600 * 1000
 LEAST_AUTHORS, LEAST_LIKENESS = 5, 0.1
 LEAST_SAMPLE, LEAST_REPLY_RATIO = 3, 0.5
 LEAST_REPLIES, LEAST_FLOOD_LIKENESS = 8, 0.03
+#: From so many distinct texts on a bound may settle that a target is no swarm; what a bound has to stay under the least likeness by.
+BOUND_TEXTS, MARGIN = 2048, 1e-6
 VERSIONS = {"reply_hijack_swarm": "1.5.0", "reply_flooding": "1.4.0"}
 
 
@@ -25,16 +27,18 @@ def _ms() -> Column:
 
 def first_replies(replies: DataFrame) -> DataFrame:
     """target, account_id, ms, text (normalised): the earliest reply of each account to each target; of several at one time that with the greatest id. Short replies and those to nobody don't count."""
-    rows = replies.where(F.col("target").isNotNull()).select("target", "account_id", "id", _ms().alias("ms"), normalize_reply(F.col("text")).alias("text")).where("text <> ''")
+    text = F.filter(F.array(normalize_for_similarity(F.col("text"))), long_enough)  # exploded, so that it is normalised once
+    rows = replies.where(F.col("target").isNotNull()).select("target", "account_id", "id", _ms().alias("ms"), F.explode(text).alias("text"))
     best = rows.groupBy("target", "account_id").agg(F.max_by(F.struct("ms", "text"), F.struct(-F.col("ms"), "id")).alias("r"))
     return best.select("target", "account_id", "r.*")
 
 
-def swarm_index(first: DataFrame) -> DataFrame:
-    """target, authors, least, most, second_least, second_most (ms), both (likeness summed over ordered pairs), similarity and swarm (whether it is one), of all targets with replies.
+def swarm_index(first: DataFrame, measured: bool = True) -> DataFrame:
+    """target, authors, least, most, second_least, second_most (ms), both (likeness summed over ordered pairs), similarity, swarm (whether it is one) and open (whether it is one or one entry may make it one), of all targets with replies.
 
     Counts and times are added up before they are sent, and pairs are compared in tiles, so a target with very many replies is no single task's.
-    Pairs are compared where the span and the number of authors allow a swarm, or would with one author or one time less.
+    Pairs are compared where the span and the number of authors allow a swarm, or would with one author or one time less; if the likeness itself isn't wanted (not `measured`),
+    not where a bound tells that it is too small, even with one entry more. Likeness is null where pairs aren't compared.
     """
     ms, ends = F.col("ms"), first.groupBy("target").agg(F.count("*").alias("authors"), F.min("ms").alias("least"), F.max("ms").alias("most"))
     inner = first.join(ends, "target").groupBy("target").agg(
@@ -45,9 +49,22 @@ def swarm_index(first: DataFrame) -> DataFrame:
     without_one = F.least(F.col("most") - F.col("second_least"), F.col("second_most") - F.col("least"))
     near = by.where((F.col("authors") >= LEAST_AUTHORS - 1) & (without_one <= WINDOW_MS)).select("target")
     texts = first.join(near, "target", "left_semi").select(F.col("target").alias("grp"), "text")
+    if not measured:
+        texts = texts.join(kept(unlike_targets(texts)), "grp", "left_anti")
     like = average_likeness(texts).select(F.col("grp").alias("target"), (F.col("similarity") * F.col("n") * (F.col("n") - 1)).alias("both"), "similarity")
     rows = by.join(like, "target", "left")
-    return rows.withColumn("swarm", _is_swarm(F.col("authors"), F.col("most") - F.col("least"), F.coalesce("similarity", F.lit(0.0))))
+    return rows.withColumns({"swarm": _is_swarm(F.col("authors"), F.col("most") - F.col("least"), F.coalesce("similarity", F.lit(0.0))), "open": F.col("both").isNotNull()})
+
+
+def unlike_targets(texts: DataFrame) -> DataFrame:
+    """grp: those of the large groups of normalised texts (grp, text) whose likeness is too small for a swarm with any entry added or changed.
+
+    One entry changes the mean of n by 2 / n at most.
+    """
+    distinct = kept(weighed(texts))
+    large = distinct.groupBy("grp").agg(F.count("*").alias("texts")).where(F.col("texts") >= BOUND_TEXTS).select("grp")
+    bounds = greatest_likeness(distinct.join(large, "grp", "left_semi"))
+    return bounds.where(F.col("most") + 2 / F.col("n") < LEAST_LIKENESS - MARGIN).select("grp")
 
 
 def _is_swarm(authors: Column, span_ms: Column, similarity: Column) -> Column:
@@ -63,6 +80,7 @@ def augmented(first: DataFrame, index: DataFrame, own: DataFrame) -> DataFrame:
     """account_id, target, authors, similarity, swarm: the index as it would be with one account's own replies (as in `replies`) added, for each of `own` alone.
 
     The index isn't built again: an account's entry, if it has an earlier one now, is taken out of the target's sums and its new one put in, by its likeness to the target's members.
+    That is done for targets that the index has open; with others it is no swarm in any case, and its similarity is null.
     """
     new = first_replies(own).select("target", "account_id", F.col("ms").alias("new_ms"), F.col("text").alias("new_text"))
     now = first.select("target", "account_id", F.col("ms").alias("old_ms"), F.col("text").alias("old_text"))
@@ -71,11 +89,12 @@ def augmented(first: DataFrame, index: DataFrame, own: DataFrame) -> DataFrame:
     stays = F.coalesce(F.col("old_ms") <= F.col("new_ms"), F.lit(False))
     rows = rows.select(
         "target", "account_id", F.when(stays, F.col("old_ms")).otherwise(F.col("new_ms")).alias("ms"), F.when(stays, F.col("old_text")).otherwise(F.col("new_text")).alias("text"),
-        "old_ms", "old_text", F.coalesce("authors", F.lit(0)).alias("members"), "least", "most", "second_least", "second_most", F.coalesce("both", F.lit(0.0)).alias("both"),
+        "old_ms", "old_text", F.coalesce("authors", F.lit(0)).alias("members"), "least", "most", "second_least", "second_most", F.coalesce("both", F.lit(0.0)).alias("both"), F.coalesce("open", F.lit(False)).alias("open"),
     )
     rows = kept(rows)  # read for what is wanted, and again to add it up
     members = weighed(first.select(F.col("target").alias("grp"), "text"))
-    wanted = rows.select(F.col("target").alias("grp"), "text").unionByName(rows.where("old_text IS NOT NULL").select(F.col("target").alias("grp"), F.col("old_text").alias("text"))).distinct()
+    asked = rows.where("open")
+    wanted = asked.select(F.col("target").alias("grp"), "text").unionByName(asked.where("old_text IS NOT NULL").select(F.col("target").alias("grp"), F.col("old_text").alias("text"))).distinct()
     wanted = kept(wanted)
     sums = kept(like_sums(wanted, members.join(wanted.select("grp").distinct(), "grp", "left_semi"))).withColumnRenamed("grp", "target")
     rows = rows.join(sums.select("target", F.col("text"), F.col("total").alias("to_all")), ["target", "text"], "left")
@@ -86,8 +105,8 @@ def augmented(first: DataFrame, index: DataFrame, own: DataFrame) -> DataFrame:
     rows = rows.withColumns({"authors": F.when(had, F.col("members")).otherwise(F.col("members") + 1), "sum": F.col("both") + 2 * (others_new - others_old)})
     least = F.least("ms", F.when(had & (F.col("old_ms") == F.col("least")), F.col("second_least")).otherwise(F.col("least")))
     most = F.greatest("ms", F.when(had & (F.col("old_ms") == F.col("most")), F.col("second_most")).otherwise(F.col("most")))
-    rows = rows.withColumns({"similarity": similarity_of("sum", "authors"), "span": most - least})
-    return rows.select("account_id", "target", "authors", "similarity", _is_swarm(F.col("authors"), F.col("span"), F.col("similarity")).alias("swarm"))
+    rows = rows.withColumns({"similarity": F.when(F.col("open"), similarity_of("sum", "authors")), "span": most - least})
+    return rows.select("account_id", "target", "authors", "similarity", _is_swarm(F.col("authors"), F.col("span"), F.coalesce("similarity", F.lit(0.0))).alias("swarm"))
 
 
 def swarm_rule(accounts: DataFrame, posts: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -29,9 +29,9 @@ def group_similarity(spark, d):
     return similarity.average_likeness(rows).select("grp", "n", F.round("similarity", 6).alias("similarity"))
 
 
-def _crowd(spark, d):
+def _crowd(spark, d, measured=True):
     first = kept(swarms.first_replies(signals.crowd(spark, d).where("is_reply")))
-    return first, kept(swarms.swarm_index(first))
+    return first, kept(swarms.swarm_index(first, measured))
 
 
 def reply_swarms(spark, d):
@@ -41,11 +41,11 @@ def reply_swarms(spark, d):
 
 def reply_hijack_swarm(spark, d):
     recent = behaviour.recent(signals.crowd(spark, d), RECENT)
-    return swarms.swarm_rule(signals.account(spark, d), recent, swarms.swarm_sizes(*_crowd(spark, d)))
+    return swarms.swarm_rule(signals.account(spark, d), recent, swarms.swarm_sizes(*_crowd(spark, d, measured=False)))
 
 
 def augmented_swarms(spark, d):
-    rows = swarms.augmented(*_crowd(spark, d), signals.newcomers(spark, d))
+    rows = swarms.augmented(*_crowd(spark, d, measured=False), signals.newcomers(spark, d))
     return rows.select("account_id", "target", "authors", F.when(F.col("swarm"), F.round("similarity", 6)).alias("similarity"), "swarm")
 
 
