@@ -122,10 +122,15 @@ def bounded_sample(labelled: DataFrame, id_col: str, limit: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(n)) < limit)
 
 
+def sampled_texts(docs: DataFrame, labelled: DataFrame, label_col: str, limit: int) -> DataFrame:
+    """doc_id, text, label of the documents with a label of the bounded sample. The sample is sent to the texts, which are not shuffled."""
+    known = bounded_sample(labelled.where(F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("label")), "doc_id", limit)
+    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
+
+
 def train(docs: DataFrame, labelled: DataFrame, label_col: str = "quality", limit: int = LABELLED_ROWS) -> PairwiseRanker:
     """`labelled` has doc_id and the label (null labels don't count); it holds the rows to learn from and no others."""
-    known = bounded_sample(labelled.where(F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("label")), "doc_id", limit)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(known, "doc_id").select("label", "text").mapInArrow(_features, "label int, x array<double>").toPandas()
+    rows = sampled_texts(docs, labelled, label_col, limit).select("label", "text").mapInArrow(_features, "label int, x array<double>").toPandas()
     order = np.lexsort(np.array(rows["x"].tolist()).reshape(len(rows), -1).T) if len(rows) else []
     rows = rows.iloc[order]
     return fit(np.array(rows["x"].tolist()).reshape(len(rows), len(NAMES)), rows["label"].to_numpy())

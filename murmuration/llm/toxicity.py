@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, labels, text_or_empty
-from .quality import bounded_sample
+from .common import documents, labels, spool, text_or_empty
+from .quality import sampled_texts
 
 #: Labelled rows to learn from at most (a sample by hash).
 LABELLED_ROWS = 20_000
@@ -200,8 +200,7 @@ def train(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", limit:
     One half of the sample gives the lexicon and the other half the weights, and then both halves the
     lexicon: weights learned on the lexicon's own rows would trust it too much.
     """
-    known = bounded_sample(labelled.where(F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("label")), "doc_id", limit)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(known, "doc_id")
+    rows = spool(sampled_texts(docs, labelled, label_col, limit), "sample")  # read four times
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
     counts = {(r["half"], r["label"]): r["count"] for r in rows.groupBy(half.alias("half"), "label").count().collect()}
     first = learn_lexicon(rows.where(half == 0).select("label", "text"), counts.get((0, 1), 0), counts.get((0, 0), 0))
