@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -81,9 +82,13 @@ def fixed(value: Column, digits: int) -> Column:
     return F.concat(sign, F.floor(whole / power).cast("string"), F.lit("."), F.lpad((whole % int(power)).cast("string"), digits, "0"))
 
 
+def once(value: Column, step: Callable[[Column], Column]) -> Column:
+    """`step` of a value that it names several times: as the argument of a lambda the value is worked out once."""
+    return F.get(F.transform(F.array(value), step), 0)
+
+
 def normalize_for_similarity(text: Column, remove_hashtags: bool = False) -> Column:
     """Without links, mentions and optionally hashtags; white space (of all kinds) becomes one space; trimmed, lower case."""
-    once = lambda x, step: F.get(F.transform(F.array(x), step), 0)  # noqa: E731 - a lambda's argument is worked out once
     for pattern, sign in ((URL, "://"), (MENTION, "@"), *([(HASHTAG, "#")] if remove_hashtags else [])):
         own = pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s#]", f"[^{SPACE}#]")
         text = once(text, lambda x: F.when(x.contains(sign), F.regexp_replace(x, own, "")).otherwise(x))  # noqa: B023 - called here
@@ -97,7 +102,7 @@ def long_enough(clean: Column) -> Column:
 
 def normalize_reply(text: Column) -> Column:
     """Normalised; empty where fewer than LEAST_REPLY UTF-16 units are left."""
-    return F.get(F.transform(F.array(normalize_for_similarity(text)), lambda x: F.when(~long_enough(x), "").otherwise(x)), 0)
+    return once(normalize_for_similarity(text), lambda x: F.when(~long_enough(x), "").otherwise(x))
 
 
 def bigrams(text: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import confidence, posterior_at_least, ramp
-from ..functions.text import MENTION, SPACE, URL, contexts, fixed, normalize_for_similarity, normalize_reply, utf16_length
+from ..functions.text import MENTION, SPACE, URL, contexts, fixed, long_enough, normalize_for_similarity, normalize_reply, once, utf16_length
+from ..sources.kept import kept
 from .behaviour import duplicate_replies, recent
 from .similarity import likeness
 
@@ -138,24 +139,25 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"(?i)^https?:/*(?:[^/?#@]*@)?([^/:?#@]+)", 1))
 
 
-def amazon_kind(url: Column) -> Column:
-    """associate-tag (a retail address with a tag that isn't blank), associates-short-link or null."""
+def amazon_kind(url: Column, name: Column | None = None) -> Column:
+    """Of an address (with its host, if known): associate-tag (a retail address with a tag that isn't blank), associates-short-link or null."""
     query = F.regexp_extract(F.split_part(url, F.lit("#"), F.lit(1)), r"\?(.*)$", 1)
     raw = F.regexp_extract(query, r"(?:^|&)tag(?:=([^&]*))?(?=&|$)", 1)
     tagged = has(F.coalesce(F.try_url_decode(raw), raw), r"[^\s]")
-    base = listed_host(host(url), (*AMAZON, SHORT_LINK))
-    return F.when(base == SHORT_LINK, "associates-short-link").when((base != "") & tagged, "associate-tag")
+    kind = lambda base: F.when(base == SHORT_LINK, "associates-short-link").when((base != "") & tagged, "associate-tag")
+    return once(listed_host(host(url) if name is None else name, (*AMAZON, SHORT_LINK)), kind)
 
 
-def scam_risk(url: Column, hosts: dict[str, str]) -> Column:
-    """The risk that a list of hosts gives an address; null where it isn't listed."""
-    return F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair])[listed_host(host(url), hosts)]
+def scam_risk(url: Column, hosts: dict[str, str], name: Column | None = None) -> Column:
+    """The risk that a list of hosts gives an address (with its host, if known); null where it isn't listed."""
+    return F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair])[listed_host(host(url) if name is None else name, hosts)]
 
 
 def linguistic(text: Column) -> Column:
     """Whether text stays without links, mentions and the prefix of a repost."""
     bare = F.regexp_replace(text, f"(?i)^RT @[0-9A-Za-z_]+:[{SPACE}]*", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, f"(?i)https?://[^{SPACE}]+", ""), MENTION, "")
+    for sign, wanted in (("://", f"(?i)https?://[^{SPACE}]+"), ("@", MENTION)):
+        bare = once(bare, lambda x: F.when(x.contains(sign), F.regexp_replace(x, wanted, "")).otherwise(x))  # noqa: B023 - called here
     return has(bare, r"[^\s]")
 
 
@@ -171,9 +173,9 @@ def _judged(x: Column, prefix: Column, scam_hosts: dict[str, str]) -> Column:
     links = F.coalesce(x["urls"], none)
     reposted_answer = x["is_retweet"] & text.startswith(prefix) & F.regexp_replace(F.substring(text, F.length(prefix) + 1, F.length(text)), f"^[{SPACE}]+", "").startswith("@")
     more = {
-        "ms": F.floor(x["at_us"] / 1000), "words": linguistic(text), "script": text.rlike(JAPANESE_SCRIPT), "answers": x["is_reply"] | reposted_answer, "has_link": (F.size(links) > 0) | text.rlike(f"https?://[^{SPACE}]"), "plain": normalize_reply(text),
-        "marked": (text.rlike(PR_TAG) | (text.rlike(PR_BRACKET) & text.rlike(JAPANESE))) & ~text.rlike(CAMPAIGN), "pitch": has(text, PITCH.removeprefix("(?i)")),
-        "links": F.transform(links, lambda u: F.struct(host(u).alias("host"), amazon_kind(u).alias("amazon"), scam_risk(u, scam_hosts).alias("scam"))),
+        "ms": F.floor(x["at_us"] / 1000), "words": linguistic(text), "script": text.rlike(JAPANESE_SCRIPT), "answers": x["is_reply"] | reposted_answer, "has_link": (F.size(links) > 0) | (text.contains("://") & text.rlike(f"https?://[^{SPACE}]")), "plain": normalize_reply(text),
+        "marked": ((text.contains("#") & text.rlike(PR_TAG)) | (text.rlike(PR_BRACKET) & text.rlike(JAPANESE))) & ~text.rlike(CAMPAIGN), "pitch": x["is_reply"] & has(text, PITCH.removeprefix("(?i)")),
+        "links": F.transform(links, lambda u: once(host(u), lambda name: F.struct(name.alias("host"), amazon_kind(u, name).alias("amazon"), scam_risk(u, scam_hosts, name).alias("scam")))),
     }
     return F.struct(*[x[c].alias(c) for c in POST], *[v.alias(k) for k, v in more.items()])
 
@@ -205,7 +207,9 @@ def best_template(sent: str, window_ms: int = DAY_MS) -> Column:
 
 def sharers(replies: DataFrame) -> DataFrame:
     """By account: the most other accounts that one of its reply texts was posted by. Texts are told apart by their sha256, so none is sent on."""
-    rows = replies.where("is_reply").select("account_id", normalize_reply(F.col("text")).alias("text"), F.col("in_reply_to").alias("target")).where("text <> ''").withColumn("text", F.sha2("text", 256))
+    text = F.filter(F.array(normalize_for_similarity(F.col("text"))), long_enough)  # exploded, so that it is normalised once
+    rows = replies.where("is_reply").select("account_id", F.col("in_reply_to").alias("target"), F.explode(text).alias("text"))
+    rows = kept(rows.select("account_id", F.sha2("text", 256).alias("text"), "target"))
     others = duplicate_replies(rows).select("text", "others")
     return rows.select("account_id", "text").distinct().join(others, "text").groupBy("account_id").agg(F.max("others").alias("sharers"))
 
@@ -309,11 +313,15 @@ def _ai_media() -> tuple[Column, Column, Column, Column]:
 
 
 def long_form(rows: DataFrame, table: dict[str, tuple[str, Column, Column, Column, Column]]) -> DataFrame:
+    """Each rule's parts are columns first: what is exploded is worked out without code made for it, and then each part as often as it is named."""
+    parts = [c.alias(f"{i}_{name}") for i, rule in enumerate(table.values()) for name, c in zip(("value", "score", "evaluable", "reason"), rule[1:])]
     each = F.explode(F.array(*[
-        F.struct(F.lit(key).alias("label_key"), F.lit(version).alias("rule_version"), value.alias("value"), F.round(confidence(value, score, evaluable), 6).alias("confidence"), evaluable.alias("evaluable"), reason.alias("reason"))
-        for key, (version, value, score, evaluable, reason) in table.items()
+        F.struct(F.lit(key).alias("label_key"), F.lit(rule[0]).alias("rule_version"), *[F.col(f"{i}_{name}").alias(name) for name in ("value", "score", "evaluable", "reason")])
+        for i, (key, rule) in enumerate(table.items())
     ]))
-    return rows.select("account_id", each.alias("r")).select("account_id", "r.*")
+    found = rows.select("account_id", *parts).select("account_id", each.alias("r")).select("account_id", "r.*")
+    sure = F.round(confidence(F.col("value"), F.col("score"), F.col("evaluable")), 6)
+    return found.select("account_id", "label_key", "rule_version", "value", sure.alias("confidence"), "evaluable", "reason")
 
 
 def crypto_meant(bio: Column) -> Column:
@@ -322,14 +330,14 @@ def crypto_meant(bio: Column) -> Column:
     beside = contexts(bio, pattern(TOPICS["topic_crypto"][1]), 4, 4)
     refused = F.transform(near, lambda m: m["before"].rlike(CRYPTO_REFUSED) | m["after"].rlike(CRYPTO_REFUSED))
     denied = F.transform(beside, lambda m: has(m["before"], CRYPTO_DENIED) | has(m["after"], CRYPTO_DENIED))
-    return F.exists(F.zip_with(refused, denied, lambda a, b: ~a & ~b), lambda x: x)
+    return has(bio, TOPICS["topic_crypto"][1]) & F.exists(F.zip_with(refused, denied, lambda a, b: ~a & ~b), lambda x: x)
 
 
 def movie_meant(bio: Column) -> Column:
     """Whether the first mention is no item of a list of tags with two delimiters or more."""
     m = F.get(contexts(bio, pattern(TOPICS["topic_movie"][1]), 1, 1), 0)
     listed = (F.regexp_count(bio, F.lit(r"[/|]")) >= 2) & (m["before"].isin("/", "|") | m["after"].isin("/", "|"))
-    return m.isNotNull() & ~listed
+    return has(bio, TOPICS["topic_movie"][1]) & ~listed
 
 
 def office_held(bio: Column) -> Column:
@@ -338,7 +346,7 @@ def office_held(bio: Column) -> Column:
     for office in OFFICES:
         m = F.get(contexts(bio, pattern(office), 15, 0), 0)
         former = has(F.right(m["before"], F.lit(10)), FORMER)
-        out = out | (m.isNotNull() & ~former & ~m["before"].rlike(ASPIRING))
+        out = out | (has(bio, office) & ~former & ~m["before"].rlike(ASPIRING))
     return out
 
 
@@ -363,7 +371,7 @@ def ai_declared(bio: Column) -> Column:
     left, right = F.regexp_replace(F.substring(bio, F.lit(1), start), f"[{SPACE}]+\\z", ""), F.regexp_replace(F.substring(bio, end + 1, F.length(bio)), f"^[{SPACE}]+", "")
     item = ((left == "") | F.right(left, F.lit(1)).rlike(AI_LIST_ENDS)) & ((right == "") | F.left(right, F.lit(1)).rlike(AI_LIST_ENDS))
     indirect = has(bio, AI_INSTITUTIONS) | has(bio, AI_INTEREST) | about_others | item
-    return F.coalesce(m.isNotNull() & ~negated & ~has(bio, AI_OPPOSED) & ~(indirect & ~own) & ~m["before"].rlike(AI_OPPOSITION_HEADER), F.lit(False))
+    return F.coalesce(has(bio, AI_DECLARED) & ~negated & ~has(bio, AI_OPPOSED) & ~(indirect & ~own) & ~m["before"].rlike(AI_OPPOSITION_HEADER), F.lit(False))
 
 
 def topic_rules(accounts: DataFrame, signals: DataFrame, posts: DataFrame, k: int = 20) -> DataFrame:
@@ -379,8 +387,9 @@ def topic_rules(accounts: DataFrame, signals: DataFrame, posts: DataFrame, k: in
     meant = {"topic_crypto": crypto_meant(bio), "topic_movie": movie_meant(bio), "topic_vrchat": has(bio, vr) | F.col("in_posts"), "topic_nsfw": nsfw_meant(bio), "topic_politics": office_held(bio)}
     versions = {k_: v for k_, (v, _) in TOPICS.items()} | {"topic_nsfw": NSFW_VERSION, "topic_politics": POLITICS_VERSION}
     meant = {k_: F.coalesce(meant.get(k_, has(bio, TOPICS[k_][1]) if k_ in TOPICS else no), no if k_ not in POSTS_TOO else F.col("in_posts")) for k_ in versions}
-    table = F.explode(F.array(*[F.struct(F.lit(k_).alias("label_key"), F.lit(v).alias("rule_version"), meant[k_].alias("hit")) for k_, v in versions.items()]))
-    each = rows.select("account_id", "bio", "has_own", table.alias("t")).select("account_id", "bio", "has_own", "t.*").join(signals.select("account_id", "label_key", "followee_total", "followee_labeled"), ["account_id", "label_key"], "left")
+    table = F.explode(F.array(*[F.struct(F.lit(k_).alias("label_key"), F.lit(v).alias("rule_version"), F.col(f"hit_{k_}").alias("hit")) for k_, v in versions.items()]))
+    found = rows.select("account_id", "bio", "has_own", *[c.alias(f"hit_{k_}") for k_, c in meant.items()])  # columns first, as in long_form
+    each = found.select("account_id", "bio", "has_own", table.alias("t")).select("account_id", "bio", "has_own", "t.*").join(signals.select("account_id", "label_key", "followee_total", "followee_labeled"), ["account_id", "label_key"], "left")
     alone, too = F.col("label_key").isin(*BIO_ALONE), F.col("label_key").isin(*POSTS_TOO)
     judged, hit = F.coalesce(F.col("followee_total") >= 15, no) & ~alone, F.col("hit")
     matched = judged & (F.col("followee_labeled") / F.col("followee_total") >= 0.3)
