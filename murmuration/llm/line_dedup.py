@@ -4,10 +4,12 @@ A line's tokens are its distinct lower-cased words, ordered by rarity in the cor
 are one node at its first place. Similar lines (Jaccard 0.8 or more) share a token among the first few of
 each, the prefix; where that token is a frequent one, they also share a second token behind it, and the
 two together are the key on which lines meet. Lines that meet pass the length filter, the positional
-filter, and a filter on 64-bit parities of their sets, all without loss; what is left is verified on the
-words themselves. A line goes when a line before it is similar.
+filter, and a filter on parities of their sets (128 bits, of long lines 256), all without loss; what is
+left is verified on the words themselves. Parities are that wide as narrower ones tell nothing of lines
+with about as many words: pairs of them would grow with the square of the lines. A line goes when a line
+before it is similar.
 
-Each node is first compared with the earliest node of a few of its tokens, which settles large groups of
+Each node is first compared with the earliest node of a few of its keys, which settles large groups of
 alike lines. Only nodes that this left unsettled meet all lines before them.
 """
 
@@ -27,6 +29,9 @@ WORDED = r"[^\x20\x09-\x0D]"
 #: Counts of words are known by hash bucket, less what an ordinary bucket holds, in CLASS_STEPS classes for
 #: each doubling and 127 at most. They bear on cost alone, as do the words that count as FREQUENT.
 BUCKETS, CLASS_STEPS, FREQUENT = 1 << 17, 6, 3000
+#: Sets of more words have parities of four longs, others of two and zeros. They bear on cost alone.
+LONG = 128
+PARITIES = tuple(f"parity{i}" for i in range(4))
 SPACE = r"[\x20\x09-\x0D]+"
 #: Sets of so few words are similar to equal sets alone.
 ALONE = 3
@@ -63,7 +68,7 @@ def steps(count: float) -> int:
 
 def rarity(docs: DataFrame) -> list[int]:
     """The class of each hash bucket of words. A quarter of the buckets have no more than the count that is taken off: the rare words that share each bucket."""
-    words = worded_lines(split_lines(docs)).select(F.explode("words").alias("w"))
+    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     found = counts.toPandas().set_index("b")["n"].reindex(range(BUCKETS), fill_value=0)  # BUCKETS counts at most
     ordinary = float(found.quantile(0.25))
@@ -73,21 +78,25 @@ def rarity(docs: DataFrame) -> list[int]:
 def ranked(hashes: str, table: list[int]) -> Column:
     """Longs that sort by class, then by hash (the 56 bits of it that are left)."""
     classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # folded to a constant
-    key = lambda w: F.shiftleft(F.get(classes, F.pmod(w, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+    key = lambda w: F.shiftleft(F.get(classes, w.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
     return F.sort_array(F.transform(hashes, key))
 
 
-def parity(hashes) -> Column:
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 50).cast("int").bitwiseAND(F.lit(63)))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+def parities() -> list[Column]:
+    """Four longs for sets of more than LONG words; for others their folds, two longs, and zeros. Each word flips one bit."""
+    flip = lambda mine: F.aggregate("hashes", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", mine(w), F.shiftrightunsigned(w, 50).cast("int"))))  # noqa: E731  (a long is shifted by the six lowest bits)
+    quarter = lambda i: flip(lambda w: (F.shiftrightunsigned(w, 62) == i).cast("long"))
+    halves = {0: flip(lambda w: F.shiftrightunsigned(F.bitwise_not(w), 63)), 2: flip(lambda w: F.shiftrightunsigned(w, 63))}
+    return [F.when(F.col("n") > LONG, quarter(i)).otherwise(halves.get(i, F.lit(0).cast("long"))).alias(c) for i, c in enumerate(PARITIES)]
 
 
 def described(docs: DataFrame, table: list[int]) -> DataFrame:
-    """One row for each line with a word: id, doc, row, line, node (hash of its set), n (words), parity (bit i: whether an odd
-    number of words hash to i), prefix (one token more than the shortest prefix that can't miss; null where equal sets alone are similar)."""
+    """One row for each line with a word: id, doc, row, line, node (hash of its set), n (words), PARITIES (each bit: whether an odd
+    number of words hash to it), prefix (one token more than the shortest prefix that can't miss; null where equal sets alone are similar), marks (of the
+    two words with the least hashes, and of those with the greatest: similar sets mostly share one, wherever they differ)."""
     own = worded_lines(split_lines(docs)).withColumn("hashes", hashes()).withColumn("n", F.size("hashes"))
     prefix = F.when(F.col("n") > ALONE, F.slice(ranked("hashes", table), F.lit(1), (F.col("n") - needed(F.col("n")) + 2).cast("int")))
-    return spool(own.select(F.monotonically_increasing_id().alias("id"), "doc", "row", "line", F.xxhash64("hashes").alias("node"), "n", parity("hashes").alias("parity"), prefix.alias("prefix")), "lines")
+    return spool(own.select(F.monotonically_increasing_id().alias("id"), "doc", "row", "line", F.xxhash64("hashes").alias("node"), "n", *parities(), prefix.alias("prefix"), F.array(F.xxhash64(F.slice("hashes", 1, 2)), F.xxhash64(F.slice("hashes", F.greatest(F.col("n") - 1, F.lit(1)), F.lit(2)))).alias("marks")), "lines")
 
 
 def most_apart() -> Column:
@@ -95,10 +104,18 @@ def most_apart() -> Column:
     return F.col("n_a") + F.col("n_b") - 2 * F.ceil((F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR) - 1e-6)
 
 
+def bits_apart(folded: bool = True) -> Column:
+    """Bits in which the two sets' parities differ, never more than the sets differ in words. Unless folded to two longs they say so of two sets of more than LONG words alone."""
+    differ = [F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in PARITIES]
+    longs = [differ[0].bitwiseXOR(differ[1]), differ[2].bitwiseXOR(differ[3])] if folded else differ
+    return sum((F.bit_count(x) for x in longs[1:]), F.bit_count(longs[0]))
+
+
 def may_be_similar() -> Column:
     """Neither the lengths nor the parities, which differ in no more bits than the sets in words, rule it out."""
     fitting = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR
-    return fitting & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= most_apart())
+    both_long = F.least("n_a", "n_b") > LONG
+    return fitting & (bits_apart() <= most_apart()) & (~both_long | (bits_apart(folded=False) <= most_apart()))
 
 
 def earlier() -> Column:
@@ -120,16 +137,14 @@ def named(df: DataFrame, x: str, *same: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """node, n, body, wide (parities as of `described`, of 256 bits) of the lines at `places`, from the texts again."""
+    """node and body of the lines at `places`, from the texts again."""
     wanted = spool(places.groupBy("doc", "row").agg(F.collect_set("line").alias("wanted")), "wanted")  # of one text's lines
     wanted = wanted.select(F.col("doc").alias("d"), F.col("row").alias("r"), "wanted")
     held = docs.join(small(wanted), F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
     bodies = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("wanted", i), x)), lambda x: x.isNotNull())
     found = held.select(F.explode(bodies).alias("body"))
     nodes = worded_lines(found.select("body", F.col("body").alias("own"))).withColumn("hashes", hashes())
-    sets = nodes.select(F.xxhash64("hashes").alias("node"), F.col("own").alias("body"), F.size("hashes").alias("n"), "hashes")
-    part = lambda i: parity(F.filter("hashes", lambda w: F.shiftrightunsigned(w, 40).bitwiseAND(F.lit(3)) == i))
-    sets = sets.select("node", "n", "body", *[part(i).alias(f"wide{i}") for i in range(4)])
+    sets = nodes.select(F.xxhash64("hashes").alias("node"), F.col("own").alias("body"))
     return spool(sets.dropDuplicates(["node"]), "sets")
 
 
@@ -145,21 +160,17 @@ def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node: those of the later line in each of `pairs` (id_a, id_b) whose words are similar to the earlier one's.
+    """node: those of the later line in each of `pairs` (id_a, id_b, bits) whose words are similar to the earlier one's.
 
-    Wide parities leave hardly any other pairs. The likeliest one of each line is verified first, then the others of lines that this didn't settle.
+    The likeliest one of each line (the fewest bits apart) is verified first, then the others of lines that this didn't settle.
     """
     ends = spool(pairs.selectExpr("id_a AS id").unionByName(pairs.selectExpr("id_b AS id")).distinct(), "ends")
     places = spool(lines.select("id", "node", "doc", "row", "line").join(small(ends), "id"), "places")
     placed = pairs.join(small(named(places, "a")), "id_a").join(small(named(places, "b")), "id_b")
     swap = lambda x, y: F.when(earlier(), F.col(x)).otherwise(F.col(y)).alias(x)
     apart = ~F.col("doc_a").eqNullSafe(F.col("doc_b")) | (F.col("line_a") != F.col("line_b"))
-    placed = placed.where(apart).select(swap("node_a", "node_b"), swap("node_b", "node_a"))
+    near = spool(placed.where(apart).select(swap("node_a", "node_b"), swap("node_b", "node_a"), "bits"), "near")
     sets = sets_of(docs, places)
-    wide = small(sets.drop("body"))
-    bits = sum((F.bit_count(F.col(f"wide{i}_a").bitwiseXOR(F.col(f"wide{i}_b"))) for i in range(4)), F.lit(0))
-    near = placed.join(named(wide, "a"), "node_a").join(named(wide, "b"), "node_b").withColumn("bits", bits).where(F.col("bits") <= most_apart())
-    near = spool(near.select("node_a", "node_b", "bits"), "near")
     best = spool(near.groupBy("node_a").agg(F.min(F.struct("bits", "node_b")).alias("best")).select("node_a", "best.node_b"), "best")
     settled = similar(sets, best)
     rest = near.join(small(settled.select(F.col("node").alias("node_a"))), "node_a", "left_anti")
@@ -183,28 +194,29 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = spool(firsts.select("node", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first.id").alias("first_id")), "repeats")
     nodes = lines.where("prefix IS NOT NULL").join(small(firsts.select("node", "first_id")), "node", "left").where("first_id IS NULL OR id = first_id")
 
-    # Two tokens of each prefix, and the earliest line and those just before for each.
-    own = ("id", "doc", "line", "n", "parity")
-    few = F.array_distinct(F.array(*[F.get("prefix", F.floor((F.size("prefix") - 2) * part / 2).cast("int")) for part in (1, 2)]))
+    # The last token of each prefix and the marks, and the earliest line and those just before for each. Tokens alone don't do:
+    # a line with many rare words of its own has others in its prefix than the lines that it is similar to.
+    own = ("id", "doc", "line", "n", *PARITIES)
+    few = F.array_distinct(F.concat(F.array(F.get("prefix", F.size("prefix") - 2)), "marks"))
     by_key, other = Window.partitionBy("key").orderBy("doc", "line", "id"), F.struct(*own)
     others = F.array(F.first(other).over(by_key), *[F.lag(other, k).over(by_key) for k in (1, 2, 5)])
     met = nodes.select(*own, F.explode(few).alias("key")).withColumn("others", F.array_distinct(F.array_compact(others)))
     met = met.select(*[F.col(c).alias(f"{c}_a") for c in own], F.explode("others").alias("other"))
-    met = met.select("*", *[F.col(f"other.{c}").alias(f"{c}_b") for c in own]).where(earlier() & may_be_similar()).select("id_a", "id_b").distinct()
+    met = met.select("*", *[F.col(f"other.{c}").alias(f"{c}_b") for c in own]).where(earlier() & may_be_similar()).select("id_a", "id_b", bits_apart().alias("bits")).distinct()
     settled = verified(docs, lines, spool(met, "firsts"))
 
-    # What its tokens' earliest lines did not settle meets all others.
+    # What its keys' earliest lines did not settle meets all others.
     left = nodes.join(small(settled.withColumn("settled", F.lit(True))), "node", "left")
-    entries = left.select("id", "doc", "n", "parity", F.col("settled").isNull().alias("open"), F.explode(keys()).alias("k"))
-    entries = entries.select("k.key", "id", "doc", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("k.pos").cast("long"), 1)).bitwiseOR(F.col("open").cast("long")).alias("packed")).repartition("key")
-    entries = entries.select("key", "id", "doc", "parity", F.shiftright("packed", 32).cast("int").alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("pos"), (F.col("packed") % 2 == 1).alias("open"))
+    entries = left.select("id", "doc", "n", *PARITIES, F.col("settled").isNull().alias("open"), F.explode(keys()).alias("k"))
+    entries = entries.select("k.key", "id", "doc", *PARITIES, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("k.pos").cast("long"), 1)).bitwiseOR(F.col("open").cast("long")).alias("packed")).repartition("key")
+    entries = entries.select("key", "id", "doc", *PARITIES, F.shiftright("packed", 32).cast("int").alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("pos"), (F.col("packed") % 2 == 1).alias("open"))
     meeting = named(entries, "a", "key").join(named(entries, "b", "key"), "key")
     # No overlap lies before the first shared token. Two open lines of one text meet twice. That a is open is asked
     # together with the positions, of both sides: a filter on one side would make the two sides two exchanges.
     not_later = F.coalesce(F.col("doc_b") <= F.col("doc_a"), F.col("doc_b").isNull())
     reach = F.when(F.col("open_a"), most_apart()).otherwise(-1)
     meeting = meeting.where((F.col("pos_a") + F.col("pos_b") <= reach) & may_be_similar() & not_later & (F.col("id_a") != F.col("id_b")))
-    gone = settled.unionByName(verified(docs, lines, spool(meeting.select("id_a", "id_b").distinct(), "others"))).distinct()
+    gone = settled.unionByName(verified(docs, lines, spool(meeting.select("id_a", "id_b", bits_apart().alias("bits")).distinct(), "others"))).distinct()
 
     # Lines with equal sets go with, and after, their first place.
     gone = spool(gone, "gone").withColumn("gone", F.lit(True))
